@@ -45,10 +45,10 @@ with recs as (
   select rec_table, rec_key, n, case when han > 0 and han > other then string_split(array_to_string(words, ''), '') else words end as u,
          case when han > 0 and han > other then 10 else 5 end as run
   from told
-), at as (
+), spots as (
   select n, run, rec_table, rec_key, unnest(u) as unit, unnest(range(1, len(u) + 1)) as i, u from units where len(u) > 0
 ), grams as (
-  select n, run, rec_table, rec_key, unit, i, case when i + run - 1 <= len(u) then array_to_string(u[i : i + run - 1], ' ') end as gram from at
+  select n, run, rec_table, rec_key, unit, i, case when i + run - 1 <= len(u) then array_to_string(u[i : i + run - 1], ' ') end as gram from spots
 ), again as (
   select n, run, rec_table, rec_key, unit, i, gram is not null and row_number() over (partition by n, gram order by i) > 1 as rep from grams
 ), covered as (

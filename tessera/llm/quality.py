@@ -218,17 +218,23 @@ def placed(stats: DataFrame, names: tuple = STATS, own: int = OWN) -> DataFrame:
     A z-score is the distance from the median over 0.7413 times the interquartile range, which is at least
     SPREAD. Languages of fewer than ``own`` documents, and text of no language, are placed among all documents.
     """
-    told = sketches(stats, names).persist()
-    quantiles = told.select("lang", "n", *(F.kll_sketch_get_quantile_double(F.col(c), F.lit(q)).alias(f"{c}_{k}") for c in names for k, q in (("lo", 0.25), ("mid", 0.5), ("hi", 0.75))), *(F.col(c).alias(f"{c}_sketch") for c in names))
-    known = [r.lang for r in told.where(F.col("n") >= own).where("lang is not null and lang <> 'und'").select("lang").collect()]
+    ranks = F.array(*(F.lit(i / 100) for i in range(101)))
+    told = sketches(stats, names).select("lang", "n", *(F.kll_sketch_get_quantile_double(F.col(c), ranks).alias(f"{c}_at") for c in names))
+    rows = told.collect()  # one row per language that `language` knows
+    known = sorted(r.lang for r in rows if r.lang and r.lang != "und" and r.n >= own)
+    local = [("*" if r.lang is None else r.lang, *(r[f"{c}_at"] for c in names)) for r in rows if r.lang is None or r.lang in known]
+    right = stats.sparkSession.createDataFrame(local, "_group string, " + ", ".join(f"{c}_at array<double>" for c in names))
+    right = right.select("*", *(F.get(f"{c}_at", F.lit(i)).alias(f"{c}_{k}") for c in names for k, i in (("lo", 25), ("mid", 50), ("hi", 75))))
     group = F.when(F.col("lang").isin(known), F.col("lang")).otherwise(F.lit("*")) if known else F.lit("*")
-    right = quantiles.select(F.coalesce("lang", F.lit("*")).alias("_group"), *[c for c in quantiles.columns if c not in ("lang", "n")]).where(F.col("_group").isin([*known, "*"]))
     joined = stats.withColumn("_group", group).join(F.broadcast(right), "_group")
 
     def z(c: str) -> Column:
         return (F.col(c) - F.col(f"{c}_mid")) / (F.lit(0.7413) * F.greatest(F.col(f"{c}_hi") - F.col(f"{c}_lo"), F.lit(SPREAD)))
 
-    return joined.select(*stats.columns, *(F.kll_sketch_get_rank_double(F.col(f"{c}_sketch"), F.col(c)).alias(f"{c}_pct") for c in names), *(z(c).alias(f"{c}_z") for c in names))
+    def percentile(c: str) -> Column:
+        return F.greatest(F.size(F.filter(f"{c}_at", lambda q: q <= F.col(c))) - 1, F.lit(0)) / 100
+
+    return joined.select(*stats.columns, *(percentile(c).alias(f"{c}_pct") for c in names), *(z(c).alias(f"{c}_z") for c in names))
 
 
 def kinds(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
@@ -238,7 +244,7 @@ def kinds(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     TAIL. ``rules`` (id, run_no, feature_dict) adds the latest run's char_len, number_count and symbol_count.
     """
     names = tuple(f"{k}_share" for k in SHARES)
-    at = placed(measured(pages), names)
+    at = placed(measured(pages).persist(), names)
     found = F.lit(None).cast("string")
     top = F.greatest(*names)
     for k in reversed(SHARES):
