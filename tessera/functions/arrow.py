@@ -40,3 +40,17 @@ def map_stream(df: DataFrame, fn: Callable[[Iterator[list[list]]], Iterator[list
 def to_batch(rows: list, arrow: pa.Schema) -> pa.RecordBatch:
     cols = list(zip(*rows)) if rows else [()] * len(arrow)
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, arrow)], schema=arrow)
+
+
+def scalar(fn: Callable, returns: str) -> Callable:
+    """A column function of a Python function of single values, sent as Arrow batches; made at the first use, as it needs a session."""
+    from pyspark.sql import functions as F
+
+    made: dict = {}
+
+    def call(*cols):  # noqa: ANN002, ANN202
+        if "udf" not in made:
+            made["udf"] = F.udf(fn, returns, useArrow=True)
+        return made["udf"](*cols)
+
+    return call
