@@ -51,7 +51,7 @@ PHRASES = re.compile(
 )
 #: Words of the best-known filler text; a text where they keep coming is filler throughout.
 LOREM = re.compile(r"(?i)\b(?:lorem|ipsum|dolor|amet|consectetur|adipiscing)\b")
-PASSAGE = re.compile(r"[^\n]*?(?:[.!?](?=\s)|[。！？])|[^\n]+")
+DIGITS = re.compile(r"\d+")
 TOKEN = re.compile(r"[^\W\d_]+|\d+|_+|[^\w\s]+")
 HAN_RUN = re.compile("[一-鿿]{3,}")
 
@@ -64,7 +64,12 @@ def placeholders(passage: str) -> list[str]:
 
 def passages(text: str) -> list[str]:
     """Lines, cut after each sentence."""
-    return [p for p in PASSAGE.findall(text) if not p.isspace() and p]
+    for end in (". ", "! ", "? "):
+        text = text.replace(end, end[0] + "\n")
+    if not text.isascii():
+        for end in "。！？":
+            text = text.replace(end, end + "\n")
+    return [p for p in text.split("\n") if p and not p.isspace()]
 
 
 def letters(passage: str) -> int:
@@ -72,46 +77,45 @@ def letters(passage: str) -> int:
 
 
 def grams(passage: str) -> list[str]:
-    """Words, marks and their pairs; Han runs give pairs of characters."""
-    ts = TOKEN.findall(passage.lower())
+    """Words and marks of a lowered passage; Han runs give pairs of characters."""
+    ts = TOKEN.findall(passage)
     if not passage.isascii():
         ts = [x for t in ts for x in ((t[i : i + 2] for i in range(len(t) - 1)) if HAN_RUN.match(t) else (t,))]
-    ts = ["0" if t.isdigit() else t for t in ts]
     return ts
 
 
-class Scorer:
+def lowered(text: str) -> str:
+    """In lower case, with each run of digits as one 0."""
+    return DIGITS.sub("0", text.lower())
+
+
+def index(gram: str | tuple[str, str]) -> int:
+    return crc32((gram if isinstance(gram, str) else " ".join(gram)).encode("utf-8", "surrogatepass")) % DIMENSIONS
+
+
+class Scorer(dict):
     """Weights of hashed n-grams, with a bounded cache of the n-grams met."""
 
     def __init__(self, weights: np.ndarray, cached: int = 1 << 20) -> None:
-        self.weights, self.cached = weights, cached
-        self.known: dict = {}
-
-    def index(self, gram: str) -> int:
-        return crc32(gram.encode("utf-8", "surrogatepass")) % DIMENSIONS
-
-    def weight(self, gram: str) -> float:
-        w = self.known.get(gram)
-        if w is None:
-            if len(self.known) >= self.cached:
-                self.known.clear()
-            w = self.known[gram] = float(self.weights[self.index(gram)])
+        super().__init__()
+        self.weights, self.bias, self.cached = weights, float(weights[DIMENSIONS]), cached
+
+    def __missing__(self, gram: str | tuple[str, str]) -> float:
+        if len(self) >= self.cached:
+            self.clear()
+        w = self[gram] = float(self.weights[index(gram)])
         return w
 
     def logit(self, passage: str, title: bool) -> float:
+        """The log-odds that a lowered passage is residue."""
         fs = features(passage, title)
-        get = self.known.get
-        total = 0.0
-        for f in fs:
-            w = get(f)
-            total += self.weight(f) if w is None else w
-        return total / len(fs) ** 0.5 + float(self.weights[DIMENSIONS])
+        return sum(map(self.__getitem__, fs)) / len(fs) ** 0.5 + self.bias
 
 
-def features(passage: str, title: bool) -> list[str]:
-    """n-grams, the length class and, for a first line, the same words as title features."""
+def features(passage: str, title: bool) -> list:
+    """n-grams of a lowered passage, its length class and, for a first line, the same words as title features."""
     ts = grams(passage)
-    out = ts + [a + " " + b for a, b in zip(ts, ts[1:])]
+    out = [*ts, *zip(ts, ts[1:])]
     out.append(f"<length {min(len(ts).bit_length(), 7)}>")
     if title:
         out += ["<title> " + t for t in ts[:12]]
@@ -151,11 +155,10 @@ def examples(docs: DataFrame, fit_docs: int = FIT_DOCS, negatives: float = NEGAT
     slim = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text").where("text is not null and doc_id is not null")
     if total > fit_docs:
         slim = slim.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(fit_docs / total * (1 << 30)))
-    index = Scorer(np.zeros(DIMENSIONS + 1)).index
     keep = int(negatives * 2**32)
 
     def scan(_: list, hosts: list, texts: list) -> list[tuple]:
-        return [(h, y, [index(f) for f in features(p, t)]) for h, x in zip(hosts, texts) for p, t, y in weak_labels(visible(x)) if y > 0 or (y == 0 and (crc32(p.encode("utf-8", "surrogatepass")) < keep or t))]
+        return [(h, y, [index(f) for f in features(lowered(p), t)]) for h, x in zip(hosts, texts) for p, t, y in weak_labels(visible(x)) if y > 0 or (y == 0 and (crc32(p.encode("utf-8", "surrogatepass")) < keep or t))]
 
     return map_columns(spread(slim), scan, "host string, label int, idx array<int>")
 
@@ -199,11 +202,17 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, validate: bool = True) -> tup
 
 def judged(text: str, scorer: Scorer) -> str | None:
     """Why a text is excluded: placeholder, or content (filler, error page or notice in its place); None if it stays."""
-    ps = passages(visible(text))
+    text = visible(text)
+    low = passages(lowered(text))
     loose, suspect = float(np.log(LOOSE / (1 - LOOSE))), float(np.log(SUSPECT / (1 - SUSPECT)))
-    z = [scorer.logit(p, i == 0 and len(ps) > 1) for i, p in enumerate(ps)]
+    z = [scorer.logit(p, i == 0 and len(low) > 1) for i, p in enumerate(low)]
+    if not z or max(z) <= loose:
+        return None
+    ps = passages(text)
     if any(s > loose and placeholders(p) for p, s in zip(ps, z)):
         return "placeholder"
+    if max(z) <= suspect:
+        return None
     size = [letters(p) for p in ps]
     body = sum(size[1:]) if len(ps) > 2 and z[0] <= suspect and size[0] < 80 else sum(size)
     bad = sum(n for n, s in zip(size, z) if s > suspect)
