@@ -42,8 +42,11 @@ def to_batch(rows: list, arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
 
-def scalar(fn: Callable, returns: str) -> Callable:
-    """A column function of a Python function of single values, sent as Arrow batches; made at the first use, as it needs a session."""
+def scalar(fn: Callable, returns: str, once: bool = False) -> Callable:
+    """A column function of a Python function of single values, sent as Arrow batches; made at the first use, as it needs a session.
+
+    With ``once`` the optimizer may not copy the call into later expressions, so its column is computed one time.
+    """
     from pyspark.sql import functions as F
 
     made: dict = {}
@@ -51,6 +54,8 @@ def scalar(fn: Callable, returns: str) -> Callable:
     def call(*cols):  # noqa: ANN002, ANN202
         if "udf" not in made:
             made["udf"] = F.udf(fn, returns, useArrow=True)
+            if once:
+                made["udf"] = made["udf"].asNondeterministic()
         return made["udf"](*cols)
 
     return call

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import html
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.arrow import scalar
@@ -89,7 +89,7 @@ FACE = r"(?U)\s*[:;][\-]?[)D(P/\\|]\s*$"
 BOILERPLATE_LINE = "(?iuUd)" + any_of(*BOILERPLATE)
 NOISE_LINE = "(?iuUd)" + any_of(*NOISE)
 
-unescape = scalar(html.unescape, "string")
+unescape = scalar(lambda t: t if t is None else html.unescape(t), "string", once=True)
 
 
 def cut_tails(c: Column) -> Column:
@@ -142,7 +142,6 @@ def clean_marked(c: Column | str) -> Column:
     return page_remains(squeeze(drop_repeats(drop_links(drop_lines(drop_lines(c, BOILERPLATE_LINE), NOISE_LINE)))))
 
 
-def clean_text(c: Column | str) -> Column:
-    """All steps. Only texts with an ampersand are decoded; null stays null."""
-    c = col(c)
-    return clean_marked(F.when(F.contains(c, F.lit("&")), unescape(c)).otherwise(c))
+def with_clean_text(df: DataFrame, text: str, name: str) -> DataFrame:
+    """``df`` with the cleaned text in column ``name``. Entities are decoded in a column of their own; null stays null."""
+    return df.withColumn("_decoded", unescape(F.col(text))).withColumn(name, clean_marked("_decoded")).drop("_decoded")

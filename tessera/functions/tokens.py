@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,10 +39,18 @@ def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once, not at each use inside array functions."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def log_softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    norm = top + F.log(total(F.transform(logits, lambda x: F.exp(x - top))))
-    return F.transform(logits, lambda x: x - norm)
+    """Log probabilities, stable by the largest logit."""
+
+    def normal(a: Column) -> Column:
+        return let(F.array_max(a), lambda top: let(top + F.log(total(F.transform(a, lambda x: F.exp(x - top)))), lambda norm: F.transform(a, lambda x: x - norm)))
+
+    return let(logits, normal)
 
 
 def kl(p: Column, q: Column) -> Column:
@@ -58,9 +67,13 @@ def forward_kl(student: Column, teacher: Column) -> Column:
 
 
 def js_divergence(student: Column, teacher: Column) -> Column:
-    s, t = log_softmax(student), log_softmax(teacher)
-    m = F.zip_with(s, t, lambda a, b: F.log(F.greatest(0.5 * (F.exp(a) + F.exp(b)), F.lit(1e-8))))
-    return F.greatest(F.lit(0.0), 0.5 * kl(s, m) + 0.5 * kl(t, m))
+    both = F.struct(log_softmax(student).alias("s"), log_softmax(teacher).alias("t"))
+
+    def divergence(x: Column) -> Column:
+        m = F.zip_with(x["s"], x["t"], lambda a, b: F.log(F.greatest(0.5 * (F.exp(a) + F.exp(b)), F.lit(1e-8))))
+        return let(m, lambda m: F.greatest(F.lit(0.0), 0.5 * kl(x["s"], m) + 0.5 * kl(x["t"], m)))
+
+    return let(both, divergence)
 
 
 def entropy(logits: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.cleaning import BOILERPLATE_LINE, clean_text, cut_tails, drop_lines, squeeze
+from tessera.functions.cleaning import BOILERPLATE_LINE, cut_tails, drop_lines, squeeze, with_clean_text
 from tessera.functions.features import Rules, drop_after_cleaning, feature_struct, hard_drop, needs_rewrite, route, score, strong_math
 from tessera.functions.pytext import strip
 from tessera.functions.validation import validate
@@ -47,7 +47,7 @@ def parsed_reply(reply: Column) -> tuple[Column, Column]:
 
 def ruled(segments: DataFrame, r: Rules = Rules()) -> DataFrame:
     """Segments with cleaned text, raw and cleaned features, drop flag, signals, score and route."""
-    df = segments.withColumn("raw", feature_struct("text")).withColumn("cleaned", clean_text("text"))
+    df = with_clean_text(segments.withColumn("raw", feature_struct("text")), "text", "cleaned")
     df = df.withColumn("features", feature_struct("cleaned"))
     raw, f = F.col("raw"), F.col("features")
     df = df.withColumn("hard_drop", hard_drop(raw, r) | drop_after_cleaning(raw, F.col("cleaned"), r)).withColumn("strong_math_signal", strong_math(f)).withColumn("needs_llm_cleanup", needs_rewrite(f))

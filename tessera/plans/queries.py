@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.functions import answers, evaluation, features, reward, similarity, tokens, validation
-from tessera.functions.cleaning import clean_text, drop_repeats
+from tessera.functions.cleaning import drop_repeats, with_clean_text
 from tessera.functions.pytext import strip, uniform
 from tessera.operators import cleaner, extract, preference, progress, segment, selection
 from tessera.sources import files
@@ -74,7 +74,7 @@ def adjacent_line_dedup(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def clean_pages(s: SparkSession, d: str) -> DataFrame:
-    return spread(table(s, d, "sample_input")).where("text is not null").select("row_idx", clean_text("text").alias("text"))
+    return with_clean_text(spread(table(s, d, "sample_input").select("row_idx", "text").where("text is not null")), "text", "clean").select("row_idx", F.col("clean").alias("text"))
 
 
 @query
@@ -442,9 +442,16 @@ def rescored(s: SparkSession, d: str) -> DataFrame:
     return each.groupBy("row_idx").agg(F.count_if("v.correct").alias("num_correct"), F.count("*").alias("num_total"), F.count_if("is_correct").alias("stored"))
 
 
+def _samples(s: SparkSession, d: str) -> DataFrame:
+    """Marked-up samples of two questions each, the second with code for some."""
+    one = F.concat(F.lit("**Question 1**: "), "question", F.lit("\n**Answer 1**:\n"), "answer", F.lit("\n"))
+    two = F.concat(F.lit("**Question 2**: "), "question", F.lit("\n**Answer 2**:\n"), "answer", F.when(F.col("row_idx") % 3 == 0, F.concat(F.lit("\n**Code Implementation 2**:\nprint(x)\n# Output: "), "ground_truth")).otherwise(""))
+    return questions(s, d).select(F.lit("questions").alias("source_file"), F.col("row_idx").alias("source_idx"), F.concat(one, two).alias("text"))
+
+
 @query
 def extracted_questions(s: SparkSession, d: str) -> DataFrame:
-    return extract.extracted(docs(s, d).select(F.col("source").alias("source_file"), F.col("doc_id").alias("source_idx"), "text"))
+    return extract.extracted(_samples(s, d))
 
 
 @query
@@ -455,7 +462,7 @@ def reference_sources(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def sft_pairs(s: SparkSession, d: str) -> DataFrame:
-    return extract.sft_pairs(docs(s, d).select(F.col("source").alias("source_file"), F.col("doc_id").alias("source_idx"), "text"))
+    return extract.sft_pairs(_samples(s, d))
 
 
 # --- prefixes, likeness, reward ------------------------------------------------------------------------------
