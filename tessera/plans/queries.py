@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -656,15 +657,14 @@ def lp_cycle(s: SparkSession, d: str) -> DataFrame:
 @query
 def lp_stream(s: SparkSession, d: str) -> DataFrame:
     """The same states kept by a stream over the observations, run until all files are read."""
-    from tessera.streaming.progress import run_available
+    from tessera.streaming.progress import latest, run_available
 
     path = f"{d}/lp_observations.parquet"
     shape = s.read.parquet(path).schema
     shared = s.conf.get("spark.checkpoint.dir", None)
-    folder = f"{shared.rstrip('/')}/lp_stream_{abs(hash((d, id(s)))):x}_{len(s.catalog.listTables())}" if shared else tempfile.mkdtemp()
-    # Repeated rows only scale the counts of a step, so the rates of whole tables agree with the batch query.
-    run_available(s.readStream.schema(shape).parquet(f"{path}*"), "lp_stream_out", folder)
-    return s.table("lp_stream_out").select("sample_id", F.round("p", 6).alias("p"), F.round("lp", 6).alias("lp"), "n_updates")
+    folder = f"{shared.rstrip('/')}/lp_stream_{uuid.uuid4().hex}" if shared else tempfile.mkdtemp()
+    run_available(s.readStream.schema(shape).parquet(f"{path}*"), f"{folder}/out", f"{folder}/checkpoint")
+    return latest(s.read.parquet(f"{folder}/out")).select("sample_id", F.round("p", 6).alias("p"), F.round("lp", 6).alias("lp"), "n_updates")
 
 
 # --- tokens --------------------------------------------------------------------------------------------------

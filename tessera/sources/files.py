@@ -6,7 +6,7 @@ import dataclasses
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -26,9 +26,15 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(source_file, source_idx, value): lines of text files with their physical numbers, blank lines counted."""
-    files = spark.read.option("wholetext", True).text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source_file"), "value")
-    return files.select("source_file", F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n", -1)).alias("source_idx", "value"))
+    """(source_file, source_idx, value): lines of text files with their physical numbers, blank lines counted.
+
+    Files are split as usual; the line counts of the splits, one number each, shift the numbers within a split.
+    """
+    df = spark.read.text(path).select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_mono"), "value")
+    splits = df.groupBy("_path", "_start").agg(F.min("_mono").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = splits.select("_path", "_start", (before - F.col("_first")).alias("_shift"))
+    return df.join(shift, ["_path", "_start"]).select("source_file", (F.col("_mono") + F.col("_shift")).alias("source_idx"), "value")
 
 
 def read_parquet_rows(spark: SparkSession, path: str) -> DataFrame:

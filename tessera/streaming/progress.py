@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.operators.progress import BETA
@@ -51,7 +52,16 @@ def progress_stream(observations: DataFrame) -> DataFrame:
     return slim.groupBy("sample_id").applyInPandasWithState(_update, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def run_available(spark_stream: DataFrame, name: str, checkpoint: str) -> None:
-    """Runs a stream over what is there now into a table in memory."""
-    query = progress_stream(spark_stream).writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(observations: DataFrame, out: str, checkpoint: str) -> None:
+    """Runs over what the stream has now; each batch overwrites its own folder under ``out``, so a repeated batch does no harm."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = progress_stream(observations).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def latest(out: DataFrame) -> DataFrame:
+    """The last state of each sample from the batches written (with column batch)."""
+    return out.groupBy("sample_id").agg(F.max_by(F.struct(*(c for c in out.columns if c not in ("sample_id", "batch"))), F.col("batch")).alias("s")).select("sample_id", "s.*")
