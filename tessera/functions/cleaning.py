@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.arrow import scalar
-from tessera.functions.pytext import any_of, col, lines, strip
+from tessera.functions.pytext import any_of, col, let, lines, strip
 
 # Patterns of the noise that is removed.
 ENTITY = r"(?i)&(?:nbsp|lt|gt|amp|quot|apos|mdash|ndash|hellip|#\d{1,5}|#x[0-9a-fA-F]{1,4});"
@@ -107,8 +107,8 @@ def drop_lines(c: Column, pattern: str) -> Column:
 
 def drop_repeats(c: Column) -> Column:
     """Without lines equal to the line before them; blank lines stay."""
-    ls = lines(c)
-    return F.array_join(F.filter(ls, lambda x, i: (i == 0) | (strip(x) == "") | (strip(x) != strip(F.element_at(ls, F.greatest(i, F.lit(1)))))), "\n")
+    kept = lambda ls: F.filter(ls, lambda x, i: (i == 0) | (strip(x) == "") | (strip(x) != strip(F.element_at(ls, F.greatest(i, F.lit(1))))))
+    return F.array_join(let(lines(c), kept), "\n")
 
 
 def squeeze(c: Column) -> Column:

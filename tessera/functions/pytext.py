@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,6 +40,16 @@ def number(c: Column | str) -> Column:
     return F.when(c.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"), c.try_cast("double"))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once, however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def once(c: Column) -> Column:
+    """The same value, which the optimizer may not copy into later expressions or filters."""
+    return F.when(F.rand(0) >= 0.0, c)
+
+
 def any_of(*patterns: str) -> str:
     """One pattern that matches where any of ``patterns`` does."""
     return "|".join(f"(?:{p})" for p in patterns)

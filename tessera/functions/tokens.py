@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.pytext import let
+
 
 def padded(prompt: Column, response: Column, length: int, pad: int, mask: Column | None = None) -> Column:
     """(input_ids, attention_mask, position_ids, loss_mask) of a fixed length; null for an empty response.
@@ -39,11 +40,6 @@ def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
-def let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then(value)`` with the value computed once, not at each use inside array functions."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def log_softmax(logits: Column) -> Column:
     """Log probabilities, stable by the largest logit."""
 

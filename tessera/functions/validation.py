@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions.features import NUMBER, SYMBOL, Rules, feature_struct, score
-from tessera.functions.pytext import count
+from tessera.functions.pytext import count, let
 
 
 def _recall(a: Column, b: Column) -> Column:
@@ -50,10 +50,18 @@ def latex_kept(a: Column, b: Column) -> Column:
 
 def validate(a: Column, b: Column, score_raw: Column, r: Rules = Rules()) -> Column:
     """A struct of the checks of text ``b`` against ``a``, with the reasons of failure in order."""
-    number, variable, symbol = number_recall(a, b), variable_recall(a, b), symbol_recall(a, b)
-    brackets, latex = brackets_kept(a, b), latex_kept(a, b)
+    return let(measures(a, b), lambda m: verdict(m, score_raw, r))
+
+
+def measures(a: Column, b: Column) -> Column:
     ratio = F.when(F.length(a) == 0, 1.0).otherwise(F.try_divide(F.length(b), F.length(a)))
-    post = score(feature_struct(b))
+    return F.struct(
+        number_recall(a, b).alias("number"), variable_recall(a, b).alias("variable"), symbol_recall(a, b).alias("symbol"), brackets_kept(a, b).alias("brackets"), latex_kept(a, b).alias("latex"), ratio.alias("ratio"), let(feature_struct(b), score).alias("post"),
+    )
+
+
+def verdict(m: Column, score_raw: Column, r: Rules) -> Column:
+    number, variable, symbol, brackets, latex, ratio, post = (m[n] for n in ("number", "variable", "symbol", "brackets", "latex", "ratio", "post"))
     lost = score_raw - post
     reasons = F.array_compact(
         F.array(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.cleaning import BOILERPLATE_LINE, cut_tails, drop_lines, squeeze, with_clean_text
 from tessera.functions.features import Rules, drop_after_cleaning, feature_struct, hard_drop, needs_rewrite, route, score, strong_math
-from tessera.functions.pytext import strip
+from tessera.functions.pytext import let, once, strip
 from tessera.functions.validation import validate
 from tessera.operators.segment import segment_documents
 
@@ -23,16 +23,18 @@ def keep_as_is(text: Column) -> tuple[Column, Column, Column]:
 
 def drop_repeated_sentences(c: Column) -> Column:
     """Without sentences equal to the one before, joined by spaces; a text of one sentence stays as it is."""
-    parts = F.split(c, r"(?U)(?<=[.。!！?？])\s+", -1)
-    kept = F.filter(parts, lambda x, i: (i == 0) | (strip(x) != strip(F.element_at(parts, F.greatest(i, F.lit(1))))))
-    return F.when(F.size(parts) > 1, F.array_join(kept, " ")).otherwise(c)
+
+    def kept(parts: Column) -> Column:
+        return F.array_join(F.filter(parts, lambda x, i: (i == 0) | (strip(x) != strip(F.element_at(parts, F.greatest(i, F.lit(1)))))), " ")
+
+    return let(F.split(c, r"(?U)(?<=[.。!！?？])\s+", -1), kept)
 
 
 def rule_rewriter(text: Column) -> tuple[Column, Column, Column]:
     """The rewriter without a model: tails, boilerplate lines, repeated sentences and white space."""
     out = strip(squeeze(drop_repeated_sentences(drop_lines(cut_tails(text), BOILERPLATE_LINE))))
-    changed = (F.abs(F.length(out) - F.length(text)) > 10) | (out != strip(text))
-    return out, F.when(changed, "light_clean").otherwise("keep_as_is"), F.lit(None).cast("string")
+    changed = lambda o: (F.abs(F.length(o) - F.length(text)) > 10) | (o != strip(text))
+    return out, let(out, lambda o: F.when(changed(o), "light_clean").otherwise("keep_as_is")), F.lit(None).cast("string")
 
 
 REWRITERS: dict[str, Rewriter] = {"noop": keep_as_is, "regex": rule_rewriter}
@@ -47,18 +49,18 @@ def parsed_reply(reply: Column) -> tuple[Column, Column]:
 
 def ruled(segments: DataFrame, r: Rules = Rules()) -> DataFrame:
     """Segments with cleaned text, raw and cleaned features, drop flag, signals, score and route."""
-    df = with_clean_text(segments.withColumn("raw", feature_struct("text")), "text", "cleaned")
-    df = df.withColumn("features", feature_struct("cleaned"))
+    df = with_clean_text(segments.withColumn("raw", once(feature_struct("text"))), "text", "cleaned")
+    df = df.withColumn("cleaned", once(F.col("cleaned"))).withColumn("features", once(feature_struct("cleaned")))
     raw, f = F.col("raw"), F.col("features")
     df = df.withColumn("hard_drop", hard_drop(raw, r) | drop_after_cleaning(raw, F.col("cleaned"), r)).withColumn("strong_math_signal", strong_math(f)).withColumn("needs_llm_cleanup", needs_rewrite(f))
-    return df.withColumn("score", score(f)).withColumn("step", F.when(F.col("hard_drop") | (strip("cleaned") == ""), "hard_drop").otherwise(route(F.col("score"), f, r)))
+    return df.withColumn("score", once(score(f))).withColumn("step", F.when(F.col("hard_drop") | (strip("cleaned") == ""), "hard_drop").otherwise(route(F.col("score"), f, r)))
 
 
 def decided(df: DataFrame, rewriter: Rewriter = rule_rewriter, r: Rules = Rules()) -> DataFrame:
     """``ruled`` segments with the audit's columns and the kept text and quality score, null where dropped."""
     text, said, error = rewriter(F.col("cleaned"))
-    df = df.withColumns({"new_text": F.when(F.col("step") == "llm", text), "said": F.when(F.col("step") == "llm", said), "error": F.when(F.col("step") == "llm", error)})
-    df = df.withColumn("v", F.when((F.col("step") == "llm") & F.col("error").isNull() & (F.col("said") != "drop"), validate(F.col("cleaned"), F.col("new_text"), F.col("score"), r)))
+    df = df.withColumns({"new_text": once(F.when(F.col("step") == "llm", text)), "said": F.when(F.col("step") == "llm", said), "error": F.when(F.col("step") == "llm", error)})
+    df = df.withColumn("v", once(F.when((F.col("step") == "llm") & F.col("error").isNull() & (F.col("said") != "drop"), validate(F.col("cleaned"), F.col("new_text"), F.col("score"), r))))
     passed, v = F.coalesce(F.col("v.validation_pass"), F.lit(False)), F.col("v")
     step, fallback = F.col("step"), F.col("score") >= r.fallback_min_raw_score
     failed = (step == "llm") & (F.col("error").isNotNull() | (v.isNotNull() & ~passed))
@@ -67,9 +69,10 @@ def decided(df: DataFrame, rewriter: Rewriter = rule_rewriter, r: Rules = Rules(
         F.when(step == "hard_drop", F.array(F.lit("hard_drop_by_rule"))).when(step == "drop", F.array(F.lit("low_score_weak_math"))).when(F.col("error").isNotNull(), F.array(F.concat(F.lit("llm_error: "), F.col("error"))))
         .when((step == "llm") & (F.col("said") == "drop"), F.array(F.lit("llm_decided_drop"))).when(v.isNotNull() & ~passed, F.col("v.fail_reasons")).otherwise(F.array().cast("array<string>"))
     )
+    df = df.withColumn("route", once(final))
+    final = F.col("route")
     return df.withColumns(
         {
-            "route": final,
             "classifier_score_raw": F.when(step != "hard_drop", F.col("score")),
             "classifier_score_post": F.col("v.score_post"),
             "llm_decision": F.when(F.col("error").isNotNull(), "error").otherwise(F.col("said")),
@@ -91,7 +94,9 @@ def audit(df: DataFrame) -> DataFrame:
 
 
 def output(df: DataFrame) -> DataFrame:
-    return df.where("route <> 'dropped'").select(F.col("segment_id").alias("id"), F.col("kept_text").alias("text"), "quality_score")
+    """The kept segments. A generator keeps the rows, as a filter's constraints would be traced through every rule."""
+    kept = F.struct(F.col("segment_id").alias("id"), F.col("kept_text").alias("text"), "quality_score")
+    return df.select(F.inline(F.when(F.col("route") != "dropped", F.array(kept)).otherwise(F.array().cast("array<struct<id: string, text: string, quality_score: double>>"))))
 
 
 def summary(audited: DataFrame) -> DataFrame:

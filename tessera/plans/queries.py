@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 
 from tessera.functions import answers, evaluation, features, reward, similarity, tokens, validation
 from tessera.functions.cleaning import drop_repeats, with_clean_text
-from tessera.functions.pytext import strip, uniform
+from tessera.functions.pytext import let, once, strip, uniform
 from tessera.operators import cleaner, extract, preference, progress, segment, selection
 from tessera.sources import files
 from tessera.sources.tables import spread, table
@@ -53,8 +53,8 @@ def doc_features(s: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(s: SparkSession, d: str) -> DataFrame:
-    df = docs(s, d).select("doc_id", features.feature_struct("text").alias("f"))
-    return df.withColumn("score", features.score(F.col("f"))).withColumn("route", features.route(F.col("score"), F.col("f")))
+    df = docs(s, d).select("doc_id", once(features.feature_struct("text")).alias("f"))
+    return df.withColumn("score", once(features.score(F.col("f")))).withColumn("route", features.route(F.col("score"), F.col("f")))
 
 
 @query
@@ -113,7 +113,7 @@ def recall_checks(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def validated_rewrites(s: SparkSession, d: str) -> DataFrame:
-    df = generations(s, d).where("continuation is not null").withColumn("score", features.score(features.feature_struct("full_response")))
+    df = generations(s, d).where("continuation is not null").withColumn("score", let(features.feature_struct("full_response"), features.score))
     return df.select("gen_id", validation.validate(F.col("full_response"), F.col("continuation"), F.col("score")).alias("v")).select("gen_id", "v.validation_pass", "v.number_recall", "v.variable_recall", "v.symbol_recall", "v.score_post", F.to_json("v.fail_reasons").alias("reasons"))
 
 
@@ -536,7 +536,7 @@ def line_penalties(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def rewards(s: SparkSession, d: str) -> DataFrame:
-    df = spread(generations(s, d)).withColumn("quality", features.score(features.feature_struct("full_response")))
+    df = spread(generations(s, d)).withColumn("quality", let(features.feature_struct("full_response"), features.score))
     return df.select("gen_id", reward.reward("full_response", "ground_truth", F.col("quality")).alias("r")).select("gen_id", "r.acc", "r.near_correct", "r.has_boxed", F.round("r.score", 6).alias("score"), F.round("r.repetition_penalty", 6).alias("penalty"))
 
 
