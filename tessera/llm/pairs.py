@@ -212,7 +212,7 @@ def breaks_off(text: str) -> bool:
         return False
     plain = MATH.sub("\ue000", last)
     said = re.sub(r"\\boxed\{.*\}|\\[a-zA-Z]+|[\W\d_]+", " ", plain.replace("\ue000", " ")).split()
-    if not said or CODE.match(last):
+    if not said or CODE.match(last) or re.search(r"\\boxed\{.*\}\W*$", last):
         return False
     if ANSWER.search(plain) and VALUE_END.search(plain):
         return False
@@ -244,40 +244,46 @@ def script(ch: str) -> str:
     return SCRIPTS.get(unicodedata.name(ch, "").split(" ")[0], "")
 
 
-def language(text: str) -> tuple[str, float]:
-    """The language most words vote for, and its share of the votes; ("", 0) where nothing votes.
+def votes(text: str) -> tuple[Counter, float]:
+    """How many words vote for each language, and how many vote at all.
 
-    Formulas and commands have no vote. A letter of a script of one language is half a vote, a common word of
-    a language in Latin script one, divided among the languages that share it; an accented letter is a fifth.
+    Formulas and commands have no vote. A common word of a language in Latin script votes for every language
+    that has it; a letter of a script of one language is a fifth of a vote, a Han or Kana letter a half, an
+    accented letter a fifth.
     """
     t = re.sub(r"\\[a-zA-Z]+|<[^<>\n]*>|https?://\S+", " ", MATH.sub(" ", text)).lower()
-    votes: Counter = Counter()
+    told: Counter = Counter()
+    total = 0.0
     for w in re.findall(r"[^\W\d_]+", t):
+        if of := _VOTES.get(w):
+            told.update(of)
+            total += 1
         if w.isascii():
-            for lang in (of := _VOTES.get(w, ())):
-                votes[lang] += 1 / len(of)
             continue
-        of = _VOTES.get(w)
-        if of:
-            for lang in of:
-                votes[lang] += 1 / len(of)
         for ch in w:
-            if ord(ch) > 0x2FF:
-                if lang := script(ch):
-                    votes[lang] += 0.5 if lang in ("zh", "ja", "ko") else 0.2
-            elif lang := ACCENTS.get(ch):
-                votes[lang] += 0.2
-    if not votes:
+            lang = script(ch) if ord(ch) > 0x2FF else ACCENTS.get(ch)
+            if lang:
+                n = 0.5 if lang in ("zh", "ja", "ko") else 0.2
+                told[lang] += n
+                total += n
+    return told, total
+
+
+def language(text: str) -> tuple[str, float]:
+    """The language most words vote for, and its share of the votes; ("", 0) where nothing votes."""
+    told, total = votes(text)
+    if not told:
         return "", 0.0
-    best, n = max(votes.items(), key=lambda x: (x[1], x[0]))
-    return best, n / sum(votes.values())
+    best, n = max(told.items(), key=lambda x: (x[1], x[0] == "en", x[0]))
+    return best, n / total
 
 
 def other_language(prompt: str, response: str) -> bool:
-    """Whether clear majorities of the votes put prompt and response into different languages."""
+    """Whether clear majorities put prompt and response into different languages, and few words fit the prompt's."""
     a, sure_a = language(prompt)
+    told, total = votes(response)
     b, sure_b = language(response)
-    return bool(a and b) and a != b and sure_a >= 0.5 and sure_b >= 0.6
+    return bool(a and b) and a != b and sure_a >= 0.5 and sure_b >= 0.6 and told[a] < 0.5 * told[b]
 
 
 def defect(prompt: str | None, response: str | None) -> str | None:

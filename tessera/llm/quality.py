@@ -8,6 +8,7 @@ unreadable characters lies far in the upper tail and makes up most of its conten
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +49,7 @@ def cells(line: str) -> tuple[str, int] | None:
     return None
 
 
+@lru_cache(maxsize=1 << 16)
 def unreadable(token: str) -> bool:
     """Whether a token is no word, number or name of any language: by script, vowels, length and mixture."""
     if len(set(token)) == 1:
@@ -209,7 +211,7 @@ def measured(pages: DataFrame) -> DataFrame:
 def sketches(stats: DataFrame, names: tuple = STATS) -> DataFrame:
     """(lang, n, one sketch per statistic); lang null is the merge of all languages."""
     each = stats.groupBy("lang").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(c).alias(c) for c in names))
-    return each.unionByName(each.agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(c).alias(c) for c in names)).select(F.lit(None).cast("string").alias("lang"), "n", *names))
+    return each.unionByName(each.agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(c).alias(c) for c in names)).where("n is not null").select(F.lit(None).cast("string").alias("lang"), "n", *names))
 
 
 def placed(stats: DataFrame, names: tuple = STATS, own: int = OWN) -> DataFrame:

@@ -35,6 +35,8 @@ PLACEHOLDER = re.compile(
     r"|\[(?:INSERT|ADD|ENTER|PLACE|FILL IN|TODO|TBD|TK|YOUR|Insert|Add|Enter|Place|Your)\b[^\]\n]{1,60}\]|<[^<>\n]{2,40} to be (?:added|filled in|inserted|completed|announced)>|\((?:[^()\n]{2,40}) pending\b[^()\n]*\)|[【\[（(](?:此处|在此|请在此)?(?:填写|插入|输入)[^】\]）)\n]{0,40}[】\]）)]"
     r"|\bXXX+ [^\n]{1,40}? XXX+\b|\b(?:TODO|FIXME|TBD): *\w[^\n]{0,60}"
 )
+#: Names that a language reserves between double underscores (fixed values).
+RESERVED = re.compile(r"__(?:name|main|init|file|doc|all|dict|class|str|repr|len|call|getitem|setitem|iter|next|enter|exit|new|del|slots|version|import|future)__")
 #: The same marks where a text speaks about them.
 BEFORE = re.compile(r"(?i)(?:\bthe (?:text|string|mark|token|expression|syntax|notation|variable)|\busers (?:write|type)|\bsuch as|\bcalled|占位符|语法|写作)\s*[\"'`“]?$")
 AFTER = re.compile(r"(?i)^[\"'`”]?\s*(?:stands? for|means\b|denotes\b|refers to|is (?:replaced|the syntax|written|a placeholder)|marks\b|表示|代表)")
@@ -59,7 +61,7 @@ HAN_RUN = re.compile("[一-鿿]{3,}")
 def placeholders(passage: str) -> list[str]:
     """Placeholders of a passage that are left unfilled, not spoken about; formulas hold none."""
     bare = FORMULA.sub(" ", passage) if "$" in passage else passage
-    return [m[0] for m in PLACEHOLDER.finditer(bare) if not (BEFORE.search(bare[: m.start()]) or AFTER.match(bare[m.end() :]))]
+    return [m[0] for m in PLACEHOLDER.finditer(bare) if not (RESERVED.fullmatch(m[0]) or BEFORE.search(bare[: m.start()]) or AFTER.match(bare[m.end() :]))]
 
 
 def passages(text: str) -> list[str]:
