@@ -169,7 +169,8 @@ def blocks(lines: list[str], stop: list[bool]) -> Iterator[tuple[int, int]]:
 def furniture(text: str, weights: dict[str, float]) -> list[int]:
     """Numbers of the non-empty lines outside title and body.
 
-    Without any weakly labelled furniture the whole text is body.
+    Without any weakly labelled furniture the whole text is body. Undecided lines outside the region that follow
+    a blank line, or stand above the region before one, are body too: links of a sidebar follow its heading.
     """
     lines = text.split("\n")
     weak = labels(lines)
@@ -192,7 +193,12 @@ def furniture(text: str, weights: dict[str, float]) -> list[int]:
         start -= 1
     while end + 1 < len(lines) and not plain[end + 1]:
         end += 1
-    return [i for i, x in enumerate(lines) if x.strip() and (i < start or i > end or plain[i])]
+    apart: set[int] = set()  # titles and paragraphs cut off by furniture within the body
+    for a, b in blocks(lines, plain):
+        below = b < len(lines) and not lines[b].strip()
+        if not (start <= a and b - 1 <= end) and a > 0 and (not lines[a - 1].strip() or (b <= start and below)):
+            apart.update(range(a, b))
+    return [i for i, x in enumerate(lines) if x.strip() and i not in apart and (i < start or i > end or plain[i])]
 
 
 def bodies(pages: DataFrame, fit_pages: int = FIT_PAGES) -> DataFrame:
