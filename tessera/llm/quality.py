@@ -28,6 +28,7 @@ FORMULA = re.compile(r"\$\$.+?\$\$|\$[^$\n]+\$|<math>.*?</math>", re.S)
 MARK = re.compile(r"^\s*(?:[-*•·»–▪◦‣]|\(?(?:\d{1,3}|[a-zA-Z]|[ivxIVX]+)[.)]|[（(][一二三四五六七八九十\d]+[)）]|<li>|\\item)\s*")
 CODE = re.compile(r"^\s*(?:```|def .*:$|for .*:$|if .*:$|while .*:$|else:$|return\b|print\(|\w+ [-+*/]?= |</?(?:pre|code|syntaxhighlight)|\\(?:begin|end)\{|</?(?:ul|ol)>)")
 SEPARATORS = (("\t", re.compile(r"\t")), ("|", re.compile(r"\s*\|\s*")), (";", re.compile(r"\s*[;；]\s*")), (",", re.compile(r"\s*,\s*")), (" ", re.compile(r"\s{2,}")), ("&", re.compile(r"\s+&\s+")))
+ELEMENT = re.compile(r"</?[a-zA-Z][^<>]*>")
 LETTERS = re.compile(r"[^\W\d_]+")
 TOKEN = re.compile(r"[^\s,;|]+")
 VOWEL = re.compile(r"[aeiouyàâäáãåæèéêëìíîïòóôöõøùúûüœ]", re.I)
@@ -84,8 +85,9 @@ def unreadable(token: str) -> bool:
 
 
 def size(line: str) -> int:
-    """Characters that show; a Han character counts as two."""
-    return sum(1 for c in line if not c.isspace()) + len(HAN.findall(line))
+    """Characters that show, without tags; a Han character counts as three, as it says about as much."""
+    bare = ELEMENT.sub("", line) if "<" in line else line
+    return len(bare) - sum(map(bare.count, " \t\u3000\u00a0")) + (0 if bare.isascii() else 2 * len(HAN.findall(bare)))
 
 
 def content(text: str) -> dict[str, int]:
