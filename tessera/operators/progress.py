@@ -110,3 +110,24 @@ def cycle(rows: DataFrame, states: DataFrame, shares: dict[str, float], total: i
     more = pool.where(F.col("category").isin("sweet_spot", "learning")).withColumn("_code", F.concat(F.lit("000"), hash_order(f"{seed}+", "sample_id", "category")))
     stop = prefix_cut(more, "_code", short)
     return picked.unionByName((more if stop is None else more.where(F.col("_code") <= stop)).select("sample_id", "category"))
+
+
+def guided_rows(candidates: DataFrame, questions: DataFrame, most: int, seed: int | str = 0) -> DataFrame:
+    """(sample_id, prompt, prefix, prefix_ratio): up to ``most`` candidates with a safe prefix of their reference answer.
+
+    ``questions`` has sample_id, question, answer and ground_truth; the ratio is drawn by hash from .15 to .55.
+    """
+    from tessera.functions.pytext import hash_order, uniform
+    from tessera.functions.similarity import guided_prefix
+    from tessera.operators.preference import SYSTEM, messages
+    from tessera.operators.selection import prefix_cut
+
+    u, v = uniform(f"{seed}tier", "sample_id"), uniform(f"{seed}ratio", "sample_id")
+    low = F.when(u < 0.5, 0.15).when(u < 0.85, 0.25).otherwise(0.40)
+    width = F.when(u < 0.5, 0.10).otherwise(0.15)
+    df = questions.select("sample_id", "question", "answer", "ground_truth").dropDuplicates(["sample_id"]).join(candidates.select("sample_id").distinct(), "sample_id")
+    df = df.withColumn("prefix_ratio", F.round(low + width * v, 6)).withColumn("prefix", guided_prefix(F.col("answer"), F.col("ground_truth"), F.col("prefix_ratio"))).where("prefix is not null")
+    coded = df.withColumn("_code", F.concat(F.lit("000"), hash_order(seed, "sample_id")))
+    stop = prefix_cut(coded, "_code", most)
+    kept = coded if stop is None else coded.where(F.col("_code") <= stop)
+    return kept.select("sample_id", messages(("system", F.lit(SYSTEM)), ("user", F.col("question")), ("assistant", F.col("prefix"))).alias("prompt"), "prefix", "prefix_ratio")

@@ -185,7 +185,36 @@ def kl(a: str, b: str) -> str:
     return f"list_sum(list_transform(range(1, len({a}) + 1), lambda i: exp({a}[i]) * ({a}[i] - {b}[i])))"
 
 
-_FLOAT = "'[' || array_to_string({x}, ',') || ']'"
+
+def shuffled(x: str) -> str:
+    """A list in the order of the hashes of its numbered items."""
+    return f"list_transform(list_sort(list_transform(range(len({x})), lambda i: {{'h': sha1('0' || i || {x}[i + 1]), 'x': {x}[i + 1]}})), lambda e: e.x)"
+
+
+SIMPLE_PAIRS = f"""
+with st as (select question, list_transform(list_filter(responses, lambda r: coalesce(r.is_correct, false)), lambda r: r.text) as c, list_transform(list_filter(responses, lambda r: not coalesce(r.is_correct, false)), lambda r: r.text) as w
+  from {STUDENTS} where num_correct < num_total and num_correct > 0),
+o as (select question, {shuffled('c')} as c, {shuffled('w')} as w, case when len(c) >= 2 and len(w) >= 2 then 2 else least(1, len(c), len(w)) end as n from st)
+select question, unnest(c[1:n]) as chosen, unnest(w[1:n]) as rejected from o"""
+THINK = f"select gen_id, case when gen_id % 2 = 0 then '<think>' else '' end || prefix || '</think>' || coalesce(continuation, '') as t from {GENERATIONS}"
+AFTER = "regexp_extract(t, '(?s)</think>(.*)', 1)"
+BARE = strip("regexp_replace(t, '(?s)<think>.*?</think>', '', 'g')")
+THINKING = f"""
+select gen_id, case when {BARE} <> '' then {BARE} when {strip(AFTER)} <> '' then {strip(AFTER)} else t end as bare,
+  case when not contains(split_part(t, '</think>', 1), '<think>') then '<think>' || chr(10) || regexp_replace(t, '^[{SPACE}]+', '') else t end as marked, {flat_boxed(AFTER)} as pred from ({THINK})"""
+
+
+def js(s: str, t: str) -> str:
+    m = f"ln(greatest(0.5 * (exp({s}[i]) + exp({t}[i])), 1e-8))"
+    return f"greatest(0.0, list_sum(list_transform(range(1, len({s}) + 1), lambda i: 0.5 * exp({s}[i]) * ({s}[i] - {m}) + 0.5 * exp({t}[i]) * ({t}[i] - {m}))))"
+
+
+_TOP = "list_sort(list_transform(range(1, len(t) + 1), lambda i: {'o': -t[i], 't': t[i], 's': s[i]}))[1:4]"
+TOKEN_WEIGHTS = f"""
+with l as ({LOGITS}), k as (select vec_id, s, t, list_transform({_TOP}, lambda e: e.s) as s4, list_transform({_TOP}, lambda e: e.t) as t4 from l),
+g as (select vec_id, {log_softmax('s')} as s, {log_softmax('t')} as t, {log_softmax('s4')} as s4, {log_softmax('t4')} as t4 from k),
+v as (select vec_id, -list_sum(list_transform(s, lambda x: exp(x) * x)) / ln(len(s)) as ent, {js('s', 't')} / ln(2) as div, {js('s4', 't4')} / ln(2) as div4 from g)
+select vec_id, round(ent, 6) as ent, round(div, 6) as div, round(div4, 6) as div4, round(greatest(ent, 1e-8) * sqrt(greatest(div, 1e-8)), 6) as weight from v"""
 
 ORACLES: dict[str, str] = {
     "doc_features": features("sample_input", "row_idx"),
@@ -268,5 +297,8 @@ from (select gen_id, continuation[1:3000] as a, (answer[length(prefix) + 1 :])[1
     "lp_categories": f"select category, count(*) as n from (select unnest({LABELS}) as category from ({STATES})) group by 1",
     "lp_guided": f"select sample_id, n_updates from ({STATES}) where p <= 0.05 and n_updates >= 2 and lp <= 0.01",
     "lp_advantages": f"select o.sample_id, count(*) as n, round(sum({WEIGHT}), 4) as total from lp_observations o left join ({STATES}) s on s.sample_id = o.sample_id where o.step % 10 = 0 group by 1",
+    "simple_pairs": SIMPLE_PAIRS,
+    "answers_thinking": THINKING,
+    "token_weights": TOKEN_WEIGHTS,
     "token_divergences": f"select vec_id, round({kl('s', 't')}, 6) as reverse_kl, round({kl('t', 's')}, 6) as forward_kl, round(-list_sum(list_transform(s, lambda x: exp(x) * x)), 6) as entropy, round(exp(t[1]), 6) as p_first from ({LOGS})",
 }

@@ -641,6 +641,19 @@ def lp_guided(s: SparkSession, d: str) -> DataFrame:
     return progress.guided_candidates(_states(s, d)).select("sample_id", "n_updates")
 
 
+@query
+def lp_guided_rows(s: SparkSession, d: str) -> DataFrame:
+    q = questions(s, d).withColumn("sample_id", selection.sample_id("question", "ground_truth"))
+    return progress.guided_rows(progress.guided_candidates(_states(s, d)), q, 100).withColumn("prompt", F.to_json("prompt"))
+
+
+@query
+def teacher_messages(s: SparkSession, d: str) -> DataFrame:
+    """Prompts for a teacher that is told the answer."""
+    told = F.concat("question", F.lit("\n\nThe correct answer is "), "ground_truth", F.lit("."))
+    return questions(s, d).select("row_idx", F.to_json(preference.messages(("system", F.lit(preference.SYSTEM)), ("user", told))).alias("messages"))
+
+
 @query
 def lp_advantages(s: SparkSession, d: str) -> DataFrame:
     t = observations(s, d).where("step % 10 = 0").select("sample_id", "step", F.array(F.coalesce("reward", F.lit(0.0)), F.lit(1.0)).alias("advantages"))

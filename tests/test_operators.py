@@ -147,3 +147,25 @@ def test_stream_equals_batch_over_two_runs(spark, tmp_path):
     want = {r.sample_id: r for r in progress.updated(progress.step_rates(spark.createDataFrame(kept, shape))).collect()}
     for k in ("a", "b"):
         assert (last[k].p, last[k].n_updates, last[k].pg_seen) == pytest.approx((want[k].p, want[k].n_updates, want[k].pg_seen or 0))
+
+
+def test_models_are_boundaries(spark):
+    from tessera.operators.models import generated, label_score, rounds_done, scored_by
+
+    df = spark.createDataFrame([(1, "abc"), (2, None), (3, "x" * 5000)], "id int, text string")
+    assert {r.id: r.score for r in scored_by(df, "id", "text", lambda: lambda ts: [len(t) for t in ts]).collect()} == {1: 3.0, 2: 0.0, 3: 5.0}
+
+    def broken():
+        raise RuntimeError("no model")
+
+    assert {r.score for r in scored_by(df.where("id = 1"), "id", "text", broken).collect()} == {None}
+    assert [(r.id, r.sample_no, r.text) for r in generated(df.where("id = 1"), "id", "text", lambda: lambda ts: [t.upper() for t in ts], 2).collect()] == [(1, 0, "ABC"), (1, 1, "ABC")]
+    assert [r.text for r in generated(df.where("id = 1"), "id", "text", broken).collect()] == [""]
+    assert label_score("LABEL_3", 0.2) == 3.0 and label_score("good", 0.5) == 2.5 and rounds_done(90, 100) and not rounds_done(89, 100)
+
+
+def test_guided_rows_join_by_sample(spark):
+    q = spark.createDataFrame([("What is it?", "First line\nsecond line of it\nthird line here\nand the last one that ends here", "9", "s1"), ("Other?", "no breaks", "1", "s2")], "question string, answer string, ground_truth string, sample_id string")
+    c = spark.createDataFrame([("s1",), ("s2",), ("s3",)], "sample_id string")
+    rows = progress.guided_rows(c, q, 10).collect()
+    assert len(rows) == 1 and rows[0].sample_id == "s1" and [m.role for m in rows[0].prompt] == ["system", "user", "assistant"]
