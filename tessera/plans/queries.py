@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +13,7 @@ from tessera.functions.cleaning import drop_repeats, with_clean_text
 from tessera.functions.pytext import let, once, strip, uniform
 from tessera.operators import cleaner, extract, preference, progress, segment, selection
 from tessera.sources import files
-from tessera.sources.tables import spread, table
+from tessera.sources.tables import shared_folder, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -674,8 +672,7 @@ def lp_stream(s: SparkSession, d: str) -> DataFrame:
 
     path = f"{d}/lp_observations.parquet"
     shape = s.read.parquet(path).schema
-    shared = s.conf.get("spark.checkpoint.dir", None)
-    folder = f"{shared.rstrip('/')}/lp_stream_{uuid.uuid4().hex}" if shared else tempfile.mkdtemp()
+    folder = shared_folder(s, "lp_stream")
     run_available(s.readStream.schema(shape).parquet(f"{path}*"), f"{folder}/out", f"{folder}/checkpoint")
     return latest(s.read.parquet(f"{folder}/out")).select("sample_id", F.round("p", 6).alias("p"), F.round("lp", 6).alias("lp"), "n_updates")
 

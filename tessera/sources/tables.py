@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,3 +22,16 @@ def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     spark = df.sparkSession
     least = least or spark.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= least else df.repartition(least)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the one that the cluster names in ``spark.checkpoint.dir``; a local one only where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}" if base else f"{tempfile.mkdtemp()}/{name}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as a table and read back: its lineage is cut, and losing an executor loses nothing of it."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -165,7 +165,7 @@ def test_models_are_boundaries(spark):
 
 
 def test_guided_rows_join_by_sample(spark):
-    q = spark.createDataFrame([("What is it?", "First line\nsecond line of it\nthird line here\nand the last one that ends here", "9", "s1"), ("Other?", "no breaks", "1", "s2")], "question string, answer string, ground_truth string, sample_id string")
+    q = spark.createDataFrame([("What is it?", "\n".join(["This is one line of a solution of forty one"] * 9), "9", "s1"), ("Other?", "no breaks", "1", "s2")], "question string, answer string, ground_truth string, sample_id string")
     c = spark.createDataFrame([("s1",), ("s2",), ("s3",)], "sample_id string")
     rows = progress.guided_rows(c, q, 10).collect()
     assert len(rows) == 1 and rows[0].sample_id == "s1" and [m.role for m in rows[0].prompt] == ["system", "user", "assistant"]
