@@ -17,7 +17,7 @@ from tessera.functions.arrow import map_columns
 from tessera.functions.words import HAN, visible
 from tessera.llm.mainbody import COUNTER, label, sentence
 from tessera.llm.pairs import STOPWORDS, language
-from tessera.sources.tables import spread
+from tessera.sources.tables import spread, written
 
 SHARES = ("list", "table", "junk")
 STATS = ("n_chars", "n_words", "word_length", "symbol_ratio", "digit_ratio", "ending_lines", "common_words", "short_lines", *(f"{k}_share" for k in SHARES))
@@ -182,18 +182,18 @@ def statistics(text: str) -> tuple:
     lines = [x for x in t.split("\n") if x.strip()]
     words = LETTERS.findall(HAN.sub(" ", t))
     han = len(HAN.findall(t))
-    n = size(t) or 1
+    n = sum(map(len, t.split())) or 1
     n_words = len(words) + han / 2
     parts = content(t)
     whole = sum(parts.values())
-    symbols = sum(1 for c in t if not (c.isalnum() or c.isspace()))
+    symbols = n - sum(map(str.isalnum, t))
     digits = sum(map(str.isdigit, t))
     ending = sum(1 for x in lines if re.search(r"[.!?。！？:：;；…][\"'”’)\]]*\s*$", x))
     lang, sure = language(t)
     return (
         lang if lang and sure >= 0.5 else "und",
         float(len(t)), float(n_words), sum(map(len, words)) / len(words) if words else 0.0, symbols / n, digits / n, ending / (len(lines) or 1),
-        sum(1 for w in words if w.lower() in COMMON) / (len(words) or 1), sum(1 for x in lines if len(x) < 40) / (len(lines) or 1),
+        sum(map(COMMON.__contains__, map(str.lower, words))) / (len(words) or 1), sum(1 for x in lines if len(x) < 40) / (len(lines) or 1),
         *(parts[k] / whole if whole else 0.0 for k in SHARES),
     )
 
@@ -248,7 +248,7 @@ def kinds(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     TAIL. ``rules`` (id, run_no, feature_dict) adds the latest run's char_len, number_count and symbol_count.
     """
     names = tuple(f"{k}_share" for k in SHARES)
-    at = placed(measured(pages).persist(), names)
+    at = placed(written(measured(pages), "statistics"), names)
     found = F.lit(None).cast("string")
     top = F.greatest(*names)
     for k in reversed(SHARES):
