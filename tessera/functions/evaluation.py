@@ -35,8 +35,12 @@ def solve_rate(df: DataFrame, question: str, correct: str, gate: float = 5.0) ->
     return per.agg(F.count("*").alias("questions"), F.count_if("solved").alias("n_solved"), F.round(100 * F.avg(F.col("solved").cast("double")), 4).alias("rate")).withColumn("passed", F.col("rate") >= gate)
 
 
-def softmax_share(reward: Column, group: str, beta: float) -> Column:
-    """exp(r / beta) over its group's sum, stable by the group's maximum."""
-    w = W.partitionBy(group)
-    e = F.exp((reward - F.max(reward).over(w)) / beta)
-    return e / F.sum(e).over(w)
+def softmax_shares(df: DataFrame, group: str, reward: str, beta: float) -> DataFrame:
+    """``df`` with weight, exp(reward / beta) over its group's sum, stable by the group's maximum.
+
+    Group values are aggregates joined back, so that a hot group is split by the join instead of sorted.
+    """
+    top = df.groupBy(group).agg(F.max(reward).alias("_top"))
+    shifted = df.join(top, group).withColumn("_e", F.exp((F.col(reward) - F.col("_top")) / beta))
+    sums = shifted.groupBy(group).agg(F.sum("_e").alias("_sum"))
+    return shifted.join(sums, group).withColumn("weight", F.col("_e") / F.col("_sum")).drop("_top", "_e", "_sum")

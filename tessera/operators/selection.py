@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -99,9 +97,14 @@ def accuracy_bin(acc: Column) -> Column:
     return F.when(acc.isNull(), "unknown").when(acc == 0, "0").when(acc < 0.25, "(0, .25)").when(acc < 0.5, "[.25, .5)").when(acc < 0.75, "[.5, .75)").otherwise("[.75, 1]")
 
 
-def first_per_key(df: DataFrame, key: Column, order: Sequence[str]) -> DataFrame:
-    """Of each key the row that comes first. Only order and row number are sorted; null keys are one key."""
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
+def first_per_key(df: DataFrame, key: Column, order: str) -> DataFrame:
+    """Of each key the row with the least ``order``, which must be unique; null keys are one key.
+
+    The least is an aggregate that combines before the shuffle, and rows are found again by their order, which
+    is spread evenly, so a key that most rows share makes no large task.
+    """
+    winners = df.select(key.alias("_key"), order).groupBy("_key").agg(F.min(order).alias(order)).select(order)
+    return df.join(winners, order, "left_semi")
 
 
 def last_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -117,6 +120,12 @@ def cascade(*steps: tuple[str, Column]) -> Column:
     return out
 
 
+def with_first(df: DataFrame) -> DataFrame:
+    """``df`` (row_idx, qkey, early) with _first true for the first row of each key among those without an early reason."""
+    winners = df.where("early is null").groupBy("qkey").agg(F.min("row_idx").alias("row_idx")).select("row_idx", F.lit(True).alias("_first"))
+    return df.join(winners, "row_idx", "left")
+
+
 def rejected_for_pairs(questions: DataFrame, accuracy: DataFrame | None = None) -> DataFrame:
     """Questions (row_idx, question, answer, ground_truth, category) with key and reject reason of the pair cascade.
 
@@ -131,9 +140,9 @@ def rejected_for_pairs(questions: DataFrame, accuracy: DataFrame | None = None)
         df = df.withColumn("acc", F.lit(None).cast("double"))
     a, q = F.length("answer"), F.length("question")
     df = df.withColumn("early", cascade(("no_reference", F.col("ground_truth").isNull()), ("reference_no_number", ~valid_reference("ground_truth")), ("answer_short", a < 200), ("answer_long", a > 2000), ("question_short", q < 50), ("question_long", q > 1500)))
-    first = F.min(F.when(F.col("early").isNull(), F.col("row_idx"))).over(W.partitionBy("qkey"))
-    late = cascade(("duplicate", F.col("row_idx") > first), ("all_correct", F.col("acc") >= 1.0), ("excluded_subject", F.col("subject").isin(*EXCLUDED)))
-    return df.withColumn("reason", F.coalesce("early", late)).drop("early")
+    df = with_first(df)
+    late = cascade(("duplicate", F.col("_first").isNull()), ("all_correct", F.col("acc") >= 1.0), ("excluded_subject", F.col("subject").isin(*EXCLUDED)))
+    return df.withColumn("reason", F.coalesce("early", late)).drop("early", "_first")
 
 
 def rejected_for_training(questions: DataFrame) -> DataFrame:
@@ -143,9 +152,9 @@ def rejected_for_training(questions: DataFrame) -> DataFrame:
         df = df.withColumn("acc", F.lit(None).cast("double"))
     q = F.length("question")
     df = df.withColumn("early", cascade(("reference_invalid", ~valid_reference("ground_truth")), ("question_short", q < 50), ("question_long", q > 1500), ("answer_short", F.coalesce(F.length("answer"), F.lit(0)) < 100)))
-    first = F.min(F.when(F.col("early").isNull(), F.col("row_idx"))).over(W.partitionBy("qkey"))
-    late = cascade(("duplicate", F.col("row_idx") > first), ("excluded_subject", F.col("subject").isin(*EXCLUDED_SHORT)), ("all_correct", F.col("acc") >= 1.0))
-    return df.withColumn("reason", F.coalesce("early", late)).drop("early")
+    df = with_first(df)
+    late = cascade(("duplicate", F.col("_first").isNull()), ("excluded_subject", F.col("subject").isin(*EXCLUDED_SHORT)), ("all_correct", F.col("acc") >= 1.0))
+    return df.withColumn("reason", F.coalesce("early", late)).drop("early", "_first")
 
 
 def open_pool(questions: DataFrame, used: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tessera.functions import answers, evaluation, features, reward, similarity, tokens, validation
 from tessera.functions.cleaning import drop_repeats, with_clean_text
@@ -33,13 +32,13 @@ def questions(s: SparkSession, d: str) -> DataFrame:
 
 def students(s: SparkSession, d: str) -> DataFrame:
     """Students' rows once each, counts taken from the responses."""
-    df = selection.first_per_key(table(s, d, "student_responses"), selection.key_raw("question"), ["row_idx"])
+    df = selection.first_per_key(table(s, d, "student_responses"), selection.key_raw("question"), "row_idx")
     counted = preference.pass_counts(F.col("responses"))
     return df.withColumn("num_correct", counted["num_correct"]).withColumn("num_total", counted["num_total"])
 
 
 def generations(s: SparkSession, d: str) -> DataFrame:
-    return selection.first_per_key(table(s, d, "warmstart_generations"), F.col("gen_id"), ["row_idx"])
+    return selection.first_per_key(table(s, d, "warmstart_generations"), F.col("gen_id"), "row_idx")
 
 
 # --- cleaning ------------------------------------------------------------------------------------------------
@@ -82,7 +81,7 @@ def segments(s: SparkSession, d: str) -> DataFrame:
 
 
 def _cleaned(s: SparkSession, d: str) -> DataFrame:
-    pages = selection.first_per_key(table(s, d, "sample_input"), F.col("id"), ["row_idx"])
+    pages = selection.first_per_key(table(s, d, "sample_input"), F.col("id"), "row_idx")
     return cleaner.clean_documents(spread(pages.select("id", "text")))
 
 
@@ -131,7 +130,7 @@ def corpus_prefilter(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def prefix_dedup(s: SparkSession, d: str) -> DataFrame:
-    return selection.first_per_key(questions(s, d).withColumn("qkey", selection.key_strip("question")), F.col("qkey"), ["row_idx"]).select("row_idx", "qkey")
+    return selection.first_per_key(questions(s, d).withColumn("qkey", selection.key_strip("question")), F.col("qkey"), "row_idx").select("row_idx", "qkey")
 
 
 @query
@@ -518,10 +517,11 @@ def warmstart_cascade(s: SparkSession, d: str) -> DataFrame:
 def warmstart_best(s: SparkSession, d: str) -> DataFrame:
     """The best generation of each question, and a second of another prefix length that is unlike it."""
     rank = selection.case_of({"short": 0, "mid": 1, "long": 2}, "prefix_type", 9)
-    w = W.partitionBy("qkey").orderBy(rank, "rouge", "gen_id")
-    ranked = _warm(s, d).where("reason is null").withColumn("qkey", selection.key_raw("question")).withColumn("rn", F.row_number().over(w)).where("rn <= 2")
-    one = ranked.where("rn = 1").select("qkey", F.col("gen_id").alias("first_id"), F.col("prefix_type").alias("first_type"), F.col("continuation").alias("first_text"))
-    two = ranked.where("rn = 2").select("qkey", "gen_id", "prefix_type", "continuation")
+    good = _warm(s, d).where("reason is null").select(selection.key_raw("question").alias("qkey"), F.struct(rank.alias("rank"), "rouge", "gen_id", "prefix_type", "continuation").alias("g"))
+    best = good.groupBy("qkey").agg(F.min("g").alias("g"))  # the least twice, not a sorted group
+    rest = good.join(best.select(F.col("g.gen_id").alias("first_id")), F.col("g.gen_id") == F.col("first_id"), "left_anti").groupBy("qkey").agg(F.min("g").alias("g"))
+    one = best.select("qkey", F.col("g.gen_id").alias("first_id"), F.col("g.prefix_type").alias("first_type"), F.col("g.continuation").alias("first_text"))
+    two = rest.select("qkey", "g.gen_id", "g.prefix_type", "g.continuation")
     both = one.join(two, "qkey", "left").withColumn("likeness", similarity.rouge(F.col("first_text"), F.col("continuation")))
     second = F.when((F.col("prefix_type") != F.col("first_type")) & (F.col("likeness") < 0.5), F.col("gen_id"))
     return both.select("qkey", "first_id", second.alias("second_id"))
@@ -579,7 +579,7 @@ def source_shares(s: SparkSession, d: str) -> DataFrame:
 def prompt_softmax(s: SparkSession, d: str) -> DataFrame:
     """Weights of a question's generations by their rewards."""
     df = generations(s, d).select("gen_id", selection.key_raw("question").alias("qkey"), F.coalesce("is_correct", F.lit(False)).cast("double").alias("r"))
-    return df.select("gen_id", F.round(evaluation.softmax_share(F.col("r"), "qkey", 0.5), 6).alias("weight"))
+    return evaluation.softmax_shares(df, "qkey", "r", 0.5).select("gen_id", F.round("weight", 6).alias("weight"))
 
 
 # --- learning progress ---------------------------------------------------------------------------------------
