@@ -45,11 +45,11 @@ AFTER = re.compile(r"(?i)^[\"'`”]?\s*(?:stands? for|means\b|denotes\b|refers t
 PHRASES = re.compile(
     r"(?i)^\W*(?:[45]\d\d|(?:error|http|status)\W*[45]\d\d\b.*|[45]\d\d\W+(?:bad|unauthorized|forbidden|not found|internal|bad gateway|service|gateway|error|page)\b.*|(?:page |file )?not found|access denied|forbidden|page (?:not found|cannot be found|does not exist)|internal server error|service (?:temporarily )?unavailable|(?:bad gateway|gateway time-?out)\b.*"
     r"|(?:fatal error|parse error|warning|notice|uncaught \w+)\s*:.*(?:\.php|on line \d|undefined|exception).*|traceback \(most recent call last\).*|(?:key|type|value|attribute|index|name|runtime)error: .*|file \"[^\"]+\", line \d+.*|(?:database|upstream|server) (?:connect(?:ion)?) (?:failed|error).*|something went wrong.*|an (?:unexpected )?error (?:has )?occurred.*"
-    r"|(?:your )?session has expired|this account (?:is|has been) suspended|you do not have (?:permission|access)\b.*|please try again (?:later|in \d+).*|reference id \S+|contact the administrator\b.*|report this to the webmaster|our team has been (?:told|notified)|if you typed the address.*|go back to the (?:start|home) ?page"
-    r"|.*\b(?:enable|turn on|switch on|activate|allow|requires?|needs?|blocked|disabled|without)\b.{0,30}\b(?:javascript|js|scripts?|scripting|cookies)\b.*|.*\b(?:does not (?:run|support) (?:java)?scripts?|checking your browser|just a moment|missing feature: script\w*)\b.*|noscript\b.*|app shell\b.*|loading\W*"
-    r"|.*\b(?:aktivieren sie|braucht|benötigt)\b.{0,40}(?:skripte|javascript|js)\b.*|.*\b(?:necesita|active|habilite)\b.{0,30}(?:scripts|javascript|js)\b.*|.*\b(?:activez|nécessite|activer)\b.{0,30}(?:scripts|javascript|js)\b.*|.*(?:включите|требуется)\s.{0,20}(?:javascript|скрипты|js).*|.*(?:启用|开启|需要).{0,10}(?:javascript|js|脚本).*"
+    r"|(?:your )?session has expired|this account (?:is|has been) suspended|you do not have (?:permission|access)\b.*|please try again (?:later|in \d+).*|reference id \S+|contact the administrator\b.*|report this to the webmaster|our team has been (?:told|notified)|if you typed the address.*|go back to the (?:start|home) ?page|too many requests\b.*|gateway time-?out\b.*|the page you (?:were|are) looking for\b.*"
+    r"|.*\b(?:enable|turn on|switch on|activate|allow|requires?|needs?|blocked|disabled|without)\b.{0,30}\b(?:javascript|js|scripts?|scripting|cookies)\b.*|.*\b(?:does not (?:run|support) (?:(?:java)?script\w*|js)|checking your browser|just a moment|missing feature: script\w*)\b.*|noscript\b.*|app shell\b.*|loading\W*"
+    r"|.*\b(?:aktivieren sie|braucht|benötigt)\b.{0,40}(?:skripte|javascript|js)\b.*|.*\b(?:necesita|active|habilite)\b.{0,30}(?:scripts|javascript|js)\b.*|.*\b(?:activez|nécessite|activer)\b.{0,30}(?:scripts|javascript|js)\b.*|.*(?:включите|требуется)\s.{0,20}(?:javascript|скрипты|js).*|.*(?:启用|开启|打开|需要).{0,10}(?:javascript|js|脚本).*"
     r"|página no encontrada|seite nicht gefunden|page (?:introuvable|non trouvée)|страница не найдена|页面不存在|页面未找到|访问被拒绝|服务器(?:内部)?错误.*|找不到.*页面"
-    r"|(?:dummy|sample|placeholder|example) (?:paragraph|text|content)(?: \d+)?|(?:heading|subtitle|paragraph|item|title|section|caption) (?:text|here|one|two|placeholder)|(?:test\W+){2,}\d*|(?:blah\W*){2,}\d*|(?:asdf|qwer|asdfgh|qwerty)(?:\W+(?:asdf|qwer|\w{1,4}))*|这里是占位文字\W*\d*|.*\b(?:lorem|ipsum)\b.*\b(?:lorem|ipsum|dolor|amet)\b.*)\W*\d*\W*$"
+    r"|(?:dummy|sample|placeholder|example) (?:paragraph|text|content)(?: \d+)?|(?:heading|subtitle|paragraph|item|title|section|caption) (?:text|here|one|two|placeholder)|(?:test\W+){2,}\d*|(?:blah\W*){2,}\d*|(?:asdf|qwer|asdfgh|qwerty)(?:\W+(?:asdf|qwer|\w{1,4}))*|(?:your )?(?:text|content|title|name) goes here(?: \d+)?|(?:insert|enter|click to (?:add|edit)) (?:your )?(?:text|title|content)(?: here)?|这里是占位文字\W*\d*|.*\b(?:lorem|ipsum)\b.*\b(?:lorem|ipsum|dolor|amet)\b.*)\W*\d*\W*$"
 )
 #: Words of the best-known filler text; a text where they keep coming is filler throughout.
 LOREM = re.compile(r"(?i)\b(?:lorem|ipsum|dolor|amet|consectetur|adipiscing)\b")
@@ -218,7 +218,8 @@ def judged(text: str, scorer: Scorer) -> str | None:
     size = [letters(p) for p in ps]
     body = sum(size[1:]) if len(ps) > 2 and z[0] <= suspect and size[0] < 80 else sum(size)
     bad = sum(n for n, s in zip(size, z) if s > suspect)
-    return "content" if body and bad > MAIN * body else None
+    lean = sum(n * s for n, s in zip(size, z))  # the log-odds of the whole, passages weighed by their letters
+    return "content" if body and bad > MAIN * body and lean > 0 else None
 
 
 def excluded(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
