@@ -9,13 +9,14 @@ an unfilled placeholder by the exact grammar, or if suspect passages make up mos
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.arrow import map_columns
+from tessera.functions.arrow import map_columns, map_stream
 from tessera.functions.words import visible
 from tessera.sources.tables import spread
 
@@ -51,6 +52,8 @@ PHRASES = re.compile(
     r"|página no encontrada|seite nicht gefunden|page (?:introuvable|non trouvée)|страница не найдена|页面不存在|页面未找到|访问被拒绝|服务器(?:内部)?错误.*|找不到.*页面"
     r"|(?:dummy|sample|placeholder|example) (?:paragraph|text|content)(?: \d+)?|(?:heading|subtitle|paragraph|item|title|section|caption) (?:text|here|one|two|placeholder)|(?:test\W+){2,}\d*|(?:blah\W*){2,}\d*|(?:asdf|qwer|asdfgh|qwerty)(?:\W+(?:asdf|qwer|\w{1,4}))*|(?:your )?(?:text|content|title|name) goes here(?: \d+)?|(?:insert|enter|click to (?:add|edit)) (?:your )?(?:text|title|content)(?: here)?|这里是占位文字\W*\d*|.*\b(?:lorem|ipsum)\b.*\b(?:lorem|ipsum|dolor|amet)\b.*)\W*\d*\W*$"
 )
+#: Passages longer than this are no phrase.
+PHRASE_CHARS = 300
 #: Words of the best-known filler text; a text where they keep coming is filler throughout.
 LOREM = re.compile(r"(?i)\b(?:lorem|ipsum|dolor|amet|consectetur|adipiscing)\b")
 DIGITS = re.compile(r"\d+")
@@ -101,6 +104,7 @@ class Scorer(dict):
     def __init__(self, weights: np.ndarray, cached: int = 1 << 20) -> None:
         super().__init__()
         self.weights, self.bias, self.cached = weights, float(weights[DIMENSIONS]), cached
+        self.passages: dict[str, float] = {}
 
     def __missing__(self, gram: str | tuple[str, str]) -> float:
         if len(self) >= self.cached:
@@ -109,9 +113,16 @@ class Scorer(dict):
         return w
 
     def logit(self, passage: str, title: bool) -> float:
-        """The log-odds that a lowered passage is residue."""
+        """The log-odds that a lowered passage is residue; passages that keep coming are remembered."""
+        if not title and (known := self.passages.get(passage)) is not None:
+            return known
         fs = features(passage, title)
-        return sum(map(self.__getitem__, fs)) / len(fs) ** 0.5 + self.bias
+        z = sum(map(self.__getitem__, fs)) / len(fs) ** 0.5 + self.bias
+        if not title:
+            if len(self.passages) >= self.cached // 8:
+                self.passages.clear()
+            self.passages[passage] = z
+        return z
 
 
 def features(passage: str, title: bool) -> list:
@@ -133,7 +144,7 @@ def weak_labels(text: str) -> list[tuple[str, bool, int]]:
     """
     ps = passages(text)
     held = [bool(placeholders(p)) for p in ps]
-    said = [bool(PHRASES.match(p.strip())) for p in ps]
+    said = [len(p) <= PHRASE_CHARS and bool(PHRASES.match(p.strip())) for p in ps]
     total = sum(map(letters, ps)) or 1
     share = sum(letters(p) for p, s in zip(ps, said) if s) / total
     lorem = len(LOREM.findall(text))
@@ -231,9 +242,10 @@ def excluded(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
     kind = dict(docs.dtypes)["doc_id"]
 
-    def scan(ids: list, texts: list) -> list[tuple]:
+    def scan(batches: Iterator[list[list]]) -> Iterator[list]:
         scorer = Scorer(shared.value)
-        return [(i, r) for i, t in zip(ids, texts) if (r := judged(t, scorer))]
+        for ids, texts in batches:
+            yield [(i, r) for i, t in zip(ids, texts) if (r := judged(t, scorer))]
 
     whole = spread(docs.select("doc_id", "text").where(r"doc_id is not null and text rlike '\\S'"))
-    return map_columns(whole, scan, f"doc_id {kind}, reason string").groupBy("doc_id").agg(F.min("reason").alias("reason"))
+    return map_stream(whole, scan, f"doc_id {kind}, reason string").groupBy("doc_id").agg(F.min("reason").alias("reason"))
