@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions.arrow import scalar
-from tessera.functions.pytext import col
+from tessera.functions.pytext import col, let
 
 #: Ends of displayed formulas, blank lines, items, numbered items and bold headings; every line end counts besides.
 BREAKS = re.compile(r"\n")
@@ -86,8 +86,19 @@ def shingles(c: Column, n: int) -> Column:
 
 
 def shares_run(a: Column | str, b: Column | str, n: int = 51, most: int = 3000) -> Column:
-    """Whether the first ``most`` characters of two texts share ``n`` in a row."""
-    return F.coalesce(F.arrays_overlap(shingles(F.substring(col(a), 1, most), n), shingles(F.substring(col(b), 1, most), n)), F.lit(False))
+    """Whether the first ``most`` characters of two texts share ``n`` in a row.
+
+    Such a run of the second text holds one of its blocks of (n + 1) // 2 characters at multiples of that
+    length; all runs are compared only where the first text has one of those blocks.
+    """
+    size = (n + 1) // 2
+
+    def compare(x: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.length(x["b"]) / size) - 1).cast("int"))
+        some = F.exists(starts, lambda i: (F.length(x["b"]) >= size) & F.contains(x["a"], F.substring(x["b"], i * size + 1, F.lit(size))))
+        return F.when(some, F.arrays_overlap(shingles(x["a"], n), shingles(x["b"], n))).otherwise(F.lit(False))
+
+    return F.coalesce(let(F.struct(F.substring(col(a), 1, most).alias("a"), F.substring(col(b), 1, most).alias("b")), compare), F.lit(False))
 
 
 def common_subsequence(a: list[str], b: list[str]) -> int:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.answers import big_number, valid_reference
 from tessera.functions.pytext import col, hash_order, strip
+from tessera.sources.tables import written
 
 KEY_CHARS = 120
 
@@ -205,7 +206,7 @@ def fill_by_quota(df: DataFrame, bucket: str, key: str, shares: dict[str, float]
     marked = ordered.join(F.broadcast(cuts), bucket, "left").withColumn("_main", F.coalesce(F.col("_order") <= F.col("_cut"), F.lit(False)))
     rank = case_of({b: i for i, b in enumerate(fill_order)}, bucket, len(fill_order))
     code = F.concat(F.when(F.col("_main"), "0").otherwise("1"), F.lpad(rank.cast("string"), 2, "0"), F.col("_order"))
-    coded = marked.withColumn("_all", F.lit(0)).withColumn("_code", code)
+    coded = written(marked.select(*df.columns, code.alias("_code")), "fill")  # counted several times below
     stop = prefix_cut(coded, "_code", total)
     return (coded if stop is None else coded.where(F.col("_code") <= stop)).select(*df.columns)
 

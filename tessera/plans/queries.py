@@ -12,7 +12,7 @@ from tessera.functions.cleaning import drop_repeats, with_clean_text
 from tessera.functions.pytext import let, once, strip, uniform
 from tessera.operators import cleaner, extract, preference, progress, segment, selection
 from tessera.sources import files
-from tessera.sources.tables import shared_folder, spread, table
+from tessera.sources.tables import shared_folder, spread, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -46,11 +46,11 @@ def generations(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def doc_features(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "sample_input").where("text is not null").select("row_idx", *(c.alias(n) for n, c in features.features("text").items()))
+    return spread(table(s, d, "sample_input").where("text is not null").select("row_idx", "text")).select("row_idx", *(c.alias(n) for n, c in features.features("text").items()))
 
 
 def _scored(s: SparkSession, d: str) -> DataFrame:
-    df = docs(s, d).select("doc_id", once(features.feature_struct("text")).alias("f"))
+    df = spread(docs(s, d).select("doc_id", "text")).select("doc_id", once(features.feature_struct("text")).alias("f"))
     return df.withColumn("score", once(features.score(F.col("f")))).withColumn("route", features.route(F.col("score"), F.col("f")))
 
 
@@ -487,7 +487,7 @@ def guided_prompts(s: SparkSession, d: str) -> DataFrame:
 
 
 def _remainders(s: SparkSession, d: str) -> DataFrame:
-    return generations(s, d).where("continuation is not null and answer is not null").withColumn("rest", F.substring("answer", F.length("prefix") + 1, F.length("answer")))
+    return spread(generations(s, d).where("continuation is not null and answer is not null")).withColumn("rest", F.substring("answer", F.length("prefix") + 1, F.length("answer")))
 
 
 @query
@@ -497,13 +497,13 @@ def shared_runs(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def rouge_scores(s: SparkSession, d: str) -> DataFrame:
-    return spread(_remainders(s, d)).select("gen_id", F.round(similarity.rouge(F.col("continuation"), F.col("rest")), 6).alias("rouge"))
+    return _remainders(s, d).select("gen_id", F.round(similarity.rouge(F.col("continuation"), F.col("rest")), 6).alias("rouge"))
 
 
 def _warm(s: SparkSession, d: str) -> DataFrame:
     df = _remainders(s, d)
     reason = selection.cascade(("wrong", ~F.col("is_correct")), ("short", F.length("continuation") < 100), ("leak", F.contains(F.substring("continuation", 1, 50), strip("ground_truth"))))
-    passed = spread(df.withColumn("reason", reason)).withColumn("copied", F.when(F.col("reason").isNull(), similarity.shares_run("continuation", "rest")))
+    passed = df.withColumn("reason", reason).withColumn("copied", once(F.when(F.col("reason").isNull(), similarity.shares_run("continuation", "rest"))))
     passed = passed.withColumn("rouge", F.when(F.col("reason").isNull() & ~F.col("copied"), similarity.rouge(F.col("continuation"), F.col("rest"))))
     return passed.withColumn("reason", F.coalesce("reason", F.when(F.col("copied"), "copied").when(F.col("rouge") > 0.7, "alike")))
 
@@ -517,7 +517,7 @@ def warmstart_cascade(s: SparkSession, d: str) -> DataFrame:
 def warmstart_best(s: SparkSession, d: str) -> DataFrame:
     """The best generation of each question, and a second of another prefix length that is unlike it."""
     rank = selection.case_of({"short": 0, "mid": 1, "long": 2}, "prefix_type", 9)
-    good = _warm(s, d).where("reason is null").select(selection.key_raw("question").alias("qkey"), F.struct(rank.alias("rank"), "rouge", "gen_id", "prefix_type", "continuation").alias("g"))
+    good = written(_warm(s, d).where("reason is null").select(selection.key_raw("question").alias("qkey"), F.struct(rank.alias("rank"), "rouge", "gen_id", "prefix_type", "continuation").alias("g")), "warm")
     best = good.groupBy("qkey").agg(F.min("g").alias("g"))  # the least twice, not a sorted group
     rest = good.join(best.select(F.col("g.gen_id").alias("first_id")), F.col("g.gen_id") == F.col("first_id"), "left_anti").groupBy("qkey").agg(F.min("g").alias("g"))
     one = best.select("qkey", F.col("g.gen_id").alias("first_id"), F.col("g.prefix_type").alias("first_type"), F.col("g.continuation").alias("first_text"))
