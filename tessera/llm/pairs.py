@@ -21,6 +21,8 @@ from tessera.sources.tables import spread
 
 #: Shares of the response's letters: copied at least, and in refusing sentences at least.
 COPIED, REFUSED = 0.6, 0.5
+#: New words that a copy adds at most, or their part of the prompt's words.
+NEW_WORDS, NEW_SHARE = 10, 0.3
 #: Words in a row that count as copied.
 COPY_RUN = 3
 
@@ -82,13 +84,17 @@ def automaton(prompt: str) -> SuffixAutomaton:
     return SuffixAutomaton(units(prompt))
 
 
-def copied_share(prompt: str, response: str, run: int = COPY_RUN) -> float:
-    """Share of the response's letters and digits in runs of words copied from the prompt."""
+def copied(prompt: str, response: str, run: int = COPY_RUN) -> tuple[float, int]:
+    """Share of the response's letters and digits in runs of words copied from the prompt, and how many words are new."""
     seq = units(response)
     if not seq:
-        return 0.0
+        return 0.0, 0
     hit = automaton(prompt).covered(seq, min(run, len(seq)))
-    return sum(len(u) for u, h in zip(seq, hit) if h) / sum(map(len, seq))
+    return sum(len(u) for u, h in zip(seq, hit) if h) / sum(map(len, seq)), hit.count(False)
+
+
+def copied_share(prompt: str, response: str) -> float:
+    return copied(prompt, response)[0]
 
 
 # Phrases of refusals (fixed values): an inability or unwillingness, then what is withheld.
@@ -143,9 +149,11 @@ def refuses(text: str, share: float = REFUSED) -> bool:
 MATH = re.compile(r"\$\$.*?\$\$|\$[^$]*\$|\\\(.*?\\\)|\\\[.*?\\\]", re.S)
 CLOSE = {")": "(", "]": "[", "}": "{"}
 ENDED = re.compile(r"(?:[.!?。！？;；:：…‥∎■□◻]|\b(?:QED|q\.e\.d|done|verified|hence proved))[\s\"'”’»」』）)\]*_`~$]*(?:(?:QED|q\.?e\.?d|∎|■|□)[.\s]*)?$", re.I)
-#: Words that open a final answer (fixed values).
+#: Openings of a line that gives the final answer (fixed values).
 ANSWER = re.compile(
-    r"(?i)\b(?:answer|result|solution|final|value is|we get|we obtain|therefore|hence|thus|total is|equals|antwort|ergebnis|réponse|résultat|respuesta|resultado|ответ|результат)\b|^\s*[a-z]\s*=|答案|答[:：]|结果|所求|综上|所以|因此答|故答|得解"
+    r"(?i)^\W*(?:step \d+\W+)?(?:(?:so|thus|hence|therefore|then|finally|and|in total)\b[,\s]*)*(?:the |our |my )?(?:final |correct |required |total )*(?:answer|result|solution|value|total|sum)\b(?: is| equals|\s*[:=]|\W*$)"
+    r"|^\W*(?:(?:so|thus|hence|therefore|finally)\b[,\s]*)+(?:we |i |it )?(?:get|have|obtain|find|conclude|see|is|equals)\b|^\W*[a-zA-Z]\w?(?:\([^()]*\))?\s*=|^\W*(?:die |la |el |le )?(?:antwort|lösung|ergebnis|réponse|résultat|respuesta|resultado|solución|ответ|результат)\b"
+    r"|^\W*(?:综上|即|所以|因此|故|于是)?[，,]?(?:最终|最后)?(?:答案|答[:：]|结果|所求|得解|解[:：])"
 )
 VALUE_END = re.compile(r"(?:[\d%°)}\]$]|\ue000|\\boxed\{.*\})[\s.。*_`]*$")
 CODE = re.compile(r"^\s*(?:```|\||[-*•·]\s|\d+[.)]\s*$|</?\w|\\(?:end|begin|item)\b|(?:print|return|def|for|if|while)\b.*[\w)\]:]$|#{1,6} )")
@@ -201,15 +209,16 @@ def breaks_off(text: str) -> bool:
     nor gives a final value. A line that is only a formula, a number, code, an item or a heading is no sentence.
     """
     body = visible(text).rstrip()
-    stack = open_delimiters(body)
-    if any(s.startswith(("$", "{", "\\")) for s in stack):
-        return True
-    lines = body.split("\n")
-    last = lines[-1].strip()
+    last = body.split("\n")[-1].strip()
+    if any(s.startswith(("$", "{")) for s in open_delimiters(last)):
+        # a closing mark alone on the last line ends a formula that was opened before
+        return bool(open_delimiters(body))
     if re.search(r"[,，、;；:：(（\[{+=<>*/\\^_&-]$", last) and not CODE.match(last):
         return True
     if ENDED.search(last):
         return False
+    if any(s == "$$" or s[0] == "\\" for s in open_delimiters(body)):
+        return not (ANSWER.search(last) and VALUE_END.search(last))
     plain = MATH.sub("\ue000", last)
     said = re.sub(r"\\boxed\{.*\}|\\[a-zA-Z]+|[\W\d_]+", " ", plain.replace("\ue000", " ")).split()
     if not said or CODE.match(last) or re.search(r"\\boxed\{.*\}\W*$", last):
@@ -297,7 +306,8 @@ def defect(prompt: str | None, response: str | None) -> str | None:
     if refuses(r):
         return "refusal"
     if prompt:
-        if copied_share(prompt, r) >= COPIED:
+        share, new = copied(prompt, r)
+        if share >= COPIED and new <= max(NEW_WORDS, NEW_SHARE * len(units(prompt))):
             return "copy"
         if other_language(prompt, r):
             return "language"
