@@ -232,7 +232,7 @@ def breaks_off(text: str) -> bool:
 
 #: Common short words of languages in Latin script (fixed values).
 STOPWORDS = {
-    "en": "the of and to in is that for it as was with be by on not he this are or his from at which but have an had they you were their one all we can her has there been if more when will would who so no what up out into than them only its time some could these two may then do first any my now such like our over me even most after also did many before must through where much your way well down should because each just those how too between under both while same any every does shall let us find how".split(),
+    "en": "a i the of and to in is that for it as was with be by on not he this are or his from at which but have an had they you were their one all we can her has there been if more when will would who so no what up out into than them only its time some could these two may then do first any my now such like our over me even most after also did many before must through where much your way well down should because each just those how too between under both while same any every does shall let us find how".split(),
     "de": "der die das und ist nicht mit ein eine einer eines dem den des von zu auf für im sich auch als an es aus bei nach wir wird sind oder um dass wie aber nur noch hier dann wenn alle durch über kann so zum zur am beiden man daraus folgt gilt genau gibt keine kein werden wurde diese dieser insgesamt bleibt".split(),
     "fr": "le la les des du de et est une un dans que qui pour pas sur avec ce cette ces il elle on nous vous ils au aux en par plus se ne son sa ses leur mais ou où donc alors tout tous toutes cela encore reste faut entre deux première vaut sont être fait peut sans".split(),
     "es": "el la los las de del y es un una en que por para con no se su sus al lo como más pero o este esta estos estas hay entre ambos todo todos cuando donde muy también aquí dos sin sobre tiene puede desde hasta queda total hacen tomar según qué".split(),

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tessera.functions.arrow import map_columns
 from tessera.functions.words import HAN, visible
 from tessera.llm.mainbody import COUNTER, label, sentence
-from tessera.llm.pairs import STOPWORDS, language
+from tessera.llm.pairs import STOPWORDS, language, votes
 from tessera.sources.tables import spread, written
 
 SHARES = ("list", "table", "junk")
@@ -24,6 +24,9 @@ STATS = ("n_chars", "n_words", "word_length", "symbol_ratio", "digit_ratio", "en
 #: A share in the main; how far in the tail; the least spread that a z-score is taken over; the least documents of a language with a sketch of its own.
 MAIN, TAIL, SPREAD, OWN = 0.5, 3.5, 0.1, 50
 
+#: Votes for a language, as a part of the words, from which a text counts to it.
+VOTED = 0.08
+
 FORMULA = re.compile(r"\$\$.+?\$\$|\$[^$\n]+\$|<math>.*?</math>", re.S)
 MARK = re.compile(r"^\s*(?:[-*•·»–▪◦‣]|\(?(?:\d{1,3}|[a-zA-Z]|[ivxIVX]+)[.)]|[（(][一二三四五六七八九十\d]+[)）]|<li>|\\item)\s*")
 CODE = re.compile(r"^\s*(?:```|def .*:$|for .*:$|if .*:$|while .*:$|else:$|return\b|print\(|\w+ [-+*/]?= |</?(?:pre|code|syntaxhighlight)|\\(?:begin|end)\{|</?(?:ul|ol)>)")
@@ -190,8 +193,9 @@ def statistics(text: str) -> tuple:
     digits = sum(map(str.isdigit, t))
     ending = sum(1 for x in lines if re.search(r"[.!?。！？:：;；…][\"'”’)\]]*\s*$", x))
     lang, sure = language(t)
+    known = sure >= 0.5 and votes(t)[1] >= max(3, VOTED * n_words)
     return (
-        lang if lang and sure >= 0.5 else "und",
+        lang if known else "und",
         float(len(t)), float(n_words), sum(map(len, words)) / len(words) if words else 0.0, symbols / n, digits / n, ending / (len(lines) or 1),
         sum(map(COMMON.__contains__, map(str.lower, words))) / (len(words) or 1), sum(1 for x in lines if len(x) < 40) / (len(lines) or 1),
         *(parts[k] / whole if whole else 0.0 for k in SHARES),
@@ -220,7 +224,8 @@ def placed(stats: DataFrame, names: tuple = STATS, own: int = OWN) -> DataFrame:
     """``stats`` with the percentile (<name>_pct) and robust z-score (<name>_z) of each statistic in its language.
 
     A z-score is the distance from the median over 0.7413 times the interquartile range, which is at least
-    SPREAD. Languages of fewer than ``own`` documents, and text of no language, are placed among all documents.
+    SPREAD; <name>_z_all is the same among all documents. Languages of fewer than ``own`` documents, and text
+    of no language, are placed among all documents.
     """
     ranks = F.array(*(F.lit(i / 100) for i in range(101)))
     told = sketches(stats, names).select("lang", "n", *(F.kll_sketch_get_quantile_double(F.col(c), ranks).alias(f"{c}_at") for c in names))
@@ -235,24 +240,30 @@ def placed(stats: DataFrame, names: tuple = STATS, own: int = OWN) -> DataFrame:
     def z(c: str) -> Column:
         return (F.col(c) - F.col(f"{c}_mid")) / (F.lit(0.7413) * F.greatest(F.col(f"{c}_hi") - F.col(f"{c}_lo"), F.lit(SPREAD)))
 
+    every = next((r for r in rows if r.lang is None), None)
+
+    def z_all(c: str) -> Column:
+        at = every[f"{c}_at"] if every else [0.0] * 101
+        return (F.col(c) - at[50]) / (0.7413 * max(at[75] - at[25], SPREAD))
+
     def percentile(c: str) -> Column:
         return F.greatest(F.size(F.filter(f"{c}_at", lambda q: q <= F.col(c))) - 1, F.lit(0)) / 100
 
-    return joined.select(*stats.columns, *(percentile(c).alias(f"{c}_pct") for c in names), *(z(c).alias(f"{c}_z") for c in names))
+    return joined.select(*stats.columns, *(percentile(c).alias(f"{c}_pct") for c in names), *(z(c).alias(f"{c}_z") for c in names), *(z_all(c).alias(f"{c}_z_all") for c in names))
 
 
 def kinds(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """(id, lang, statistics, z-scores, kind) for each page; kind is null for prose.
 
     kind is the largest of the list, table and junk shares that is more than MAIN and whose z-score is beyond
-    TAIL. ``rules`` (id, run_no, feature_dict) adds the latest run's char_len, number_count and symbol_count.
+    TAIL, in its language or among all: tables of few words may make up most of a wrongly read language. ``rules`` (id, run_no, feature_dict) adds the latest run's char_len, number_count and symbol_count.
     """
     names = tuple(f"{k}_share" for k in SHARES)
     at = placed(written(measured(pages), "statistics"), names)
     found = F.lit(None).cast("string")
     top = F.greatest(*names)
     for k in reversed(SHARES):
-        found = F.when((F.col(f"{k}_share") == top) & (top > MAIN) & (F.col(f"{k}_share_z") > TAIL), F.lit(k)).otherwise(found)
+        found = F.when((F.col(f"{k}_share") == top) & (top > MAIN) & (F.greatest(f"{k}_share_z", f"{k}_share_z_all") > TAIL), F.lit(k)).otherwise(found)
     out = at.withColumn("kind", found)
     if rules is None:
         return out
