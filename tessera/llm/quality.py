@@ -28,7 +28,7 @@ MAIN, TAIL, SPREAD, OWN = 0.5, 3.5, 0.1, 50
 VOTED = 0.08
 
 FORMULA = re.compile(r"\$\$.+?\$\$|\$[^$\n]+\$|<math>.*?</math>", re.S)
-MARK = re.compile(r"^\s*(?:[-*•·»–▪◦‣]|\(?(?:\d{1,3}|[a-zA-Z]|[ivxIVX]+)[.)]|[（(][一二三四五六七八九十\d]+[)）]|<li>|\\item)\s*")
+MARK = re.compile(r"^\s*(?:[-*•·»–▪◦‣](?=\s|$)|\(?(?:\d{1,3}|[a-zA-Z]|[ivxIVX]+)[.)](?=\s|$)|[（(][一二三四五六七八九十\d]+[)）]|<li>|\\item)\s*")
 CODE = re.compile(r"^\s*(?:```|def .*:$|for .*:$|if .*:$|while .*:$|else:$|return\b|print\(|\w+ [-+*/]?= |</?(?:pre|code|syntaxhighlight)|\\(?:begin|end)\{|</?(?:ul|ol)>)")
 SEPARATORS = (("\t", re.compile(r"\t")), ("|", re.compile(r"\s*\|\s*")), (";", re.compile(r"\s*[;；]\s*")), (",", re.compile(r"\s*,\s*")), (" ", re.compile(r"\s{2,}")), ("&", re.compile(r"\s+&\s+")))
 ELEMENT = re.compile(r"</?[a-zA-Z][^<>]*>")
@@ -43,7 +43,9 @@ def cells(line: str) -> tuple[str, int] | None:
     """Separator and number of cells of a line that could be a table's row."""
     if sentence(line) and "\t" not in line and "|" not in line:
         return None
-    body = line.strip("|\r\n ") if "|" in line else line.rstrip()
+    body = line.rstrip(" \r\n")
+    if body.startswith("|") and body.endswith("|"):
+        body = body[1:-1]
     for name, sep in SEPARATORS:
         parts = sep.split(body.strip() if name == " " else body)
         if name == " " and any(not p for p in parts):
@@ -87,6 +89,12 @@ def unreadable(token: str) -> bool:
     return bool(CLUSTER.search(longest)) or (len(longest) > 4 and bool(re.search(r"[a-z][A-Z][a-z]*[A-Z]|[a-z]{2}[A-Z]$", longest)))
 
 
+def vowel_poor(line: str) -> bool:
+    """Whether a line's Latin letters are too many to hold so few vowels: random letters, however short the tokens."""
+    latin = re.sub(r"[^a-z]", "", re.sub(r"\\[a-zA-Z]+", "", line).lower()) if line.isascii() else ""
+    return len(latin) >= 15 and sum(map(latin.count, "aeiouy")) < 0.2 * len(latin)
+
+
 def size(line: str) -> int:
     """Characters that show, without tags; a Han character counts as three, as it says about as much."""
     bare = ELEMENT.sub("", line) if "<" in line else line
@@ -133,7 +141,7 @@ def weigh(block: list[str], out: dict[str, int], seen: set[str]) -> None:
         bare = FORMULA.sub(" ", line)
         tokens = TOKEN.findall(bare)
         bad = sum(len(t) for t in tokens if unreadable(t))
-        garbled = bad > 0.5 * size(bare) and size(bare) > 3 and not CODE.match(line)
+        garbled = ((bad > 0.5 * size(bare) and size(bare) > 3) or vowel_poor(bare)) and not CODE.match(line)
         if garbled:
             out["junk"] += n
             continue
