@@ -1,8 +1,8 @@
-"""Per-document statistics, their distributions per language, and documents in the tails that are no prose.
+"""Per-document statistics, their distributions per language, and documents that are no prose in the main.
 
 Statistics of words, lines and symbols are sketched per language with mergeable quantile sketches. A value
-becomes a percentile and a robust z-score of its language; a document whose share of items, table rows or
-unreadable characters lies far in the upper tail and makes up most of its content is a list, table or junk.
+becomes a percentile and a robust z-score of its language. A document of which items, table rows or unreadable
+characters make up most of the content is a list, table or junk, however many others are.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from tessera.sources.tables import spread, written
 
 SHARES = ("list", "table", "junk")
 STATS = ("n_chars", "n_words", "word_length", "symbol_ratio", "digit_ratio", "ending_lines", "common_words", "short_lines", *(f"{k}_share" for k in SHARES))
-#: A share in the main; how far in the tail; the least spread that a z-score is taken over; the least documents of a language with a sketch of its own.
-MAIN, TAIL, SPREAD, OWN = 0.5, 3.5, 0.1, 50
+#: A share in the main; the least spread that a z-score is taken over; the least documents of a language with a sketch of its own.
+MAIN, SPREAD, OWN = 0.5, 0.1, 50
 
 #: Votes for a language, as a part of the words, from which a text counts to it.
 VOTED = 0.08
@@ -260,19 +260,25 @@ def placed(stats: DataFrame, names: tuple = STATS, own: int = OWN) -> DataFrame:
     return joined.select(*stats.columns, *(percentile(c).alias(f"{c}_pct") for c in names), *(z(c).alias(f"{c}_z") for c in names), *(z_all(c).alias(f"{c}_z_all") for c in names))
 
 
-def kinds(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """(id, lang, statistics, z-scores, kind) for each page; kind is null for prose.
+def kind() -> Column:
+    """The largest of the list, table and junk shares if it is more than MAIN, else null, for prose.
 
-    kind is the largest of the list, table and junk shares that is more than MAIN and whose z-score is beyond
-    TAIL, in its language or among all: tables of few words may make up most of a wrongly read language. ``rules`` (id, run_no, feature_dict) adds the latest run's char_len, number_count and symbol_count.
+    Only the document's own shares decide: quartiles of a language move with the number of such documents and
+    of copies, so that a z-score loses a kind where it is common.
     """
-    names = tuple(f"{k}_share" for k in SHARES)
-    at = placed(written(measured(pages), "statistics"), names)
     found = F.lit(None).cast("string")
-    top = F.greatest(*names)
+    top = F.greatest(*(f"{k}_share" for k in SHARES))
     for k in reversed(SHARES):
-        found = F.when((F.col(f"{k}_share") == top) & (top > MAIN) & (F.greatest(f"{k}_share_z", f"{k}_share_z_all") > TAIL), F.lit(k)).otherwise(found)
-    out = at.withColumn("kind", found)
+        found = F.when((F.col(f"{k}_share") == top) & (top > MAIN), F.lit(k)).otherwise(found)
+    return found
+
+
+def kinds(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """(id, lang, statistics, z-scores, kind) for each page; kind is null for prose.
+
+    ``rules`` (id, run_no, feature_dict) adds the latest run's char_len, number_count and symbol_count.
+    """
+    out = placed(written(measured(pages), "statistics"), tuple(f"{k}_share" for k in SHARES)).withColumn("kind", kind())
     if rules is None:
         return out
     last = rules.where("id is not null").groupBy("id").agg(F.max_by("feature_dict", F.coalesce("run_no", F.lit(-1))).alias("f"))
@@ -281,4 +287,4 @@ def kinds(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
 
 def not_prose(pages: DataFrame) -> DataFrame:
     """(id, kind) of pages that are a list, a table or junk in the main, each once."""
-    return kinds(pages).where("kind is not null").select("id", "kind").distinct()
+    return measured(pages).select("id", kind().alias("kind")).where("kind is not null").distinct()

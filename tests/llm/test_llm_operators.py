@@ -150,6 +150,27 @@ def test_tails_and_edges(spark):
     assert quality.not_prose(df.where("false")).count() == 0
 
 
+def test_common_kinds_are_found(spark):
+    the_list = "\n".join(f"* the {w} of it and that" for w in ("sum", "root", "area", "side", "edge", "base", "cube", "rest"))
+    junk = "xq zzkrt vvbn|1l qwrtz\n" * 6
+    rows = [(f"p{i}", PROSE * (1 + i % 4)) for i in range(100)] + [(f"l{i}", the_list) for i in range(60)] + [(f"j{i}", junk) for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, text string")
+    assert {r.lang for r in quality.measured(df).where("id like 'l%'").collect()} == {"en"}
+    assert {r.lang for r in quality.measured(df).where("id like 'j%'").collect()} == {"und"}
+    want = {(f"l{i}", "list") for i in range(60)} | {(f"j{i}", "junk") for i in range(60)}
+    assert {tuple(r) for r in quality.not_prose(df).collect()} == want
+    assert {(r.id, r.kind) for r in quality.kinds(df).where("kind is not null").collect()} == want
+
+
+def test_lists_are_found_among_prose_with_items(spark):
+    items = [f"* the {w} of it" for w in ("sum", "root", "area", "side", "edge", "base", "cube", "rest")]
+    rows = [(f"p{i}", PROSE + "\n" + "\n".join(items[: 7 * (i % 2)])) for i in range(80)] + [("l", "\n".join(items))]
+    df = spark.createDataFrame(rows, "id string, text string")
+    at = {r.id: r for r in quality.kinds(df).collect()}
+    assert at["l"].list_share == 1 and at["l"].list_share_z < 3.5
+    assert [(r.id, r.kind) for r in quality.not_prose(df).collect()] == [("l", "list")]
+
+
 # --- 4 markup ------------------------------------------------------------------------------------------------
 
 
