@@ -654,7 +654,7 @@ def teacher_messages(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def lp_advantages(s: SparkSession, d: str) -> DataFrame:
-    t = observations(s, d).where("step % 10 = 0").select("sample_id", "step", F.array(F.coalesce("reward", F.lit(0.0)), F.lit(1.0)).alias("advantages"))
+    t = observations(s, d).select("sample_id", "step", F.array(F.coalesce("reward", F.lit(0.0)), F.lit(1.0)).alias("advantages"))
     out = progress.weighted_advantages(t, _states(s, d))
     return out.groupBy("sample_id").agg(F.count("*").alias("n"), F.round(F.sum(F.get("advantages", F.lit(1))), 4).alias("total"))
 
