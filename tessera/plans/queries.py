@@ -357,7 +357,7 @@ def pair_lengths(s: SparkSession, d: str) -> DataFrame:
 @query
 def preference_format(s: SparkSession, d: str) -> DataFrame:
     p = preference.greedy_pairs(students(s, d)).withColumn("prompt", preference.chat_prompt("question"))
-    return preference.preference_rows(p, 200).select(*(F.to_json(c).alias(c) if c != "system" else F.col(c) for c in ("conversations", "chosen", "rejected", "system")))
+    return preference.preference_rows(p).select(*(F.to_json(c).alias(c) if c != "system" else F.col(c) for c in ("conversations", "chosen", "rejected", "system")))
 
 
 @query

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 
-from tessera.operators import progress
+from tessera.operators import preference, progress
 from tessera.plans.queries import QUERIES
 
 
@@ -17,3 +19,16 @@ def test_all_observations_are_weighted(spark, tmp_path):
     got = {r.sample_id: r for r in QUERIES["lp_advantages"](spark, str(tmp_path)).collect()}
     assert {k: r.n for k, r in got.items()} == want
     assert {k: r.total for k, r in got.items()} == pytest.approx({k: n * weights.get(k, 1.0) for k, n in want.items()}, abs=1e-4)
+
+
+def test_preference_texts_are_whole(spark, tmp_path):
+    good, bad = "We add both. " * 40 + "\\boxed{4}", "We guess a number. " * 30 + "\\boxed{5}"
+    shape = "row_idx bigint, question string, ground_truth string, num_correct int, num_total int, responses array<struct<text: string, predicted_answer: string, is_correct: boolean>>"
+    responses = [(good, "4", True), (bad, "5", False)]
+    spark.createDataFrame([(0, "What is 2 + 2?", "4", 1, 2, responses)], shape).write.parquet(str(tmp_path / "student_responses.parquet"))
+    rows = QUERIES["preference_format"](spark, str(tmp_path)).collect()
+    assert [(json.loads(r.chosen)["value"], json.loads(r.rejected)["value"]) for r in rows] == [(good, bad)]
+    df = spark.createDataFrame([("q", good, "no")], "prompt string, chosen string, rejected string")
+    for most, want in ((None, good), (200, good[:200]), (10**6, good)):
+        cut = preference.preference_rows(df, most).first()
+        assert (cut.chosen.value, cut.rejected.value) == (want, "no")
