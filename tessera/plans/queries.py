@@ -680,14 +680,18 @@ def lp_stream(s: SparkSession, d: str) -> DataFrame:
 # --- tokens --------------------------------------------------------------------------------------------------
 
 
-def _ids(c: Column, n: int) -> Column:
+#: Length of a sequence, prompt and response, as the reference's trainer sets it.
+SEQUENCE = 16384
+
+
+def _ids(c: Column) -> Column:
     """Made-up token numbers of a text: its letters' places in the alphabet."""
-    return F.transform(F.split(F.substring(F.regexp_replace(F.lower(c), "[^a-z]", ""), 1, n), ""), lambda x: F.ascii(x))
+    return F.transform(F.split(F.regexp_replace(F.lower(c), "[^a-z]", ""), ""), lambda x: F.ascii(x))
 
 
 @query
 def padded_sequences(s: SparkSession, d: str) -> DataFrame:
-    df = table(s, d, "eval_items").select("item_id", tokens.padded(_ids(F.col("problem"), 40), _ids(F.col("solution"), 30), 48, 0).alias("b"))
+    df = table(s, d, "eval_items").select("item_id", tokens.padded(_ids(F.col("problem")), _ids(F.col("solution")), SEQUENCE, 0).alias("b"))
     return df.where("b is not null").select("item_id", *(F.to_json(f"b.{c}").alias(c) for c in ("input_ids", "attention_mask", "position_ids", "loss_mask")))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pytest
 
@@ -32,3 +33,16 @@ def test_preference_texts_are_whole(spark, tmp_path):
     for most, want in ((None, good), (200, good[:200]), (10**6, good)):
         cut = preference.preference_rows(df, most).first()
         assert (cut.chosen.value, cut.rejected.value) == (want, "no")
+
+
+def test_sequences_hold_whole_texts(spark, tmp_path):
+    items = [(1, "What is the sum? " * 20, "It is found so. " * 30), (2, "a", "b"), (3, "long prompt " * 2000, "c" * 10), (4, "p", "d" * 17000)]
+    spark.createDataFrame(items, "item_id bigint, problem string, solution string").write.parquet(str(tmp_path / "eval_items.parquet"))
+    got = {r.item_id: r for r in QUERIES["padded_sequences"](spark, str(tmp_path)).collect()}
+    for i, *texts in items:
+        p, s = ([ord(c) for c in re.sub("[^a-z]", "", x.lower())] for x in texts)
+        s = s[:16383]
+        p = p[-(16384 - len(s)) :]
+        rest = [0] * (16384 - len(p) - len(s))
+        assert json.loads(got[i].input_ids) == p + s + rest
+        assert json.loads(got[i].loss_mask) == [0] * len(p) + [1] * len(s) + rest
