@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.pytext import let
+from tessera.functions.pytext import let, uniform
 
 
 def padded(prompt: Column, response: Column, length: int, pad: int, mask: Column | None = None) -> Column:
@@ -96,6 +96,19 @@ def token_weight(ent: Column, div: Column, alpha: float, gamma: float = 0.0) ->
     return w * F.pow(F.greatest(div, F.lit(1e-8)), gamma) if gamma else w
 
 
+def sampled(weights: Column, ratio: float, seed: int | str, *keys: Column | str) -> Column:
+    """0-based places of a share of the tokens, at least one, drawn without replacement by weight, in their order.
+
+    The largest ln(u) / w are drawn, u a hash draw of seed, keys and place. All are kept where the share is all.
+    """
+    n = F.size(weights)
+    k = F.greatest(F.lit(1), F.floor(n * F.lit(ratio)).cast("int"))
+    draw = lambda w, i: F.struct((-F.log(F.greatest(uniform(seed, *keys, i), F.lit(2.0**-49))) / F.greatest(w, F.lit(1e-300))).alias("o"), i.alias("i"))
+    drawn = F.slice(F.array_sort(F.transform(weights, draw)), F.lit(1), k)
+    every = F.transform(weights, lambda _, i: i)
+    return F.when(k >= n, every).otherwise(F.array_sort(F.transform(drawn, lambda x: x["i"])))
+
+
 def probability(logits: Column, token: Column) -> Column:
     """Probability of the token with a 0-based number."""
     return F.exp(F.get(log_softmax(logits), token))

@@ -713,6 +713,17 @@ def token_weights(s: SparkSession, d: str) -> DataFrame:
     return df.select("vec_id", F.round("ent", 6).alias("ent"), F.round("div", 6).alias("div"), F.round("div4", 6).alias("div4"), F.round(tokens.token_weight(F.col("ent"), F.col("div"), 1.0, 0.5), 6).alias("weight"))
 
 
+@query
+def token_samples(s: SparkSession, d: str) -> DataFrame:
+    """Half of the tokens of each sequence drawn by weight; 32 neighbouring vectors stand for a sequence's tokens."""
+    a, b = F.col("student"), F.col("teacher")
+    weight = tokens.token_weight(tokens.normal_entropy(a), tokens.normal_divergence(a, b), 1.0, 0.5)
+    each = _logits(s, d).select(F.floor(F.col("vec_id") / 32).alias("sequence"), "vec_id", weight.alias("weight"))
+    rows = each.groupBy("sequence").agg(F.array_sort(F.collect_list(F.struct("vec_id", "weight"))).alias("tokens"))
+    drawn = rows.withColumn("token", F.explode(tokens.sampled(F.col("tokens.weight"), 0.5, 0, "sequence")))
+    return drawn.select("sequence", F.size("tokens").alias("n_total"), "token", F.get("tokens", F.col("token"))["vec_id"].alias("vec_id"))
+
+
 # --- files ---------------------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 
@@ -144,3 +145,17 @@ def test_padding(spark):
 def test_validation_reasons(spark):
     df = spark.createDataFrame([("a = 1 + 2 (x) $y$", "a = 1 + 2 (x) $y$"), ("n 1 2 3 4", "n 1 $")], "a string, b string").select(validate(F.col("a"), F.col("b"), F.lit(2.0)).alias("v")).collect()
     assert df[0].v.validation_pass and not df[1].v.validation_pass and df[1].v.fail_reasons[0].startswith("number_recall=0.25<")
+
+
+def test_sampling_by_weight(spark):
+    u = lambda seed, *keys: int(hashlib.sha1("|".join(map(str, (seed, *keys))).encode()).hexdigest()[:12], 16) / 16**12
+    rng = random.Random(8)
+    rows = [(i, [rng.choice([1e-8, 0.5, 1.0, 3.0]) for _ in range(n)]) for i, n in enumerate([0, 1, 2, 3, 9, 40] * 20)]
+    df = spark.createDataFrame(rows, "i int, w array<double>").select("i", *(tokens.sampled(F.col("w"), r, 7, "i").alias(f"s{k}") for k, r in enumerate((0.1, 0.5, 1.0))))
+    for x in df.collect():
+        w = rows[x.i][1]
+        order = sorted(range(len(w)), key=lambda j: -math.log(max(u(7, x.i, j), 2.0**-49)) / w[j])
+        for r, got in ((0.1, x.s0), (0.5, x.s1), (1.0, x.s2)):
+            assert got == sorted(order[: max(1, int(len(w) * r))])
+    many = spark.range(4000).select(tokens.sampled(F.array(F.lit(1.0), F.lit(3.0)), 0.5, 1, "id").alias("s")).where("s[0] = 1").count()
+    assert abs(many / 4000 - 0.75) < 0.03

@@ -46,3 +46,11 @@ def test_sequences_hold_whole_texts(spark, tmp_path):
         rest = [0] * (16384 - len(p) - len(s))
         assert json.loads(got[i].input_ids) == p + s + rest
         assert json.loads(got[i].loss_mask) == [0] * len(p) + [1] * len(s) + rest
+
+
+def test_tokens_are_sampled_from_all_sequences(spark, tmp_path):
+    rows = [(i, [float((i * j) % 7) for j in range(5)]) for i in range(70)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = QUERIES["token_samples"](spark, str(tmp_path)).collect()
+    assert sorted((r.sequence, r.n_total) for r in got) == [(0, 32)] * 16 + [(1, 32)] * 16 + [(2, 6)] * 3
+    assert all(r.vec_id == 32 * r.sequence + r.token for r in got) and len({r.vec_id for r in got}) == len(got)
