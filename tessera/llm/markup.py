@@ -1,9 +1,8 @@
 """Markup residue in text: which notations are left, and the clean text.
 
 Formulas are masked first, so that nothing inside them is read as markup. Each notation has its own marks;
-stripping keeps headings, list items, code and formulas. What markup leaves behind is cut by the line-block
-distribution: text lengths are summed over a sliding window of lines, a surge opens a block, a dive closes it,
-and the lines between are kept.
+stripping keeps headings, list items, code and formulas. Of the lines left, those without a letter or digit
+go if they lie outside every block of the line-block distribution; it removes no other line.
 """
 
 from __future__ import annotations
@@ -141,7 +140,7 @@ def stripped(text: str, found: list[str]) -> tuple[str, set[int]]:
 
 
 def line_blocks(lines: list[str], window: int = WINDOW, surge: int = SURGE) -> list[bool]:
-    """Which lines lie between a surge and a dive of the line-block distribution.
+    """Which lines hold a letter or digit or lie between a surge and a dive of the line-block distribution.
 
     The length of a line is its letters and digits; sums run over ``window`` lines. A surge is a sum above
     ``surge`` after one that was not, a dive the fall back to nothing.
