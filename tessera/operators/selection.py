@@ -286,6 +286,11 @@ def shuffled(df: DataFrame, key: str, seed: int | str = 0) -> DataFrame:
     return df.withColumn("_o", hash_order(seed, key)).orderBy("_o").drop("_o")
 
 
+def shuffled_positions(df: DataFrame, key: str, seed: int | str = 0) -> DataFrame:
+    """``df`` with position, from 0, of each row in the hash order of a key."""
+    return numbered(df.withColumn("_o", hash_order(seed, key)), "_o").withColumnRenamed("_n", "position").drop("_o")
+
+
 def split_tail(df: DataFrame, key: str, test_rows: int, seed: int | str = 0) -> DataFrame:
     """``df`` with split 'test' for the last ``test_rows`` in hash order of ``key``, else 'train'."""
     coded = df.withColumn("_code", hash_order(seed, key))

@@ -234,8 +234,15 @@ def shard_slices(s: SparkSession, d: str) -> DataFrame:
     return selection.shards(questions(s, d).select("row_idx"), 7)
 
 
+@query
+def shuffled_rows(s: SparkSession, d: str) -> DataFrame:
+    """All questions with their position in the shuffle."""
+    return selection.shuffled_positions(questions(s, d).select("row_idx"), "row_idx", 42)
+
+
 @query
 def hash_shuffle(s: SparkSession, d: str) -> DataFrame:
+    """A sample of 50 questions, the first of the shuffle."""
     return selection.shuffled(questions(s, d).select("row_idx"), "row_idx", 42).limit(50)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 
@@ -54,3 +55,11 @@ def test_tokens_are_sampled_from_all_sequences(spark, tmp_path):
     got = QUERIES["token_samples"](spark, str(tmp_path)).collect()
     assert sorted((r.sequence, r.n_total) for r in got) == [(0, 32)] * 16 + [(1, 32)] * 16 + [(2, 6)] * 3
     assert all(r.vec_id == 32 * r.sequence + r.token for r in got) and len({r.vec_id for r in got}) == len(got)
+
+
+def test_shuffle_holds_all_rows(spark, tmp_path):
+    spark.createDataFrame([(i, 0.5) for i in range(300)], "row_idx bigint, student_accuracy double").write.parquet(str(tmp_path / "dpo_questions_24k_v2.parquet"))
+    order = sorted(range(300), key=lambda i: hashlib.sha1(f"42|{i}".encode()).hexdigest())
+    assert [r.row_idx for r in QUERIES["shuffled_rows"](spark, str(tmp_path)).orderBy("position").collect()] == order
+    assert sorted(r.position for r in QUERIES["shuffled_rows"](spark, str(tmp_path)).collect()) == list(range(300))
+    assert [r.row_idx for r in QUERIES["hash_shuffle"](spark, str(tmp_path)).collect()] == order[:50]
