@@ -1,18 +1,18 @@
 """Main body of web pages by maximum-scoring subsequence over lines.
 
-Words score positive and page tags negative: the weight of a token is its log-odds between body and furniture
-lines of weakly labelled pages. One linear scan finds the contiguous region with the largest sum; it grows over
-undecided lines (titles, items) up to the next line that is plainly furniture, and furniture inside the region
-is listed as well.
+Words score positive and page tags negative, with weights learned from labelled pages: phrases and the layout of
+furniture label a bounded sample only. Two logistic models score a line, one by its words and look, one by the
+scores and looks around it. One linear scan finds the contiguous region with the largest sum of scores, and the
+other runs of positive sum (titles, paragraphs cut off); what scores negative within a run is furniture too.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,14 +20,12 @@ from tessera.functions.arrow import map_columns, map_stream
 from tessera.functions.words import HAN
 from tessera.sources.tables import spread
 
-#: Pages the weights are fitted on (a bounded sample by hash of the id).
-FIT_PAGES = 20_000
-#: Sum of weights below which a line is plainly furniture.
-FURNITURE = -4.0
-#: The same for lines of at most three words.
-SHORT = -2.5
-#: The least score of a line, so that a few tags between paragraphs do not cut the body.
-TAG_BOUND = 4.5
+#: The sample the weights are fitted on: pages (by hash of the id), lines of a page, features of a line.
+FIT_PAGES, FIT_LINES, FIT_FEATURES = 6_000, 300, 300
+#: Dimensions of the hashed features of a line, and of its surroundings.
+DIMENSIONS, AROUND = 1 << 17, 1 << 14
+#: A line's score is at most this far from 0; the least sum of a run beside the best one.
+BOUND, LEAST = 6.0, 0.5
 
 # Phrases of page furniture, the weak labels (fixed values).
 PHRASES = re.compile(
@@ -79,82 +77,7 @@ def labels(lines: list[str]) -> list[int]:
     return out
 
 
-def tokens(line: str) -> list[str]:
-    """Words (Han text: pairs of characters) and tags of a line: bullets, separators, counters, length, end."""
-    plain = re.sub(r"\$[^$]*\$", " formula ", line)
-    low = plain.lower()
-    ws = [w for w in re.findall(r"[^\W\d_]+|\d+", HAN.sub(" ", low))]
-    out = {"0" if w.isdigit() else w for w in ws}
-    han = "".join(HAN.findall(low))
-    out.update(han[i : i + 2] for i in range(len(han) - 1))
-    n = len(ws) + len(han) / 2
-    out.add(f"<words {0 if n < 3 else 1 if n < 6 else 2 if n < 12 else 3}>")
-    out.add("<end>" if ENDS.search(line) else "<open>")
-    if m := re.match(r"\s*([*\-•»›>]|\d+[.)]|\([a-z]\))\s", line):
-        out.add(f"<item {m[1] if m[1] in '*-•»›>' else '1'}>")
-    bare = low.strip().lstrip("*-•»›> ")
-    if menu_row(line):
-        out.add("<menu>")
-        out.update("=" + c for c in CELLS.split(bare))
-    elif CRUMBS.match(line):
-        out.add("<crumbs>")
-        out.update("=" + c for c in re.split(r"\s(?:>|»|/|::|›|→)\s", bare))
-    elif len(bare) <= 24:
-        out.add("=" + bare)
-    if COUNTER.search(line):
-        out.add("<counter>")
-    return list(out)
-
-
-def fit(pages: DataFrame, fit_pages: int = FIT_PAGES, least: int = 3) -> dict[str, float]:
-    """Token weights: log-odds of body against furniture over the weakly labelled lines of ``fit_pages`` pages.
-
-    Tokens on fewer than ``least`` labelled lines have no weight. Without labelled lines there are no weights.
-    """
-    total = pages.count()
-    slim = pages.select("id", "text").where("id is not null and text is not null")
-    sample = slim if total <= fit_pages else slim.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(fit_pages / total * (1 << 30)))
-
-    def count(batches: Iterator[list[list]]) -> Iterator[list]:
-        held: Counter = Counter()
-        for _, texts in batches:
-            for t in texts:
-                lines = t.split("\n")
-                for line, y in set(zip(lines, labels(lines))):
-                    if y and line.strip() and not COUNTER.search(line):
-                        held[" ", y] += 1
-                        for w in tokens(line):
-                            held[w, y] += 1
-            if len(held) > 300_000:
-                yield [(w, y, n) for (w, y), n in held.items()]
-                held.clear()
-        yield [(w, y, n) for (w, y), n in held.items()]
-
-    sums = map_stream(spread(sample), count, "token string, label int, n bigint").groupBy("token").agg(F.sum(F.when(F.col("label") > 0, F.col("n")).otherwise(0)).alias("body"), F.sum(F.when(F.col("label") < 0, F.col("n")).otherwise(0)).alias("tag"))
-    rows = sums.where(F.col("body") + F.col("tag") >= least).collect()
-    lines = next(((r.body + 1.0, r.tag + 1.0) for r in rows if r.token == " "), (1.0, 1.0))
-    return {r.token: math.log((r.body + 0.5) / lines[0]) - math.log((r.tag + 0.5) / lines[1]) for r in rows if r.token != " "}
-
-
-def score(line: str, weights: dict[str, float], y: int | None = None) -> float:
-    """A line's score: the damped sum of its tokens' weights, bounded; body lines count by their words.
-
-    Undecided lines are judged by their words alone, or by the link of a menu that they equal; blank lines score 0.
-    """
-    if not line.strip():
-        return 0.0
-    y = label(line) if y is None else y
-    known = [weights[w] for w in tokens(line) if w in weights and (y or not (w[0] == "<" or w == "0"))]
-    s = sum(known) / math.sqrt(len(known)) if known else 0.0
-    if y < 0:
-        return max(-TAG_BOUND, min(s, FURNITURE - 1))
-    if y > 0:
-        return max(s, 0.5 * (len(WORD.findall(line)) + len(HAN.findall(line)) / 2), 8.0)
-    link = weights.get("=" + line.lower().strip().lstrip("*-•»›> "), 0.0)
-    return max(-TAG_BOUND, min(s, 1.0, link if link < SHORT else 1.0))
-
-
-def blocks(lines: list[str], stop: list[bool]) -> Iterator[tuple[int, int]]:
+def paragraphs(lines: list[str], stop: list[bool]) -> Iterator[tuple[int, int]]:
     """Runs (from, to) of consecutive lines that are neither blank nor stopped."""
     at = None
     for i, x in enumerate([*lines, ""]):
@@ -166,39 +89,264 @@ def blocks(lines: list[str], stop: list[bool]) -> Iterator[tuple[int, int]]:
             at = None
 
 
-def furniture(text: str, weights: dict[str, float]) -> list[int]:
+def weak_labels(lines: list[str]) -> list[int]:
+    """The training labels of a page's lines: 1 body, -1 furniture, 0 blank or unknown.
+
+    Phrases and layout decide. Undecided lines are body in a block of text, after a blank line, or as one line
+    before the text; those right after furniture are its links, and above it, with no blank line between, a menu.
+    """
+    out = labels(lines)
+    if min(out, default=0) >= 0:
+        return [1 if x.strip() else 0 for x in lines]
+    tag = [y < 0 for y in out]
+    start = next((i for i, y in enumerate(out) if y > 0), len(out))
+    for a, b in paragraphs(lines, tag):
+        blank_above, blank_below = a > 0 and not lines[a - 1].strip(), b < len(lines) and not lines[b].strip()
+        text = any(y > 0 for y in out[a:b]) or (b - a > 1 and sentence(" ".join(lines[a:b])) and all(len(x) >= 25 for x in lines[a : b - 1]))
+        if text or blank_above or (b - a == 1 and b <= start and blank_below):
+            y = 1
+        else:
+            y = -1 if a > start or not blank_below else 0
+        for i in range(a, b):
+            out[i] = y
+    return out
+
+
+WORDS = re.compile(r"[^\W\d_]+|0|[|»›>©•·]")
+DIGITS = re.compile(r"\d[\d.,]*")
+ITEM = re.compile(r"[*\-•»›>](?=\s)|\d+[.)](?=\s)|\([a-z]\)(?=\s)")
+ENDINGS = frozenset(".!?。！？：:;；…\"”’)]")
+
+
+def look(line: str) -> str:
+    """A stripped line's mark, length, separators, end and signs of mathematics, as one short word."""
+    n = line.count(" ") + 1 if line.isascii() else line.count(" ") + len(HAN.findall(line)) // 2
+    mark = line[:1] if ITEM.match(line) else ""
+    seps = len(CELLS.findall(line)) if n > 1 else 0
+    crumbs = sum(map(line.count, (" > ", " » ", " / ", " :: ", " › ", " → "))) if n > 2 else 0
+    size = n if n < 4 else 4 + (n > 6) + (n > 10) + (n > 16)
+    maths = "$" in line or "\\" in line or "=" in line
+    return f"{'1' if mark.isdigit() else mark}{'abcdefgh'[size]}{min(seps, 4)}{min(crumbs, 2)}{'.' if line[-1:] in ENDINGS else ''}{'$' if maths else ''}{'<' if '<' in line else ''}{'0' if line[-1:].isdigit() or line[-2:-1].isdigit() else ''}"
+
+
+def grams(line: str, seen: str) -> list[str]:
+    """Words, marks and pairs of neighbours of a stripped line; Han text by pairs; a short line as a whole."""
+    low = DIGITS.sub("0", line.lower())
+    ts = WORDS.findall(low)
+    if not low.isascii():
+        ts = [x for t in ts for x in ((t[i : i + 2] for i in range(len(t) - 1)) if len(t) > 2 and HAN.match(t) else (t,))]
+    if len(ts) <= 24:
+        ts += list(map(" ".join, zip(ts, ts[1:])))
+    if len(low) <= 40:
+        ts.append("=" + (low[1:].lstrip() if ITEM.match(low) else low))
+    ts.append("<" + seen)
+    return ts
+
+
+class Weights(dict):
+    """Hashed weights by feature, with a bounded cache of the features met and of the lines that keep coming."""
+
+    def __init__(self, own: np.ndarray, around: np.ndarray, cached: int = 1 << 19) -> None:
+        super().__init__()
+        self.own, self.bias, self.cached = own, float(own[-1]), cached
+        self.met: dict[str, tuple[float, str]] = {}
+        self.near = Around(around, cached)
+        self.trained = bool(own.any() and around.any())
+
+    def __missing__(self, gram: str) -> float:
+        if len(self) >= self.cached:
+            self.clear()
+        w = self[gram] = float(self.own[crc32(gram.encode("utf-8", "surrogatepass")) % DIMENSIONS])
+        return w
+
+    def line(self, line: str) -> tuple[float, str]:
+        """Log-odds of body against furniture by a stripped line's own words and look, and its look."""
+        if (known := self.met.get(line)) is None:
+            seen = look(line)
+            ts = grams(line, seen)
+            known = sum(map(self.__getitem__, ts)) / len(ts) ** 0.5 + self.bias, seen
+            if len(line) <= 80:
+                if len(self.met) >= self.cached // 4:
+                    self.met.clear()
+                self.met[line] = known
+        return known
+
+
+class Around(dict):
+    """Hashed weights by feature of a line's surroundings, which are few."""
+
+    def __init__(self, weights: np.ndarray, cached: int) -> None:
+        super().__init__()
+        self.weights, self.bias, self.cached = weights, float(weights[-1]), cached
+
+    def __missing__(self, feature: tuple) -> float:
+        if len(self) >= self.cached:
+            self.clear()
+        w = self[feature] = float(self.weights[spot(feature)])
+        return w
+
+
+def spot(feature: tuple) -> int:
+    return crc32(repr(feature).encode("utf-8", "surrogatepass")) % AROUND
+
+
+def surroundings(scores: list[float], looks: list[str], gaps: list[bool]) -> list[list[tuple]]:
+    """Features of each non-blank line by the scores and looks of itself and its neighbours.
+
+    ``gaps`` tells whether a blank line stands before a line. Scores count in steps.
+    """
+    n = len(scores)
+    step = [max(-4, min(4, int(s / 1.5 + (0.5 if s >= 0 else -0.5)))) for s in scores]
+    coarse = [x[:1] if x[:1] in "*-•»›>1" else x[0] for x in looks]
+    above, low = [], 9
+    for s in step:  # the least step above each line
+        above.append(low)
+        low = min(low, s)
+    below, low = [9] * n, 9
+    for i in range(n - 1, -1, -1):
+        below[i] = low
+        low = min(low, step[i])
+    text = [i for i, s in enumerate(step) if s >= 3]
+    first, last = (text[0], text[-1]) if text else (n, -1)
+    out = []
+    head = 0
+    for i in range(n):
+        gap = gaps[i]
+        if gap or i == 0:
+            head = i
+        before = step[i - 1] if i else 5
+        after = step[i + 1] if i + 1 < n else 5
+        after_gap = gaps[i + 1] if i + 1 < n else True
+        where = (i > first) + 2 * (i < last)
+        c, s = coarse[i], step[i]
+        out.append(
+            [
+                ("s", s), ("l", s, looks[i]), ("p", before, gap), ("n", after, after_gap), ("pn", before, gap, after, after_gap), ("sp", s, before, gap), ("sn", s, after, after_gap), ("cp", c, before, gap, looks[i - 1][:1] if i else ""),
+                ("a", min(above[i], 1), min(below[i], 1), where), ("ca", c, min(above[i], 1), min(below[i], 1), where), ("h", min(step[head:i], default=5), c), ("hp", step[head] if head < i else 5, c, before), ("e", min(i, 3), min(n - 1 - i, 3), s), ("pp", step[i - 2] if i > 1 else 5, before, gap),
+            ]
+        )
+    return out
+
+
+def lined(text: str) -> tuple[list[int], list[str], list[bool]]:
+    """Numbers and stripped text of the non-blank lines, and whether a blank line stands before each."""
+    at, kept, gaps, blank = [], [], [], False
+    for i, x in enumerate(text.split("\n")):
+        if x := x.strip():
+            at.append(i)
+            kept.append(x)
+            gaps.append(blank)
+            blank = False
+        else:
+            blank = True
+    return at, kept, gaps
+
+
+def train(flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, dimensions: int, ridge: float = 1e-6, rounds: int = 80, rate: float = 0.3) -> np.ndarray:
+    """Weights and bias (last) of a logistic regression with an L2 penalty by Adagrad; features weigh 1 / sqrt of their number."""
+    w = np.zeros(dimensions + 1)
+    if not len(sizes) or labels.min() == labels.max():
+        return w
+    row, scale = np.repeat(np.arange(len(sizes)), sizes), 1 / np.sqrt(sizes)
+    weight = np.where(labels > 0, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())) / len(labels)
+    past = np.full(dimensions + 1, 1e-12)
+    for _ in range(rounds):
+        z = np.bincount(row, weights=w[flat], minlength=len(sizes)) * scale + w[-1]
+        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * weight
+        grad = np.append(np.bincount(flat, weights=(g * scale)[row], minlength=dimensions), g.sum()) + ridge * np.append(w[:-1], 0)
+        past += grad * grad
+        w -= rate * grad / np.sqrt(past)
+    return w
+
+
+def example(text: str) -> tuple[list, list, list, list]:
+    """Labels, hashed features, looks and gaps of a page's lines, of at most FIT_LINES lines spread over the page."""
+    at, kept, gaps = lined(text)
+    weak = weak_labels(text.split("\n"))
+    if len(at) > FIT_LINES:
+        a = crc32(text.encode("utf-8", "surrogatepass")) % (len(at) - FIT_LINES)
+        at, kept, gaps = at[a : a + FIT_LINES], kept[a : a + FIT_LINES], gaps[a : a + FIT_LINES]
+    looks = [look(x) for x in kept]
+    idx = [[crc32(g.encode("utf-8", "surrogatepass")) % DIMENSIONS for g in grams(x, s)[-FIT_FEATURES:]] for x, s in zip(kept, looks)]
+    return [weak[i] for i in at], idx, looks, gaps
+
+
+def fitted(rows: list[tuple[list, list, list, list]]) -> tuple[np.ndarray, np.ndarray]:
+    """Both models out of labelled pages: the first from every other page, the second, over its scores, from the rest.
+
+    Fewer than 100 pages train both.
+    """
+    first, second = (rows[::2], rows[1::2]) if len(rows) >= 100 else (rows, rows)
+    one = [(y, f) for ys, fs, _, _ in first for y, f in zip(ys, fs) if y]
+    sizes = np.array([len(f) for _, f in one], np.int64)
+    own = train(np.array([j for _, f in one for j in f], np.int64), sizes, np.array([y > 0 for y, _ in one], float), DIMENSIONS)
+    flat, count, target = [], [], []
+    for ys, fs, looks, gaps in second:
+        scores = [float(own[f].sum()) / len(f) ** 0.5 + float(own[-1]) for f in fs]
+        for y, features in zip(ys, surroundings(scores, looks, gaps)):
+            if y:
+                flat += [spot(x) for x in features]
+                count.append(len(features))
+                target.append(y > 0)
+    around = train(np.array(flat, np.int64), np.array(count, np.int64), np.array(target, float), AROUND)
+    return own.astype(np.float32), around.astype(np.float32)
+
+
+def fit(pages: DataFrame, fit_pages: int = FIT_PAGES) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of both models, from a hash sample of about ``fit_pages`` pages; without furniture all are 0."""
+    slim = pages.select("id", "text").where("id is not null and text is not null")
+    total = slim.count()
+    sample = slim if total <= fit_pages else slim.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(fit_pages / total * (1 << 30)))
+
+    def scan(ids: list, texts: list) -> list[tuple]:
+        return [(i, *example(t)) for i, t in sorted(set(zip(ids, texts)))]
+
+    rows = map_columns(spread(sample), scan, "id string, y array<int>, idx array<array<int>>, looks array<string>, gaps array<boolean>").toArrow().to_pylist()
+    return fitted([(r["y"], r["idx"], r["looks"], r["gaps"]) for r in sorted(rows, key=lambda r: (crc32(r["id"].encode()), r["id"]))])
+
+
+def runs(scores: list[float]) -> list[tuple[int, int, float]]:
+    """All maximal scoring runs (from, to, sum) of a sequence, disjoint, by one linear scan with a stack."""
+    held: list[tuple[int, int, float, float]] = []  # from, to, sum before the run, sum up to its end
+    total = 0.0
+    for i, s in enumerate(scores):
+        before, total = total, total + s
+        if s <= 0:
+            continue
+        a, left, right = i, before, total
+        while True:
+            j = len(held) - 1
+            while j >= 0 and held[j][2] >= left:
+                j -= 1
+            if j < 0 or held[j][3] >= right:
+                break
+            a, left = held[j][0], held[j][2]
+            del held[j:]
+        held.append((a, i, left, right))
+    return [(a, b, right - left) for a, b, left, right in held]
+
+
+def furniture(text: str, weights: Weights, least: float = LEAST) -> list[int]:
     """Numbers of the non-empty lines outside title and body.
 
-    Without any weakly labelled furniture the whole text is body. Undecided lines outside the region that follow
-    a blank line, or stand above the region before one, are body too: links of a sidebar follow its heading.
+    The run of lines with the largest sum is the body; other maximal runs of at least ``least`` are body too,
+    as titles and paragraphs may be cut off by furniture. Within a run, lines of negative score are furniture.
+    Weights that were never trained, for want of labelled furniture, find none.
     """
-    lines = text.split("\n")
-    weak = labels(lines)
-    if min(weak) >= 0:
+    at, kept, gaps = lined(text)
+    if not at or not weights.trained:
         return []
-    scores = [score(x, weights, y) for x, y in zip(lines, weak)]
-    plain = [s <= (FURNITURE if len(x.split()) > 3 else SHORT) for x, s in zip(lines, scores)]
-    for a, b in blocks(lines, plain):  # lines of a wrapped paragraph count by their words, like sentences
-        if b - a > 1 and sentence(" ".join(lines[a:b])) and all(len(x) >= 25 for x in lines[a : b - 1]):
-            for i in range(a, b):
-                scores[i] = max(scores[i], 0.5 * len(WORD.findall(lines[i])))
-    best, start, end, run, at = -math.inf, 0, 0, 0.0, 0
-    for i, s in enumerate(scores):  # the maximum-scoring run of lines
-        if run <= 0:
-            run, at = 0.0, i
-        run += s
-        if run > best:
-            best, start, end = run, at, i
-    while start > 0 and not plain[start - 1]:
-        start -= 1
-    while end + 1 < len(lines) and not plain[end + 1]:
-        end += 1
-    apart: set[int] = set()  # titles and paragraphs cut off by furniture within the body
-    for a, b in blocks(lines, plain):
-        below = b < len(lines) and not lines[b].strip()
-        if not (start <= a and b - 1 <= end) and a > 0 and (not lines[a - 1].strip() or (b <= start and below)):
-            apart.update(range(a, b))
-    return [i for i, x in enumerate(lines) if x.strip() and i not in apart and (i < start or i > end or plain[i])]
+    own = [weights.line(x) for x in kept]
+    near = surroundings([s for s, _ in own], [x for _, x in own], gaps)
+    get, bias = weights.near.__getitem__, weights.near.bias
+    scores = [max(-BOUND, min(BOUND, sum(map(get, f)) / len(f) ** 0.5 + bias)) for f in near]
+    found = runs(scores)
+    best = max(found, key=lambda r: r[2], default=None)
+    body: set[int] = set()
+    for r in found:
+        if r is best or r[2] >= least:
+            body.update(i for i in range(r[0], r[1] + 1) if scores[i] > 0)
+    return [i for k, i in enumerate(at) if k not in body]
 
 
 def bodies(pages: DataFrame, fit_pages: int = FIT_PAGES) -> DataFrame:
@@ -206,18 +354,20 @@ def bodies(pages: DataFrame, fit_pages: int = FIT_PAGES) -> DataFrame:
 
     Null ids and null texts give no row; a blank text has no furniture. Repeated pages give repeated rows.
     """
-    weights = pages.sparkSession.sparkContext.broadcast(fit(pages, fit_pages))
-
-    def scan(ids: list, texts: list) -> list[tuple]:
-        out = []
-        for i, t in zip(ids, texts):
-            off = furniture(t, weights.value)
-            gone = set(off)
-            out.append((i, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone).strip("\n") if off else t, off))
-        return out
+    shared = pages.sparkSession.sparkContext.broadcast(fit(pages, fit_pages))
+
+    def scan(batches: Iterator[list[list]]) -> Iterator[list]:
+        weights = Weights(*shared.value)
+        for ids, texts in batches:
+            out = []
+            for i, t in zip(ids, texts):
+                off = furniture(t, weights)
+                gone = set(off)
+                out.append((i, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone).strip("\n") if off else t, off))
+            yield out
 
     whole = spread(pages.select("id", "text").where("id is not null and text is not null"))
-    return map_columns(whole, scan, "id string, body string, furniture array<int>")
+    return map_stream(whole, scan, "id string, body string, furniture array<int>")
 
 
 def furniture_lines(pages: DataFrame, fit_pages: int = FIT_PAGES) -> DataFrame:

@@ -237,6 +237,58 @@ def test_main_body_of_a_page(spark):
     assert bodies["b"] == PROSE and bodies["d"] == "" and bodies["a"].startswith("About us all") and "Print" not in bodies["a"]
 
 
+def planted_page(rng: random.Random) -> tuple[str, list[int]]:
+    """A page of invented words, and the numbers of its furniture lines."""
+    word = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 3)))
+    menu = ["Home", "News", "Shop", "Help", "Log in", "Forum", "Contact us", "Archive"]
+    lines: list[str] = []
+    off: list[int] = []
+
+    def add(text: str, tag: bool) -> None:
+        if tag:
+            off.append(len(lines))
+        lines.append(text)
+
+    rng.shuffle(menu)
+    for x in [" | ".join(menu[:5])] if rng.random() < 0.5 else ["* " + m for m in menu[:4]]:
+        add(x, True)
+    add("Home > " + rng.choice(["News", "Shop"]), True)
+    add("", False)
+    add(" ".join(word() for _ in range(3)), False)
+    for _ in range(rng.randint(1, 4)):
+        add("", False)
+        add(" ".join(word() for _ in range(rng.randint(8, 30))) + ".", False)
+        if rng.random() < 0.4:
+            add("", False)
+            add(rng.choice(["Print this page", "Advertisement", "Share this: mail link"]), True)
+    add("", False)
+    for x in ["Related posts", *("- " + " ".join(word() for _ in range(3)) for _ in range(rng.randint(1, 4))), f"Powered by {word()} {rng.randint(1, 9)}.2"]:
+        add(x, True)
+    return "\n".join(lines), off
+
+
+def test_learned_weights_decide_on_unseen_pages():
+    rng = random.Random(8)
+    weights = mainbody.fitted([mainbody.example(planted_page(rng)[0]) for _ in range(400)])
+    trained, blank = mainbody.Weights(*weights), mainbody.Weights(*(w * 0 for w in weights))
+    hit = false = missed = 0
+    for _ in range(200):
+        text, off = planted_page(rng)
+        got, want = set(mainbody.furniture(text, trained)), set(off)
+        hit, false, missed = hit + len(got & want), false + len(got - want), missed + len(want - got)
+        assert mainbody.furniture(text, blank) == []
+    assert hit / (hit + missed) > 0.97 and hit / (hit + false) > 0.97
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(-6, 6), max_size=14))
+def test_best_run_by_brute_force(scores):
+    found = mainbody.runs([float(s) for s in scores])
+    best = max((sum(scores[a:b]) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)), default=0)
+    assert max((r[2] for r in found), default=0) == max(best, 0)
+    assert all(r[2] == sum(scores[r[0] : r[1] + 1]) > 0 for r in found) and all(a[1] < b[0] for a, b in zip(found, found[1:]))
+
+
 # --- 7 packing -----------------------------------------------------------------------------------------------
 
 
