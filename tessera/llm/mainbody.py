@@ -23,7 +23,7 @@ from tessera.sources.tables import spread
 #: The sample the weights are fitted on: pages (by hash of the id), lines of a page, features of a line.
 FIT_PAGES, FIT_LINES, FIT_FEATURES = 6_000, 300, 300
 #: Dimensions of the hashed features of a line, and of its surroundings.
-DIMENSIONS, AROUND = 1 << 17, 1 << 14
+DIMENSIONS, AROUND = 1 << 17, 1 << 16
 #: A line's score is at most this far from 0; the least sum of a run beside the best one.
 BOUND, LEAST = 6.0, 0.5
 
@@ -93,7 +93,8 @@ def weak_labels(lines: list[str]) -> list[int]:
     """The training labels of a page's lines: 1 body, -1 furniture, 0 blank or unknown.
 
     Phrases and layout decide. Undecided lines are body in a block of text, after a blank line, or as one line
-    before the text; those right after furniture are its links, and above it, with no blank line between, a menu.
+    before the text; those right after furniture are its links, and above it, with no blank line between, a menu,
+    as are rows of separated words.
     """
     out = labels(lines)
     if min(out, default=0) >= 0:
@@ -103,10 +104,11 @@ def weak_labels(lines: list[str]) -> list[int]:
     for a, b in paragraphs(lines, tag):
         blank_above, blank_below = a > 0 and not lines[a - 1].strip(), b < len(lines) and not lines[b].strip()
         text = any(y > 0 for y in out[a:b]) or (b - a > 1 and sentence(" ".join(lines[a:b])) and all(len(x) >= 25 for x in lines[a : b - 1]))
-        if text or blank_above or (b - a == 1 and b <= start and blank_below):
+        row = any(re.search(r"\s[|·•]\s", x) for x in lines[a:b])
+        if text or blank_above or (b - a == 1 and b <= start and blank_below and not row):
             y = 1
         else:
-            y = -1 if a > start or not blank_below else 0
+            y = -1 if row or a > start or not blank_below else 0
         for i in range(a, b):
             out[i] = y
     return out
@@ -222,7 +224,7 @@ def surroundings(scores: list[float], looks: list[str], gaps: list[bool]) -> lis
         out.append(
             [
                 ("s", s), ("l", s, looks[i]), ("p", before, gap), ("n", after, after_gap), ("pn", before, gap, after, after_gap), ("sp", s, before, gap), ("sn", s, after, after_gap), ("cp", c, before, gap, looks[i - 1][:1] if i else ""),
-                ("a", min(above[i], 1), min(below[i], 1), where), ("ca", c, min(above[i], 1), min(below[i], 1), where), ("h", min(step[head:i], default=5), c), ("hp", step[head] if head < i else 5, c, before), ("e", min(i, 3), min(n - 1 - i, 3), s), ("pp", step[i - 2] if i > 1 else 5, before, gap),
+                ("a", min(above[i], 1), min(below[i], 1), where), ("ca", c, min(above[i], 1), min(below[i], 1), where), ("h", min(step[head:i], default=5), c), ("hp", step[head] if head < i else 5, c, before), ("e", min(i, 3), min(n - 1 - i, 3), s), ("pp", step[i - 2] if i > 1 else 5, before, gap), ("lb", looks[i - 1] if i else "", gap, after_gap, s),
             ]
         )
     return out
