@@ -314,15 +314,19 @@ def shards(df: DataFrame, n: int, order: str = "row_idx") -> DataFrame:
 def numbered(df: DataFrame, order: str) -> DataFrame:
     """``df`` with _n, the position from 0 in the order of a column, without sorting all rows in one task.
 
-    Rows are range-partitioned and sorted; sizes of the partitions, one number each, shift the local positions.
+    Rows are range-partitioned, sorted and written once, each with its partition and its place there. The sizes
+    are counted from what was written, so they fit its places whatever partitions the engine chose; one number
+    for each partition shifts the places. Rows of equal order get some order among themselves.
     """
-    ranged = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_mono", F.monotonically_increasing_id())
-    part = F.shiftrightunsigned(F.col("_mono"), 33).cast("int")
-    sizes = sorted((r[0], r[1]) for r in ranged.groupBy(part).count().collect())
-    offsets, at = [], 0
+    mono = F.monotonically_increasing_id()
+    placed = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_mono", mono)
+    placed = written(placed.withColumn("_part", F.shiftrightunsigned(F.col("_mono"), 33).cast("int")), "numbered")
+    sizes = sorted((r[0], r[1]) for r in placed.groupBy("_part").count().collect())  # one number for each partition
+    shifts, at = [], 0
     for p, n in sizes:
-        offsets.append((p, at))
+        shifts.append((p, at))
         at += n
-    shift = df.sparkSession.createDataFrame(offsets or [(0, 0)], "_part int, _shift bigint")
+    shift = df.sparkSession.createDataFrame(shifts or [(0, 0)], "_part int, _shift bigint")
     local = F.col("_mono").bitwiseAND(F.lit((1 << 33) - 1))
-    return ranged.withColumn("_part", part).join(F.broadcast(shift), "_part").withColumn("_n", local + F.col("_shift")).drop("_mono", "_part", "_shift")
+    known = F.coalesce("_shift", F.raise_error(F.lit("a partition was not counted")))
+    return placed.join(F.broadcast(shift), "_part", "left").withColumn("_n", local + known).select(*df.columns, "_n")

@@ -16,8 +16,8 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     """Rows dealt out over all cores when the scan has fewer splits than cores.
 
-    A file with a single row group is a single task, which starves Python stages on small inputs. Large
-    inputs have more splits than cores already and pass through without a shuffle.
+    A file with a single row group is a single task, which starves Python stages on small inputs: only there
+    the rows are shuffled. Large inputs have more splits than cores and pass through without a shuffle.
     """
     spark = df.sparkSession
     least = least or spark.sparkContext.defaultParallelism
@@ -25,13 +25,25 @@ def spread(df: DataFrame, least: int | None = None) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the one that the cluster names in ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """A new folder under the one that the cluster names in ``spark.checkpoint.dir``; it goes when the application ends.
+
+    Only where that is unset and the master is local is it a temporary folder of this machine.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}" if base else f"{tempfile.mkdtemp()}/{name}"
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as a table and read back: its lineage is cut, and losing an executor loses nothing of it."""
-    path = shared_folder(df.sparkSession, name)
+    path = f"{shared_folder(df.sparkSession, name)}/table"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

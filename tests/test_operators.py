@@ -31,6 +31,27 @@ def test_numbering_is_the_order(spark):
     assert sizes == [253, 252, 252, 252]
 
 
+def test_wide_rows_are_all_numbered(spark):
+    """Rows so wide that counting and reading them would be coalesced into different partitions."""
+    n = 120_000
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        df = spark.range(n).select((F.col("id") * 7919 % n).alias("row_idx"), F.concat_ws("-", F.sha2(F.col("id").cast("string"), 512), F.sha2((-F.col("id")).cast("string"), 512)).alias("wide"), F.lit(1).alias("_part"))
+        out = selection.numbered(df.drop("_part"), "row_idx")
+        told = out.agg(F.count("*").alias("n"), F.count_if(F.col("_n") == F.col("row_idx")).alias("right"), F.count_distinct("wide").alias("wide")).first()
+        assert tuple(told) == (n, n, n)
+        assert [(r.shard, r["count"]) for r in selection.shards(df.drop("_part"), 7).groupBy("shard").count().orderBy("shard").collect()] == [(i, n // 7 + (i < n % 7)) for i in range(7)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_numbering_of_ties_nulls_and_nothing(spark):
+    df = spark.createDataFrame([(None,), (3,), (3,), (1,)], "k int")
+    assert sorted(r._n for r in selection.numbered(df, "k").collect()) == [0, 1, 2, 3]
+    assert selection.numbered(df.where("false"), "k").count() == 0
+
+
 def test_capped_fill_keeps_its_promises(spark):
     rng = random.Random(6)
     rows = [(f"q{i}", rng.choice(["代数/函数", "几何", "数论"]), rng.choice(["on_policy", "mid_hard"]), rng.random() < 0.5) for i in range(900)]
