@@ -27,16 +27,21 @@ DIMENSIONS, AROUND = 1 << 17, 1 << 16
 #: A line's score is at most this far from 0; the least sum of a run beside the best one.
 BOUND, LEAST = 6.0, 0.5
 
-# Phrases of page furniture, the weak labels (fixed values).
-PHRASES = re.compile(
+# Phrases of page furniture, the weak labels (fixed values): those that open a line, those that stand within it.
+OPENING = re.compile(
     r"(?i)^\W*(?:skip to (?:main )?(?:content|navigation)|jump to (?:content|navigation)|back to (?:the )?top|mobile (?:version|site)|desktop version|print(?:able)? (?:this page|version)|print this|share(?: this)?(?: page| post)?\s*(?::.*)?|share on \w+"
     r"|follow us\b.*|terms (?:of (?:use|service)|and conditions)\b.*|privacy(?: policy| notice)?(?:\W.*)?|imprint|sitemap|powered by .*|hosted (?:at|by) .*|(?:page )?generated in .*|version [\d.]+, theme .*"
     r"|(?:copyright|©|\(c\)).*\b(?:19|20)\d\d\b.*|all rights reserved\b.*|was this (?:page |article |answer )?helpful.*|rate this .*|report (?:a problem|this)\b.*|sign (?:up|in)\b.*|log ?in to .*|you must be (?:signed|logged) in\b.*|subscribe\b.*"
     r"|join [\d,.]+ .*|get unlimited .*|continue reading in .*|advertisements?|sponsored(?: content| links?)?|newsletter|related (?:questions|posts|articles|links|topics|pages)|you may also like|recent (?:posts|articles|comments|questions)|popular (?:this week|posts|articles|now)|hot (?:topics|questions)"
-    r"|latest (?:posts|articles|news)|trending(?: now)?|categories|archives|tags|blogroll|.* [-–] [\d,.]+ views?|[\d,.]+ (?:comments?|likes?|views?|replies|shares)\b(?:,.*)?|.* is run by volunteers since .*|posted (?:by|in|on) .*|filed under .*|leave a (?:comment|reply)|(?:previous|next) (?:post|page|article)"
-    r"|.*\b(?:uses?|stores?|set) (?:\w+ ){0,3}(?:cookies|tracking pixels|small text files|similar storage)\b.*|.*\b(?:accept all|by continuing you agree|read our privacy notice|cookie settings|manage cookies)\b.*)\W*$"
-    r"|^\W*(?:跳到正文|跳至内容|返回顶部|回到顶部|广告|推广|赞助内容|热门推荐|最新文章|相关题目|相关文章|相关推荐|猜你喜欢|友情链接.*|.*\s*[-–]?\s*\d+\s*次(?:浏览|阅读)|热门文章|热门话题|手机版|电脑版|打印本页|分享到[:：].*|备案号.*|.*ICP备.*|版权所有.*|使用条款.*|隐私政策.*|联系客服|登录后.*|请先?登录.*|注册后.*|阅读\s*\d+\s*次.*|下载客户端.*|下载APP.*|扫码.*|关注我们.*|页面生成.*|评论\s*\d+.*|本站使用Cookie.*|.*(?:接受|同意)(?:隐私|Cookie).*|.*继续访问即表示同意.*|.*存储少量信息.*|.*Cookie以改善.*)\W*$"
+    r"|latest (?:posts|articles|news)|trending(?: now)?|categories|archives|tags|blogroll|[\d,.]+ (?:comments?|likes?|views?|replies|shares)\b(?:,.*)?|posted (?:by|in|on) .*|filed under .*|leave a (?:comment|reply)|(?:previous|next) (?:post|page|article))\W*$"
+    r"|^\W*(?:跳到正文|跳至内容|返回顶部|回到顶部|广告|推广|赞助内容|热门推荐|最新文章|相关题目|相关文章|相关推荐|猜你喜欢|友情链接.*|热门文章|热门话题|手机版|电脑版|打印本页|分享到[:：].*|备案号.*|版权所有.*|使用条款.*|隐私政策.*|联系客服|登录后.*|请先?登录.*|注册后.*|阅读\s*\d+\s*次.*|下载客户端.*|下载APP.*|扫码.*|关注我们.*|页面生成.*|评论\s*\d+.*|本站使用Cookie.*)\W*$"
 )
+WITHIN = re.compile(
+    r"(?i).* [-–] [\d,.]+ views?\W*$|.* is run by volunteers since |.*\b(?:uses?|stores?|set) (?:\w+ ){0,3}(?:cookies|tracking pixels|small text files|similar storage)\b|.*\b(?:accept all|by continuing you agree|read our privacy notice|cookie settings|manage cookies)\b"
+    r"|.*\s*[-–]?\s*\d+\s*次(?:浏览|阅读)\W*$|.*ICP备|.*(?:接受|同意)(?:隐私|Cookie)|.*继续访问即表示同意|.*存储少量信息|.*Cookie以改善"
+)
+#: Letters without which nothing of WITHIN can match (lower case).
+HINTS = ("view", "volunteers", "cookie", "pixels", "text files", "storage", "accept all", "agree", "privacy", "次", "icp", "同意", "接受", "信息")
 CRUMBS = re.compile(r"^\s*[^\s>»/:|›→][^>»/:|›→]{0,40}(?:\s(?:>|»|/|::|›|→)\s[^>»/:|›→.]{1,40}){1,6}\s*$")
 CELLS = re.compile(r"\s+[|·•]\s+|\s{2,}|\t")
 ENDS = re.compile(r"[.!?。！？：:;；…][\"'”’)\]]*\s*$")
@@ -58,11 +63,17 @@ def sentence(line: str) -> bool:
     return (n >= 5 and bool(ENDS.search(line))) or n >= 14
 
 
+def tagged(line: str) -> bool:
+    """Whether a line is furniture by its phrase, as a row of links or as breadcrumbs."""
+    low = line.lower()
+    if OPENING.match(line) or (any(h in low for h in HINTS) and WITHIN.match(line)) or menu_row(line):
+        return True
+    return len(line) < 90 and bool(CRUMBS.match(line)) and not re.search(r"[\d$=]{3,}|\$", line)
+
+
 def label(line: str) -> int:
     """The weak label of a line: 1 body, -1 furniture, 0 undecided."""
-    if PHRASES.match(line) or menu_row(line):
-        return -1
-    if CRUMBS.match(line) and not re.search(r"[\d$=]{3,}|\$", line) and len(line) < 90:
+    if tagged(line):
         return -1
     return 1 if sentence(line) or re.match(r"\s*(?:\$\$|<math\b|\\begin\{|\\\[|return\b|for .*:$|def .*:$|if .*:$|\w+ \+?= )", line) else 0
 

@@ -79,9 +79,24 @@ def units(text: str) -> list[str]:
     return words(HAN.sub(lambda m: f" {m[0]} ", text) if not text.isascii() else text)
 
 
-@lru_cache(maxsize=4096)
+#: States of the automata that a worker keeps; prompts that keep coming find theirs again.
+CACHED_STATES = 200_000
+_automata: dict[str, SuffixAutomaton] = {}
+_states = 0
+
+
 def automaton(prompt: str) -> SuffixAutomaton:
-    return SuffixAutomaton(units(prompt))
+    """The automaton of a prompt, remembered while all that are have at most CACHED_STATES states."""
+    global _states
+    if (a := _automata.get(prompt)) is None:
+        a = SuffixAutomaton(units(prompt))
+        if _states + len(a.next) > CACHED_STATES:
+            _automata.clear()
+            _states = 0
+        if len(a.next) <= CACHED_STATES:
+            _automata[prompt] = a
+            _states += len(a.next)
+    return a
 
 
 def copied(prompt: str, response: str, run: int = COPY_RUN) -> tuple[float, int]:
@@ -148,6 +163,7 @@ def refuses(text: str, share: float = REFUSED) -> bool:
 
 MATH = re.compile(r"\$\$.*?\$\$|\$[^$]*\$|\\\(.*?\\\)|\\\[.*?\\\]", re.S)
 CLOSE = {")": "(", "]": "[", "}": "{"}
+ENVIRONMENT = re.compile(r"\\(begin|end)\{([^{}]*)\}")
 ENDED = re.compile(r"(?:[.!?。！？;；:：…‥∎■□◻]|\b(?:QED|q\.e\.d|done|verified|hence proved))[\s\"'”’»」』）)\]*_`~$]*(?:(?:QED|q\.?e\.?d|∎|■|□)[.\s]*)?$", re.I)
 #: Openings of a line that gives the final answer (fixed values).
 ANSWER = re.compile(
@@ -170,7 +186,7 @@ def open_delimiters(text: str) -> list[str]:
     while i < n:
         c = text[i]
         if c == "\\":
-            if (m := re.match(r"\\(begin|end)\{([^{}]*)\}", text[i:])) is not None:
+            if (m := ENVIRONMENT.match(text, i)) is not None:
                 if m[1] == "begin":
                     stack.append("\\" + m[2])
                 elif "\\" + m[2] in stack:
@@ -263,35 +279,44 @@ def votes(text: str) -> tuple[Counter, float]:
     t = re.sub(r"\\[a-zA-Z]+|<[^<>\n]*>|https?://\S+", " ", MATH.sub(" ", text)).lower()
     told: Counter = Counter()
     total = 0.0
-    for w in re.findall(r"[^\W\d_]+", t):
-        if of := _VOTES.get(w):
-            told.update(of)
-            total += 1
-        if w.isascii():
-            continue
-        for ch in w:
+    met = Counter(re.findall(r"[^\W\d_]+", t))
+    for w in met.keys() & _VOTES.keys():
+        for lang in _VOTES[w]:
+            told[lang] += met[w]
+        total += met[w]
+    if not t.isascii():
+        letters: Counter = Counter()
+        for w, n in met.items():
+            if not w.isascii():
+                for ch in w:
+                    letters[ch] += n
+        for ch, n in letters.items():
             lang = script(ch) if ord(ch) > 0x2FF else ACCENTS.get(ch)
             if lang:
-                n = 0.5 if lang in ("zh", "ja", "ko") else 0.2
-                told[lang] += n
-                total += n
+                part = n * (0.5 if lang in ("zh", "ja", "ko") else 0.2)
+                told[lang] += part
+                total += part
     return told, total
 
 
-def language(text: str) -> tuple[str, float]:
-    """The language most words vote for, and its share of the votes; ("", 0) where nothing votes."""
-    told, total = votes(text)
+def leading(told: Counter, total: float) -> tuple[str, float]:
+    """The language with the most of the votes, and its share; ("", 0) where nothing votes."""
     if not told:
         return "", 0.0
-    best, n = max(told.items(), key=lambda x: (x[1], x[0] == "en", x[0]))
+    best, n = max(told.items(), key=lambda x: (round(x[1], 6), x[0] == "en", x[0]))
     return best, n / total
 
 
+def language(text: str) -> tuple[str, float]:
+    """The language most words vote for, and its share of the votes; ("", 0) where nothing votes."""
+    return leading(*votes(text))
+
+
 def other_language(prompt: str, response: str) -> bool:
     """Whether clear majorities put prompt and response into different languages, and few words fit the prompt's."""
     a, sure_a = language(prompt)
     told, total = votes(response)
-    b, sure_b = language(response)
+    b, sure_b = leading(told, total)
     return bool(a and b) and a != b and sure_a >= 0.5 and sure_b >= 0.6 and told[a] < 0.5 * told[b]
 
 

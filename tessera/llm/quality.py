@@ -1,8 +1,9 @@
 """Per-document statistics, their distributions per language, and documents that are no prose in the main.
 
 Statistics of words, lines and symbols are sketched per language with mergeable quantile sketches. A value
-becomes a percentile and a robust z-score of its language. A document of which items, table rows or unreadable
-characters make up most of the content is a list, table or junk, however many others are.
+becomes a percentile and a robust z-score of its language. A document is a list, table or junk if its share of
+items, table rows or unreadable characters lies in the upper tail of the language's running prose, by sketches
+over the documents that are prose in the main, so that the tail does not move however many lists there are.
 """
 
 from __future__ import annotations
@@ -15,14 +16,16 @@ from pyspark.sql import functions as F
 
 from tessera.functions.arrow import map_columns
 from tessera.functions.words import HAN, visible
-from tessera.llm.mainbody import COUNTER, label, sentence
-from tessera.llm.pairs import STOPWORDS, language, votes
+from tessera.llm.mainbody import COUNTER, sentence, tagged
+from tessera.llm.pairs import STOPWORDS, leading, votes
 from tessera.sources.tables import spread, written
 
 SHARES = ("list", "table", "junk")
 STATS = ("n_chars", "n_words", "word_length", "symbol_ratio", "digit_ratio", "ending_lines", "common_words", "short_lines", *(f"{k}_share" for k in SHARES))
 #: A share in the main; the least spread that a z-score is taken over; the least documents of a language with a sketch of its own.
 MAIN, SPREAD, OWN = 0.5, 0.1, 50
+#: A tail begins at this z-score among prose, over at least this spread, and no nearer to 1 than half way from this percentile.
+TAIL, TAIL_SPREAD, TOP = 3.5, 0.2, 0.995
 
 #: Votes for a language, as a part of the words, from which a text counts to it.
 VOTED = 0.08
@@ -31,6 +34,7 @@ FORMULA = re.compile(r"\$\$.+?\$\$|\$[^$\n]+\$|<math>.*?</math>", re.S)
 MARK = re.compile(r"^\s*(?:[-*•·»–▪◦‣](?=\s|$)|\(?(?:\d{1,3}|[a-zA-Z]|[ivxIVX]+)[.)](?=\s|$)|[（(][一二三四五六七八九十\d]+[)）]|<li>|\\item)\s*")
 CODE = re.compile(r"^\s*(?:```|def .*:$|for .*:$|if .*:$|while .*:$|else:$|return\b|print\(|\w+ [-+*/]?= |</?(?:pre|code|syntaxhighlight)|\\(?:begin|end)\{|</?(?:ul|ol)>)")
 SEPARATORS = (("\t", re.compile(r"\t")), ("|", re.compile(r"\s*\|\s*")), (";", re.compile(r"\s*[;；]\s*")), (",", re.compile(r"\s*,\s*")), (" ", re.compile(r"\s{2,}")), ("&", re.compile(r"\s+&\s+")))
+SPLIT = dict(SEPARATORS)
 ELEMENT = re.compile(r"</?[a-zA-Z][^<>]*>")
 LETTERS = re.compile(r"[^\W\d_]+")
 TOKEN = re.compile(r"[^\s,;|]+")
@@ -95,6 +99,14 @@ def vowel_poor(line: str) -> bool:
     return len(latin) >= 15 and sum(map(latin.count, "aeiouy")) < 0.2 * len(latin)
 
 
+HEX = re.compile(r"[0-9a-f]{2,8}|[0-9A-F]{2,8}")
+
+
+def encoded(tokens: list[str]) -> bool:
+    """Whether a line is a dump of bytes: many hexadecimal tokens of one length, digits and letters mixed."""
+    return len(tokens) > 5 and len(set(map(len, tokens))) == 1 and all(map(HEX.fullmatch, tokens)) and not all(map(str.isdigit, tokens)) and not all(map(str.isalpha, tokens))
+
+
 def size(line: str) -> int:
     """Characters that show, without tags; a Han character counts as three, as it says about as much."""
     bare = ELEMENT.sub("", line) if "<" in line else line
@@ -121,92 +133,130 @@ def content(text: str) -> dict[str, int]:
     return out
 
 
+#: Longest line that can be furniture; a line reads as language if every so many words is a common one.
+TAG_CHARS, READS = 240, 5
+STOP = re.compile(r"[.!?。！？](?=\s|$)|[。！？]")
+RUNS_ON = re.compile(r"\s*[a-zà-ÿа-я$\d(]")
+
+
+class Line:
+    """What a line shows by itself."""
+
+    __slots__ = ("bare", "code", "counter", "furniture", "garbled", "item", "row", "said", "size", "tokens", "units")
+
+    def __init__(self, line: str) -> None:
+        self.size = size(line)
+        self.bare = FORMULA.sub(" ", line) if "$" in line or "<math>" in line else line
+        self.code = bool(CODE.match(line))
+        self.tokens = self.bare.split()
+        self.garbled = False
+        if not (self.code or len(self.tokens) > 7 and sum(map(COMMON.__contains__, self.tokens)) * READS >= len(self.tokens)):
+            self.tokens = TOKEN.findall(self.bare)
+            bad = sum(map(len, filter(unreadable, self.tokens)))
+            shown = self.size if self.bare is line else size(self.bare)
+            self.garbled = (bad > 0.5 * shown and shown > 3) or vowel_poor(self.bare) or encoded(self.tokens)
+        self.item = (m := MARK.match(line)) is not None
+        rest = line[m.end() :] if m else line
+        self.said = sentence(rest)
+        self.row = None if len(line) < 5 or ((sentence(line) if m else self.said) and "\t" not in line and "|" not in line) else cells(line)
+        self.furniture = len(line) <= TAG_CHARS and tagged(line)
+        self.units = self.counter = None
+        if not self.said or self.item:
+            self.units = len(LETTERS.findall(HAN.sub(" ", FORMULA.sub(" x ", rest)))) + len(HAN.findall(rest)) / 2
+            self.counter = bool(COUNTER.search(line))
+
+
+short_line = lru_cache(maxsize=1 << 15)(Line)
+
+
 def weigh(block: list[str], out: dict[str, int], seen: set[str]) -> None:
-    furniture = [label(x) < 0 for x in block]
-    rows = [cells(x) for x in block]
+    facts = [short_line(x) if len(x) <= 60 else Line(x) for x in block]
     table = [False] * len(block)
     i = 0
     while i < len(block):
-        j = i + 1
-        while rows[i] and j < len(block) and rows[j] and rows[j][0] == rows[i][0] and abs(rows[j][1] - rows[i][1]) <= 1:
+        row, j, full = facts[i].row, i + 1, 1
+        while row and j < len(block):
+            r = facts[j].row
+            if r and r[0] == row[0] and abs(r[1] - row[1]) <= 1:
+                full += 1
+            elif r or facts[j].said or not SPLIT[row[0]].search(block[j].strip()):
+                break  # a row with empty cells is still a row
             j += 1
-        if rows[i] and j - i >= 3:
+        if full >= 3:
             table[i:j] = [True] * (j - i)
-            if i and furniture[i - 1] and cells(block[i - 1]):
+            if i and facts[i - 1].furniture and facts[i - 1].row:
                 table[i - 1] = True
         i = j
+    flows = wrapped(block, facts, table)
     chrome = False
-    for i, line in enumerate(block):
-        n = size(line)
-        bare = FORMULA.sub(" ", line)
-        tokens = TOKEN.findall(bare)
-        bad = sum(len(t) for t in tokens if unreadable(t))
-        garbled = ((bad > 0.5 * size(bare) and size(bare) > 3) or vowel_poor(bare)) and not CODE.match(line)
-        if garbled:
-            out["junk"] += n
-            continue
-        if table[i]:
-            out["table"] += n
-            continue
-        if furniture[i]:
+    tags = any(f.furniture for f in facts)
+    for i, f in enumerate(facts):
+        if f.garbled:
+            out["junk"] += f.size
+        elif table[i]:
+            out["table"] += f.size
+        elif f.furniture:
             chrome = True
+        elif f.code:
             continue
-        if CODE.match(line):
-            continue
-        item = MARK.match(line)
-        rest = line[item.end() :] if item else line
-        count = len(LETTERS.findall(HAN.sub(" ", FORMULA.sub(" x ", rest)))) + len(HAN.findall(rest)) / 2
-        if sentence(rest) and (not item or count > 12):
-            out["prose"] += n
-        elif not tokens or (not bare.strip(" .,;:") and not item):
+        elif f.said and (not f.item or f.units > 12):
+            out["prose"] += f.size
+        elif not f.tokens or (not f.item and not f.bare.strip(" .,;:")):
             continue  # a formula of its own
-        elif not item and wrapped(block, i, table, furniture):
-            out["prose"] += n
-        elif COUNTER.search(line) and not item and chrome:
+        elif not f.item and flows[i]:
+            out["prose"] += f.size
+        elif f.counter and not f.item and chrome:
             continue
-        elif count <= 14:
-            if not (chrome or any(furniture) or line.strip() in seen):
-                seen.add(line.strip())
-                out["list"] += n
-        else:
-            out["prose"] += n
-
-
-def wrapped(block: list[str], i: int, table: list[bool], furniture: list[bool]) -> bool:
-    """Whether a line stands in a paragraph of hard line breaks: its neighbours run on and sentences end there."""
-    a = b = i
-    while a > 0 and not (table[a - 1] or furniture[a - 1] or MARK.match(block[a - 1])):
-        a -= 1
-    while b + 1 < len(block) and not (table[b + 1] or furniture[b + 1] or MARK.match(block[b + 1])):
-        b += 1
-    if b == a:
-        return False
-    lines = block[a : b + 1]
-    ends = sum(len(re.findall(r"[.!?。！？](?=\s|$)|[。！？]", FORMULA.sub("x", x))) for x in lines)
-    starts = sum(1 for x in lines[1:] if re.match(r"\s*[a-zà-ÿа-я$\d(]", x))
-    return ends * 8 >= len(lines) and (starts * 3 >= len(lines) - 1 or bool(HAN.search("".join(lines))))
+        elif f.units > 14:
+            out["prose"] += f.size
+        elif not (chrome or tags or (line := block[i].strip()) in seen):
+            seen.add(line)
+            out["list"] += f.size
+
+
+def wrapped(block: list[str], facts: list[Line], table: list[bool]) -> list[bool]:
+    """Which lines stand in a paragraph of hard line breaks: their neighbours run on and sentences end there."""
+    out = [False] * len(block)
+    cut = [t or f.furniture or f.item for t, f in zip(table, facts)]
+    a = 0
+    for b in range(1, len(block) + 1):
+        if b < len(block) and not cut[b]:
+            continue
+        first = a + cut[a]  # an item or a table's row ends before the paragraph
+        if b - first > 1:
+            lines = block[first:b]
+            ends = sum(len(STOP.findall(FORMULA.sub("x", x) if "$" in x else x)) for x in lines)
+            starts = sum(map(bool, map(RUNS_ON.match, lines[1:])))
+            if ends * 8 >= len(lines) and (starts * 3 >= len(lines) - 1 or HAN.search("".join(lines))):
+                out[first:b] = [True] * (b - first)
+        a = b
+    return out
+
+
+def shares(t: str) -> tuple:
+    """(language, list, table and junk share) of a visible text; shares are of its list, table, junk and prose."""
+    parts = content(t)
+    whole = sum(parts.values())
+    told, total = votes(t)
+    lang, sure = leading(told, total)
+    known = sure >= 0.5 and total >= 3 and (total >= VOTED * (len(t) / 2 + 1) or total >= VOTED * (len(LETTERS.findall(HAN.sub(" ", t))) + len(HAN.findall(t)) / 2))
+    return lang if known else "und", *(parts[k] / whole if whole else 0.0 for k in SHARES)
 
 
 def statistics(text: str) -> tuple:
-    """(language, values of STATS) of a text; shares are of the content that is list, table, junk or prose."""
+    """(language, values of STATS) of a text."""
     t = visible(text)
     lines = [x for x in t.split("\n") if x.strip()]
     words = LETTERS.findall(HAN.sub(" ", t))
     han = len(HAN.findall(t))
     n = sum(map(len, t.split())) or 1
-    n_words = len(words) + han / 2
-    parts = content(t)
-    whole = sum(parts.values())
     symbols = n - sum(map(str.isalnum, t))
     digits = sum(map(str.isdigit, t))
     ending = sum(1 for x in lines if re.search(r"[.!?。！？:：;；…][\"'”’)\]]*\s*$", x))
-    lang, sure = language(t)
-    known = sure >= 0.5 and votes(t)[1] >= max(3, VOTED * n_words)
+    lang, *parts = shares(t)
     return (
-        lang if known else "und",
-        float(len(t)), float(n_words), sum(map(len, words)) / len(words) if words else 0.0, symbols / n, digits / n, ending / (len(lines) or 1),
-        sum(map(COMMON.__contains__, map(str.lower, words))) / (len(words) or 1), sum(1 for x in lines if len(x) < 40) / (len(lines) or 1),
-        *(parts[k] / whole if whole else 0.0 for k in SHARES),
+        lang, float(len(t)), float(len(words) + han / 2), sum(map(len, words)) / len(words) if words else 0.0, symbols / n, digits / n, ending / (len(lines) or 1),
+        sum(map(COMMON.__contains__, map(str.lower, words))) / (len(words) or 1), sum(1 for x in lines if len(x) < 40) / (len(lines) or 1), *parts,
     )
 
 
@@ -260,16 +310,37 @@ def placed(stats: DataFrame, names: tuple = STATS, own: int = OWN) -> DataFrame:
     return joined.select(*stats.columns, *(percentile(c).alias(f"{c}_pct") for c in names), *(z(c).alias(f"{c}_z") for c in names), *(z_all(c).alias(f"{c}_z_all") for c in names))
 
 
-def kind() -> Column:
-    """The largest of the list, table and junk shares if it is more than MAIN, else null, for prose.
+def tails(stats: DataFrame, own: int = OWN) -> dict[str | None, dict[str, float]]:
+    """Where the upper tail of each share begins, by language; None for all languages together.
 
-    Only the document's own shares decide: quartiles of a language move with the number of such documents and
-    of copies, so that a z-score loses a kind where it is common.
+    Sketched are the documents that are prose in the main; a language of fewer than ``own`` of them has no entry.
+    A tail begins TAIL robust z-scores above the median, or half way between the TOP percentile and 1 if that is less.
     """
-    found = F.lit(None).cast("string")
-    top = F.greatest(*(f"{k}_share" for k in SHARES))
+    names = tuple(f"{k}_share" for k in SHARES)
+    prose = stats.where(sum((F.col(c) for c in names), F.lit(0.0)) <= MAIN)
+    at = F.array(*(F.lit(q) for q in (0.25, 0.5, 0.75, TOP)))
+    told = sketches(prose, names).select("lang", "n", *(F.kll_sketch_get_quantile_double(F.col(c), at).alias(c) for c in names)).collect()  # one row per language
+
+    def begin(lo: float, mid: float, hi: float, top: float) -> float:
+        return min(mid + TAIL * 0.7413 * max(hi - lo, TAIL_SPREAD), (top + 1) / 2)
+
+    return {None: dict.fromkeys(SHARES, MAIN)} | {r.lang: {k: begin(*r[c]) for k, c in zip(SHARES, names)} for r in told if r.lang is None or (r.lang != "und" and r.n >= own)}
+
+
+def kind(begins: dict[str | None, dict[str, float]]) -> Column:
+    """The largest of the list, table and junk shares that lie in their tails, else null, for prose."""
+
+    def cut(k: str) -> Column:
+        out = F.lit(begins[None][k])
+        for lang, at in begins.items():
+            if lang is not None:
+                out = F.when(F.col("lang") == lang, F.lit(at[k])).otherwise(out)
+        return out
+
+    far = {k: F.when(F.col(f"{k}_share") > cut(k), F.col(f"{k}_share")) for k in SHARES}
+    top, found = F.greatest(*far.values()), F.lit(None).cast("string")
     for k in reversed(SHARES):
-        found = F.when((F.col(f"{k}_share") == top) & (top > MAIN), F.lit(k)).otherwise(found)
+        found = F.when(far[k] == top, F.lit(k)).otherwise(found)
     return found
 
 
@@ -278,7 +349,8 @@ def kinds(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
 
     ``rules`` (id, run_no, feature_dict) adds the latest run's char_len, number_count and symbol_count.
     """
-    out = placed(written(measured(pages), "statistics"), tuple(f"{k}_share" for k in SHARES)).withColumn("kind", kind())
+    stats = written(measured(pages), "statistics")
+    out = placed(stats, tuple(f"{k}_share" for k in SHARES)).withColumn("kind", kind(tails(stats)))
     if rules is None:
         return out
     last = rules.where("id is not null").groupBy("id").agg(F.max_by("feature_dict", F.coalesce("run_no", F.lit(-1))).alias("f"))
@@ -286,5 +358,14 @@ def kinds(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
 
 
 def not_prose(pages: DataFrame) -> DataFrame:
-    """(id, kind) of pages that are a list, a table or junk in the main, each once."""
-    return measured(pages).select("id", kind().alias("kind")).where("kind is not null").distinct()
+    """(id, kind) of pages that are a list, a table or junk in the main, each once.
+
+    Only language and shares are measured. Null ids, null and blank texts give no row.
+    """
+
+    def scan(ids: list, texts: list) -> list[tuple]:
+        return [(i, *shares(visible(t))) for i, t in zip(ids, texts)]
+
+    slim = "id string, lang string, " + ", ".join(f"{k}_share double" for k in SHARES)
+    stats = written(map_columns(spread(pages.select("id", "text").where(r"id is not null and text rlike '\\S'")), scan, slim), "shares")
+    return stats.select("id", kind(tails(stats)).alias("kind")).where("kind is not null").distinct()

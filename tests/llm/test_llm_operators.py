@@ -137,6 +137,8 @@ def test_kinds_of_content():
     assert share("Here they are.\n" + "\n".join(f"- item {w}" for w in ("red", "green", "blue", "deep grey", "pale pink")))["list"] > 0.7
     assert share("a\tb\tc\n" + "\n".join(f"x{i}\t{i}\t{i * 2}" for i in range(9)))["table"] == 1
     assert share("xq zzkrt vvbn|1l qwrtz\n" * 6)["junk"] > 0.9
+    assert share("name     size     cost\n1        64\nred      22.7     n/a\ngreen             24\nblue     3        9\n")["table"] == 1
+    assert share("61 55 9c c6 85 10 5e 51\n05 04 5a 82 2c ca 87 87\n" * 3)["junk"] == 1 and share("61 55 12 34 85 10 57 51")["junk"] == 0
     wrapped = re.sub(r"(.{30,45}?) ", r"\1\n", PROSE * 2)
     assert share(wrapped)["prose"] == 1 and share("")["prose"] == 0
 
@@ -162,6 +164,23 @@ def test_common_kinds_are_found(spark):
     assert {(r.id, r.kind) for r in quality.kinds(df).where("kind is not null").collect()} == want
 
 
+def test_tails_follow_the_prose_of_a_language(spark):
+    shape = "id string, lang string, list_share double, table_share double, junk_share double"
+    rows = [(f"e{i}", "en", 0.004 * (i % 100), 0.0, 0.0) for i in range(400)] + [(f"d{i}", "de", 0.0, 0.0, 0.0) for i in range(100)] + [(f"x{i}", "en", 1.0, 0.0, 0.0) for i in range(400)]
+    stats = spark.createDataFrame(rows, shape)
+    begins = quality.tails(stats)
+    # German prose holds no items: its tail begins half way to 1; English prose holds up to 0.4 of items
+    assert begins["de"]["list"] == 0.5
+    assert begins["en"]["list"] == pytest.approx((1 + 0.396) / 2, abs=0.02)
+    at = spark.createDataFrame([("a", "en", 0.6, 0.0, 0.0), ("b", "de", 0.6, 0.0, 0.0), ("c", "en", 0.9, 0.0, 0.0)], shape)
+    assert {r.id: r.k for r in at.select("id", quality.kind(begins).alias("k")).collect()} == {"a": None, "b": "list", "c": "list"}
+
+
+def test_wrapped_lines_of_one_block_take_linear_time():
+    block = "\n".join("so the sum of all parts goes on and" if i % 4 else "it ends here. It then" for i in range(40_000))
+    assert quality.content(block)["prose"] > 900_000
+
+
 def test_lists_are_found_among_prose_with_items(spark):
     items = [f"* the {w} of it" for w in ("sum", "root", "area", "side", "edge", "base", "cube", "rest")]
     rows = [(f"p{i}", PROSE + "\n" + "\n".join(items[: 7 * (i % 2)])) for i in range(80)] + [("l", "\n".join(items))]
