@@ -1,8 +1,10 @@
 """Markup residue in text: which notations are left, and the clean text.
 
 Formulas are masked first, so that nothing inside them is read as markup. Each notation has its own marks;
-stripping keeps headings, list items, code and formulas. Of the lines left, those without a letter or digit
-go if they lie outside every block of the line-block distribution; it removes no other line.
+stripping keeps headings, list items, code and formulas. The text lengths of the stripped lines are summed over
+sliding windows of lines: from the first surge of these sums to the last dive everything stays. Before and after
+only structure, sentences, results and a single line (a title, a closing word) stay, so that menus and footers go.
+Where nothing surges there is no text, as in random symbols, and its marks are no residue.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.arrow import map_columns
+from tessera.functions.words import HAN
 from tessera.sources.tables import spread
 
 FORMULA = re.compile(r"\$\$.+?\$\$|\$[^$\n]+\$|\\\(.+?\\\)|\\\[.+?\\\]", re.S)
@@ -57,7 +60,6 @@ TEX_DROP = re.compile(r"~?\\(?:label|cite[a-z]*|ref|eqref|pageref|autoref|footno
 TEX_BARE = re.compile(r"\\(?:noindent|indent|smallskip|medskip|bigskip|newpage|clearpage|pagebreak|linebreak|newline|hfill|vfill|maketitle|tableofcontents|centering|raggedright|appendix|footnotemark|par)(?![a-zA-Z])")
 TEX_ENV = re.compile(r"\\(?:begin|end)\{(?!(?:[bBpvV]?matrix|smallmatrix|cases|array)\*?\})([a-zA-Z]+)\*?\}(?:\[[^\]\n]*\])?")
 TEX_ITEM = re.compile(r"^[ \t]*\\item(?:\[([^\]\n]*)\])?[ \t]*", re.M)
-TEX_COMMENT = re.compile(r"(?<!\\)%[^\n]*$", re.M)
 
 NOTATIONS = {
     "html": (TAG, COMMENT, ENTITY),
@@ -67,7 +69,12 @@ NOTATIONS = {
 }
 #: Characters without which none of a notation's marks can occur.
 SIGNS = {"html": "<&", "markdown": "#*_~[<>`=-", "wiki": "='[{<", "latex": "\\"}
-WINDOW, SURGE = 3, 8
+#: Lines of a window; a surge is a sum above this many letters, or this part of the largest sum if that is less.
+WINDOW, SURGE, PART = 3, 100, 0.35
+#: A line of which less than this part is letters holds no text; a formula counts as so many letters.
+LETTERS, FORMULA_LETTERS = 0.35, 8
+#: Lines that stay outside the text: headings, items, code marks, formulas, rows of numbers, ends of sentences and results.
+STRUCTURE = re.compile(r"\s*(?:#{1,6} |[#*]+ ?\w|[-+•] |\(?(?:\d{1,3}|[a-z])[.)] |```|\|)|.*(?:\$|\\[a-zA-Z(\[]|=|\t|\d\s*(?:[|;,]|\s\s)\s*-?\d|[.!?。！？:：;；∎■□][\"'”’)\]]*\s*$|[:：]\s*\S{0,3}\d)")
 
 
 def masked(text: str) -> tuple[str, list[str]]:
@@ -83,27 +90,19 @@ def masked(text: str) -> tuple[str, list[str]]:
     return FORMULA.sub(hide, text), kept
 
 
-def wordless(text: str) -> bool:
-    """Whether hardly anything in the text is a word: random symbols are no markup."""
-    letters = sum(map(str.isalpha, text))
-    return letters < 0.35 * (len(text) - text.count(" ") - text.count("\n"))
-
-
 def markups(text: str) -> list[str]:
-    """The notations of which ``text`` holds residue, in the order of NOTATIONS."""
+    """The notations whose marks stand in ``text``, in the order of NOTATIONS."""
     bare, _ = masked(text)
-    found = [n for n, marks in NOTATIONS.items() if any(c in bare for c in SIGNS[n]) and any(m.search(bare) for m in marks)]
-    return [] if found and wordless(text) else found
+    return [n for n, marks in NOTATIONS.items() if any(c in bare for c in SIGNS[n]) and any(m.search(bare) for m in marks)]
 
 
 def inner(m: re.Match) -> str:
     return next((g for g in m.groups() if g is not None), "")
 
 
-def stripped(text: str, found: list[str]) -> tuple[str, set[int]]:
-    """The text without the marks of ``found``, and the numbers of the lines that held any mark."""
+def stripped(text: str, found: list[str]) -> str:
+    """The text without the marks of ``found``."""
     t, formulas = masked(text)
-    lines_before = t.split("\n")
     if "wiki" in found:
         t = re.sub(r"<syntaxhighlight[^>]*>|</syntaxhighlight>|<source[^>]*>|</source>", "```", t, flags=re.I)
         t = re.sub(r"<math[^>]*>(.*?)</math>", r"$\1$", t, flags=re.S | re.I)
@@ -130,44 +129,71 @@ def stripped(text: str, found: list[str]) -> tuple[str, set[int]]:
         t = MD_REF.sub("", MD_AUTO.sub(r"\1", MD_LINK.sub(inner, t)))
         t = MD_STRIKE.sub(inner, MD_ITALIC.sub(inner, MD_BOLD.sub(inner, MD_QUOTE.sub("", t))))
         t = MD_CODE.sub(r"\2", t)
-    after = t.split("\n")
-    same = set(lines_before)
-    touched = {i for i, line in enumerate(after) if line not in same}
     parts = iter(formulas)
-    if t.count("\ue000") == len(formulas):
-        return re.sub("\ue000", lambda m: next(parts), t), touched
-    return "\n".join(after), touched
-
-
-def line_blocks(lines: list[str], window: int = WINDOW, surge: int = SURGE) -> list[bool]:
-    """Which lines hold a letter or digit or lie between a surge and a dive of the line-block distribution.
-
-    The length of a line is its letters and digits; sums run over ``window`` lines. A surge is a sum above
-    ``surge`` after one that was not, a dive the fall back to nothing.
+    return re.sub("\ue000", lambda m: next(parts), t) if t.count("\ue000") == len(formulas) else t
+
+
+def text_length(line: str) -> int:
+    """Letters of a line, a Han letter as two, and of its formulas; 0 where letters are too few for text."""
+    formulas, bare = 0, line
+    if "$" in line or "\\" in line:
+        bare, formulas = FORMULA.subn(" ", line)
+        if formulas and sum(map(str.isalnum, line)) < LETTERS * (len(line) - line.count(" ")):
+            return 0
+    letters = sum(map(str.isalpha, bare))
+    if letters < LETTERS * (len(bare) - sum(map(bare.count, " \t\u3000\u00a0"))):
+        letters = 0
+    elif not bare.isascii():
+        letters += len(HAN.findall(bare))
+    return letters + FORMULA_LETTERS * formulas
+
+
+def line_blocks(sizes: list[int], window: int = WINDOW, surge: int = SURGE, part: float = PART) -> list[tuple[int, int]]:
+    """Blocks (from, to) of lines between a surge and a dive of the line-block distribution.
+
+    ``sizes`` are the lines' text lengths, their sums run over ``window`` lines. A surge is where the sums rise
+    above ``surge`` (or ``part`` of the largest), a dive where they fall to it again. As a window sees the lines
+    below it, a block opens at its first line that is itself a third of that.
     """
-    sizes = [sum(map(str.isalnum, x)) for x in lines]
     sums = [sum(sizes[i : i + window]) for i in range(len(sizes))]
-    keep, inside = [False] * len(lines), False
-    for i, s in enumerate(sums):
-        if not inside and s > surge and sizes[i]:
-            inside = True
-        elif inside and s == 0:
-            inside = False
-        keep[i] = inside or sizes[i] > 0
-    return keep
+    bound = min(surge, part * max(sums, default=0))
+    out, at = [], None
+    for i, s in enumerate([*sums, 0]):
+        if s > bound and at is None:
+            at = i
+        elif s <= bound and at is not None:
+            first = next((k for k in range(at, i) if sizes[k] * window > bound), at)
+            out.append((first, i))
+            at = None
+    return out
 
 
 def clean(text: str) -> tuple[str, list[str]]:
-    """Clean text and the notations found. Text without residue comes back as it is."""
+    """Clean text and the notations found. Text without residue comes back as it is, as does one without text."""
     found = markups(text)
     if not found:
         return text, found
-    t, touched = stripped(text, found)
-    lines = [x.rstrip() for x in t.split("\n")]
-    keep = line_blocks(lines)
-    fence = [x.lstrip().startswith(("```", "$$")) for x in lines]
-    kept = [x for i, x in enumerate(lines) if keep[i] or fence[i] or (not x and i not in touched)]
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(kept)).strip("\n"), found
+    lines = [x.rstrip() for x in stripped(text, found).split("\n")]
+    if all(map(str.strip, text.split("\n"))):  # blank lines are only what is left of marks
+        lines = list(filter(None, lines))
+    blocks = line_blocks(list(map(text_length, lines)))
+    if not blocks:
+        return text, []
+    first, last = blocks[0][0], blocks[-1][1]
+    loose, code = [], False
+    for i, x in enumerate(lines):
+        mark = x.lstrip().startswith("```")
+        if x and not (first <= i < last or code or mark or STRUCTURE.match(x)):
+            loose.append(i)
+        code ^= mark
+    above, below = [i for i in loose if i < first], [i for i in loose if i >= last]
+    title = first - 1  # the one line above the text, with or without a blank line between
+    while title > 0 and not lines[title]:
+        title -= 1
+    gone = set(above if len(above) > 1 else ()) | set(below if len(below) > 1 else ())
+    if title == 0 or (title > 0 and not lines[title - 1]):
+        gone.discard(title)
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(x for i, x in enumerate(lines) if i not in gone)).strip("\n"), found
 
 
 def cleaned(records: DataFrame) -> DataFrame:

@@ -205,6 +205,67 @@ def test_markup(text, found, clean):
     assert notations == found and got == (text if clean is None else clean.rstrip())
 
 
+BODY = "We first look at the <b>shape</b> of the curve and then find its area, which the proof needs for all numbers, and it holds for each of the sides that were drawn before it."
+SITE = f"""Home | News | Shop
+Forum
+Contact us
+
+<h2>The area</h2>
+
+{BODY}
+
+<ul>
+<li>red sides</li>
+<li>green sides</li>
+</ul>
+
+<pre>
+x = area(a)
+print x
+</pre>
+
+$$a^2 + b^2 = c^2$$
+
+{BODY}
+
+* the last item
+$x = 3$
+Answer: 4
+
+Print this page
+Back to top
+Copyright Some Site"""
+
+
+def test_lines_outside_the_blocks_go_and_structure_stays(monkeypatch):
+    got, found = markup.clean(SITE)
+    lines = got.split("\n")
+    assert found == ["html"] and "<" not in got
+    for kept in ("## The area", "- red sides", "- green sides", "```", "x = area(a)", "print x", "$$a^2 + b^2 = c^2$$", "* the last item", "$x = 3$", "Answer: 4"):
+        assert kept in lines
+    for gone in ("Home | News | Shop", "Forum", "Contact us", "Print this page", "Back to top", "Copyright Some Site"):
+        assert gone not in lines
+    monkeypatch.setattr(markup, "line_blocks", lambda sizes: [(0, len(sizes))])
+    assert "Back to top" in markup.clean(SITE)[0]  # without the blocks nothing is cut
+
+
+def test_short_texts_stay_whole():
+    assert markup.clean("**Answer: 4**") == ("Answer: 4", ["markdown"])
+    assert markup.clean("Title\n\n" + BODY + "\n\nas was shown") == ("Title\n\n" + re.sub("</?b>", "", BODY) + "\n\nas was shown", ["html"])
+    assert markup.clean("\n".join(f"**red {w}**" for w in "abcde"))[0] == "\n".join(f"red {w}" for w in "abcde")
+    assert markup.clean("**$12 = 3$**")[1] == ["markdown"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 60), max_size=30))
+def test_blocks_by_brute_force(sizes):
+    bound = min(100, 0.35 * max((sum(sizes[i : i + 3]) for i in range(len(sizes))), default=0))
+    high = {i for i in range(len(sizes)) if sum(sizes[i : i + 3]) > bound}
+    got = markup.line_blocks(sizes)
+    assert {i for a, b in got for i in range(a, b)} <= high and all(i in {k for a, b in got for k in range(a, b)} for i in high if sizes[i] * 3 > bound)
+    assert all(b == len(sizes) or b not in high for _, b in got)
+
+
 def test_markup_records(spark):
     rows = [("t", "1", "<b>x</b> word **y**"), ("t", "1", "<b>x</b> word **y**"), ("t", "2", None), ("t", None, "<b>x</b>"), ("t", "3", " ")]
     out = markup.residue(spark.createDataFrame(rows, "rec_table string, rec_key string, text string"))
