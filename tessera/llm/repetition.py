@@ -1,8 +1,9 @@
 """Repetition inside one document, and the n-gram perplexity of documents.
 
 ``repeated`` measures the share of letters and digits that repeat earlier content exactly. ``perplexity``
-scores documents with a modified Kneser-Ney trigram model counted over the whole corpus, stored as sorted
-hash arrays, and rejects what lies outside its language's band.
+scores documents with a modified Kneser-Ney trigram model counted over the whole corpus and rejects what lies
+outside its language's band. The model never leaves the executors: its n-grams and those of the documents meet in
+shards by hash, where the model's are sorted hash arrays and the documents' stream by.
 """
 
 from __future__ import annotations
@@ -12,13 +13,16 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.functions.arrow import map_columns, map_stream
 from tessera.functions.words import HAN, mostly_han, visible, words
-from tessera.sources.tables import spread
+from tessera.llm.pairs import leading, votes
+from tessera.sources.tables import spread, written
 
 RUN_WORDS, RUN_CHARS, SHARE = 5, 10, 0.3
 
@@ -65,33 +69,50 @@ def repeated(records: DataFrame, share: float = SHARE) -> DataFrame:
 
 # --- modified Kneser-Ney -------------------------------------------------------------------------------------
 
-#: n-grams of a model shard: what one broadcast holds. More are scored in several passes.
-SHARD_NGRAMS = 6_000_000
-START, LANGS = 1, ("han", "other")
+#: n-grams of a model shard: what one task holds as arrays, 16 bytes each.
+SHARD_NGRAMS = 500_000
+#: The least records of a language that have a band of their own; the others share the band of all records.
+OWN = 100
+START = 1
 
 
 def pieces(text: str) -> tuple[int, list[str]]:
-    """The language group (an index of LANGS) and the model's words; Han characters are words, digits are alike."""
-    lang = 0 if mostly_han(text) else 1
-    spaced = HAN.sub(lambda m: f" {m[0]} ", text) if lang == 0 else text
-    return lang, ["0" if w.isdecimal() else w for w in words(spaced)]
+    """Whether the text is mostly Han (1 or 0), and the model's words; Han characters are words, digits are alike."""
+    han = int(mostly_han(text))
+    spaced = HAN.sub(lambda m: f" {m[0]} ", text) if han else text
+    return han, ["0" if w.isdecimal() else w for w in words(spaced)]
 
 
-def code(lang: int, word: str) -> int:
+def code(han: int, word: str) -> int:
     """A word as 31 bits of its hash, never 0 or START."""
-    return xxhash.xxh32_intdigest(word, lang) >> 1 | 2
+    return xxhash.xxh32_intdigest(word, han) >> 1 | 2
+
+
+class Codes(dict):
+    """Codes of the words met, with a bound."""
+
+    def __missing__(self, key: tuple[int, str]) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        c = self[key] = code(*key)
+        return c
+
+
+def trigrams(text: str, codes: Codes) -> Counter:
+    """Counts of a text's word trigrams as codes; two START marks open a text."""
+    han, ws = pieces(text)
+    ids = [START, START, *(codes[han, w] for w in ws)]
+    return Counter(zip(ids, ids[1:], ids[2:]))
 
 
 def ngram_counts(records: DataFrame, flush: int = 400_000) -> DataFrame:
-    """(u, v, w, n): counts of word trigrams over all records, words as hashes; two START marks open a text."""
+    """(u, v, w, n): counts of word trigrams over all records, added up in each task before they are shuffled."""
 
     def count(batches: Iterator[list[list]]) -> Iterator[list]:
-        held: Counter = Counter()
+        held, codes = Counter(), Codes()
         for (texts,) in batches:
             for t in texts:
-                lang, ws = pieces(t)
-                ids = [START, START, *(code(lang, w) for w in ws)]
-                held.update(zip(ids, ids[1:], ids[2:]))
+                held.update(trigrams(t, codes))
                 if len(held) > flush:
                     yield [(*k, n) for k, n in held.items()]
                     held.clear()
@@ -109,104 +130,131 @@ def discounts(df: DataFrame, n: str) -> list[float]:
     return [0.0] + [min(max(i - (i + 1) * y * c[i + 1] / c[i], 0.05), i - 0.05) if c[i] and c[i + 1] else 0.75 * min(i, 1) for i in (1, 2, 3)]
 
 
-def level(df: DataFrame, context: list[str], n: str, d: list[float]) -> tuple[DataFrame, DataFrame]:
-    """Discounted probability of each n-gram given its context, and each context's weight for the lower order."""
+def level(df: DataFrame, context: list[str], n: str, d: list[float]) -> DataFrame:
+    """``df`` with p, the discounted probability of each n-gram given its context, and gamma, the weight of the lower order."""
     cut = F.when(F.col(n) == 1, d[1]).when(F.col(n) == 2, d[2]).otherwise(d[3])
     total = df.groupBy(*context).agg(F.sum(n).alias("total"), F.sum(cut).alias("kept"))
-    weight = total.select(*context, (F.col("kept") / F.col("total")).alias("gamma"))
-    return df.join(total, context).select(*df.columns, (F.greatest(F.col(n) - cut, F.lit(0.0)) / F.col("total")).alias("p")), weight
+    p = F.greatest(F.col(n) - cut, F.lit(0.0)) / F.col("total")
+    return df.join(total, context).select(*df.columns, p.alias("p"), (F.col("kept") / F.col("total")).alias("gamma"))
 
 
 def fit(records: DataFrame) -> dict[str, DataFrame]:
-    """The model's tables: tri (u, v, w, p), tri_gamma (u, v), bi (v, w, p), bi_gamma (v), uni (w, p)."""
-    tri = ngram_counts(records).persist()
-    bi = tri.groupBy("v", "w").agg(F.count("*").alias("n")).persist()
+    """The model's table ``model`` (u, v, w, p) of all trigrams, interpolated down to single words.
+
+    Trigrams and bigrams are counted once and written (``_held``), as several orders are made of them.
+    """
+    tri = written(ngram_counts(records), "trigrams")
+    bi = written(tri.groupBy("v", "w").agg(F.count("*").alias("n")), "bigrams")
     uni = bi.groupBy("w").agg(F.count("*").alias("n"))
     d3, d2 = discounts(tri, "n"), discounts(bi, "n")
-    p3, g3 = level(tri, ["u", "v"], "n", d3)
-    p2, g2 = level(bi, ["v"], "n", d2)
     types, kinds = uni.agg(F.sum("n"), F.count("*")).first()
-    p1 = uni.select("w", ((F.col("n") + 0.5) / F.lit(float((types or 0) + 0.5 * ((kinds or 0) + 1)))).alias("p"))
-    return {"tri": p3, "tri_gamma": g3, "bi": p2, "bi_gamma": g2, "uni": p1, "_held": [tri, bi]}
+    p1 = uni.select("w", ((F.col("n") + 0.5) / F.lit(float((types or 0) + 0.5 * ((kinds or 0) + 1)))).alias("p1"))
+    low = level(bi, ["v"], "n", d2).join(p1, "w").select("v", "w", (F.col("p") + F.col("gamma") * F.col("p1")).alias("low"))
+    model = level(tri, ["u", "v"], "n", d3).join(low, ["v", "w"]).select("u", "v", "w", (F.col("p") + F.col("gamma") * F.col("low")).alias("p"))
+    return {"model": model, "_held": [tri, bi]}
+
+
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
 def key(*parts: np.ndarray) -> np.ndarray:
-    """One 64-bit hash of several word hashes."""
-    h = np.zeros(len(parts[0]), np.uint64)
+    """The 64-bit hash of several columns of long integers, as the engine's ``xxhash64`` gives it."""
+    turn = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    h = np.full(len(parts[0]), 42, np.uint64)
     for p in parts:
-        h = (h ^ p.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return h
-
-
-class Shard:
-    """Sorted hash arrays of the n-grams whose middle word falls into this shard."""
-
-    def __init__(self, model: dict[str, DataFrame], shard: int, shards: int) -> None:
-        self.shard, self.shards = shard, shards
-        mine = f"pmod(v, {shards}) = {shard}"
-        for name, cols, where in (("tri", "uvw", mine), ("tri_gamma", "uv", mine), ("bi", "vw", mine), ("bi_gamma", "v", mine), ("uni", "w", "true")):
-            pdf = model[name].where(where).toArrow()
-            k = key(*(pdf.column(c).to_numpy() for c in cols))
-            order = np.argsort(k, kind="stable")
-            value = pdf.column("gamma" if "gamma" in name else "p").to_numpy()
-            setattr(self, name, (k[order], value[order].astype(np.float32)))
-
-    @staticmethod
-    def get(table: tuple[np.ndarray, np.ndarray], k: np.ndarray, default: float) -> np.ndarray:
-        keys, values = table
-        if not len(keys):
-            return np.full(len(k), default)
-        i = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-        return np.where(keys[i] == k, values[i], default).astype(np.float64)
-
-    def score(self, ids: np.ndarray) -> tuple[float, int]:
-        """Sum of log probabilities, and how many words, of the words whose predecessor falls into this shard."""
-        u, v, w = ids[:-2], ids[1:-1], ids[2:]
-        if self.shards > 1:
-            mine = v % self.shards == self.shard
-            u, v, w = u[mine], v[mine], w[mine]
-        if not len(w):
-            return 0.0, 0
-        p1 = self.get(self.uni, key(w), 1e-9)
-        p2 = self.get(self.bi, key(v, w), 0.0) + self.get(self.bi_gamma, key(v), 1.0) * p1
-        p3 = self.get(self.tri, key(u, v, w), 0.0) + self.get(self.tri_gamma, key(u, v), 1.0) * p2
-        return float(np.log(p3).sum()), len(w)
-
-
-def perplexity(records: DataFrame, low: float = 0.01, high: float = 0.99, shard_ngrams: int = SHARD_NGRAMS) -> DataFrame:
+        h = h + _P5 + np.uint64(8)
+        h ^= turn(p.astype(np.int64).view(np.uint64) * _P2, 31) * _P1
+        h = turn(h, 27) * _P1 + _P4
+        h = (h ^ (h >> np.uint64(33))) * _P2
+        h = (h ^ (h >> np.uint64(29))) * _P3
+        h ^= h >> np.uint64(32)
+    return h.view(np.int64)
+
+
+MET = "shard int, model boolean, rec_table string, rec_key string, lang string, body bigint, hashes array<bigint>, counts array<int>, hash bigint, logp double"
+
+
+def grams_by_shard(records: DataFrame, shards: int) -> DataFrame:
+    """The trigrams of each record as hashes and counts, one row for each shard that it has any in."""
+
+    def scan(batches: Iterator[list[list]]) -> Iterator[list]:
+        codes = Codes()
+        for tables, keys, texts in batches:
+            out = []
+            for r, k, t in zip(tables, keys, texts):
+                if not (met := trigrams(t, codes)):
+                    continue
+                told, votes_cast = votes(t)
+                best, sure = leading(told, votes_cast)
+                lang = best if sure >= 0.5 else "und"
+                h = key(*np.array(list(met), np.int64).T)
+                n = np.fromiter(met.values(), np.int32, len(met))
+                at = np.mod(h, shards)
+                body = xxhash.xxh64_intdigest(visible(t)) >> 1
+                for s in np.unique(at).tolist():
+                    mine = at == s
+                    out.append((s, False, r, k, lang, body, h[mine].tolist(), n[mine].tolist(), None, None))
+            yield out
+
+    return map_stream(spread(records), scan, MET)
+
+
+def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of log probabilities: of each shard first come the model's n-grams, then the records'."""
+    shard, model, arrays = None, [], None
+    schema = pa.schema([("rec_table", pa.string()), ("rec_key", pa.string()), ("lang", pa.string()), ("body", pa.int64()), ("total", pa.float64()), ("n", pa.int64())])
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero((at[1:] != at[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist(), len(at)]
+        for a, b in zip(edges, edges[1:]):
+            part = batch.slice(a, b - a)
+            if at[a] != shard:
+                shard, model, arrays = at[a], [], None
+            if kind[a]:
+                model.append((part.column(8).to_numpy(), part.column(9).to_numpy()))
+                continue
+            if arrays is None:
+                hashes = np.concatenate([h for h, _ in model]) if model else np.zeros(0, np.int64)
+                order = np.argsort(hashes, kind="stable")
+                arrays, model = (hashes[order], np.concatenate([p for _, p in model])[order] if len(order) else np.zeros(0)), []
+            lists = part.column(6)
+            asked, n = lists.flatten().to_numpy(), part.column(7).flatten().to_numpy()
+            spot = np.minimum(np.searchsorted(arrays[0], asked), max(len(arrays[0]) - 1, 0))
+            logp = np.where(arrays[0][spot] == asked, arrays[1][spot], math.log(1e-9)) if len(arrays[0]) else np.full(len(asked), math.log(1e-9))
+            starts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())[:-1]])
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in (2, 3, 4, 5)), pa.array(np.add.reduceat(logp * n, starts)), pa.array(np.add.reduceat(n.astype(np.int64), starts))], schema=schema)
+
+
+def perplexity(records: DataFrame, low: float = 0.01, high: float = 0.99, shard_ngrams: int = SHARD_NGRAMS, own: int = OWN) -> DataFrame:
     """(rec_table, rec_key, lang, n_words, perplexity, lower, upper, rejected) for each record.
 
-    The model counts all records. Bands are the ``low`` and ``high`` quantiles of the language group; a record
-    outside its band is rejected. Null keys or texts and texts without a word give no row; of a repeated
-    record the first in value order counts. The model is scored in as many passes as it has shards.
+    The model counts all records. Bands are the ``low`` and ``high`` quantiles of the language, or of all records
+    for languages of fewer than ``own``; a record outside its band is rejected. Null keys or texts and texts
+    without a word give no row; of a repeated record the first in value order counts.
     """
-    spark = records.sparkSession
     whole = records.select("rec_table", "rec_key", "text").where("rec_key is not null and text is not null")
     model = fit(whole)
-    shards = -(-model["_held"][0].count() // shard_ngrams) or 1
-    source, parts = spread(whole), []
-    for s in range(shards):
-        shared = spark.sparkContext.broadcast(Shard(model, s, shards))
-
-        def scan(tables: list, keys: list, texts: list, shared=shared) -> list[tuple]:
-            out = []
-            for r, k, t in zip(tables, keys, texts):
-                lang, ws = pieces(t)
-                if ws:
-                    total, n = shared.value.score(np.array([START, START, *(code(lang, w) for w in ws)], np.int64))
-                    if n:
-                        out.append((r, k, LANGS[lang], xxhash.xxh64_intdigest(visible(t)) >> 1, total, n))
-            return out
-
-        parts.append(map_columns(source, scan, "rec_table string, rec_key string, lang string, body bigint, total double, n bigint"))
-    for df in model["_held"]:
-        df.unpersist()
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
+    shards = max(records.sparkSession.sparkContext.defaultParallelism, -(-model["_held"][0].count() // shard_ngrams))
+    hashed = model["model"].select(F.xxhash64("u", "v", "w").alias("hash"), F.log("p").alias("logp"))
+    names = [f.name for f in StructType.fromDDL(MET).fields]
+    none = {f.name: F.lit(None).cast(f.dataType) for f in StructType.fromDDL(MET).fields}
+    rows = hashed.select(*(c.alias(n) for n, c in (none | {"shard": F.pmod("hash", F.lit(shards)).cast("int"), "model": F.lit(True), "hash": F.col("hash"), "logp": F.col("logp")}).items()))
+    both = rows.select(names).unionByName(grams_by_shard(whole, shards)).repartition(shards, "shard").sortWithinPartitions("shard", F.col("model").desc())
+    scored = both.mapInArrow(met, "rec_table string, rec_key string, lang string, body bigint, total double, n bigint")
     scored = scored.groupBy("rec_table", "rec_key", "lang", "body").agg((F.sum("total") / F.sum("n")).alias("mean"), F.sum("n").alias("n"))
     scored = scored.groupBy("rec_table", "rec_key").agg(F.min_by(F.struct("lang", "mean", "n"), F.col("body")).alias("x"))
-    scored = scored.select("rec_table", "rec_key", "x.lang", F.col("x.n").alias("n_words"), F.exp(-F.col("x.mean")).alias("perplexity"))
-    bands = scored.groupBy("lang").agg(*(F.percentile_approx("perplexity", q, 10_000).alias(n) for q, n in ((low, "lower"), (high, "upper"))))
-    return scored.join(F.broadcast(bands), "lang").select("rec_table", "rec_key", "lang", "n_words", "perplexity", "lower", "upper", ((F.col("perplexity") < F.col("lower")) | (F.col("perplexity") > F.col("upper"))).alias("rejected"))
+    scored = written(scored.select("rec_table", "rec_key", "x.lang", "x.n", F.exp(-F.col("x.mean")).alias("perplexity")), "perplexity")
+    edges = [F.percentile_approx("perplexity", q, 10_000).alias(n) for q, n in ((low, "lower"), (high, "upper"))]
+    bands = {r.lang: r for r in scored.groupBy("lang").agg(F.count("*").alias("size"), *edges).collect() if r["size"] >= own and r.lang != "und"}  # one row per language
+    every = scored.agg(*edges).first()
+
+    def edge(name: str) -> Column:
+        out = F.lit(every[name]).cast("double")
+        for lang, r in bands.items():
+            out = F.when(F.col("lang") == lang, F.lit(r[name])).otherwise(out)
+        return out.alias(name)
+
+    out = scored.select("rec_table", "rec_key", "lang", "n", "perplexity", edge("lower"), edge("upper"))
+    return out.select("rec_table", "rec_key", "lang", F.col("n").alias("n_words"), "perplexity", "lower", "upper", ((F.col("perplexity") < F.col("lower")) | (F.col("perplexity") > F.col("upper"))).alias("rejected"))

@@ -126,6 +126,28 @@ def test_perplexity_by_brute_force(spark):
             assert got[str(i)] == pytest.approx(want, rel=1e-4)
 
 
+def test_hashes_are_those_of_the_engine(spark):
+    rng = random.Random(9)
+    rows = [tuple(rng.randint(-(2**62), 2**62) for _ in range(3)) for _ in range(50)]
+    got = [r.h for r in spark.createDataFrame(rows, "u bigint, v bigint, w bigint").select(F.xxhash64("u", "v", "w").alias("h")).collect()]
+    import numpy as np
+
+    assert repetition.key(*np.array(rows, np.int64).T).tolist() == got
+
+
+def test_perplexity_bands_and_edges(spark):
+    rng = random.Random(10)
+    say = lambda ws: " ".join(rng.choice(ws) for _ in range(12))
+    rows = [("t", f"e{i}", say(["the", "of", "and", "cat", "is"])) for i in range(60)] + [("t", f"d{i}", say(["der", "und", "nicht", "katze", "ist"])) for i in range(60)]
+    rows += [("t", "n", None), ("t", None, "the cat"), ("t", "b", " ... "), ("t", "e0", rows[0][2]), ("t", "long", "the cat is of " * 5000)]
+    df = spark.createDataFrame(rows, "rec_table string, rec_key string, text string")
+    out = {r.rec_key: r for r in repetition.perplexity(df, 0.05, 0.95, own=50).collect()}
+    assert len(out) == 121 and out["e1"].lang == "en" and out["d1"].lang == "de" and out["long"].n_words == 20000
+    assert len({(r.lower, r.upper) for r in out.values()}) == 2 and out["e1"].lower != out["d1"].lower
+    assert all(r.rejected == (r.perplexity < r.lower or r.perplexity > r.upper) for r in out.values()) and out["long"].rejected
+    assert repetition.perplexity(df.where("false")).count() == 0
+
+
 # --- 3 quality -----------------------------------------------------------------------------------------------
 
 PROSE = "We first look at the shape of the curve and then find its area. This is what the proof needs, and it holds for all numbers. "
