@@ -22,6 +22,8 @@ TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 SPACES = [(0x9, 0xD), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
 #: Items of a block: what one task differences at a time.
 BLOCK_ITEMS = 4096
+#: Blocks that a task differences one after the other. Stated, as their few bytes say nothing of the work they are.
+BLOCKS_A_TASK = 3
 
 
 def token_count(text: Column | str) -> Column:
@@ -118,5 +120,6 @@ def pack(docs: DataFrame, containers: DataFrame, block_items: int = BLOCK_ITEMS)
         names = pa.array([f"{key[1].as_py()}-{w}" for w in at], pa.string())
         return pa.Table.from_arrays([group.column("window_id"), names, group.column("doc_id"), group.column("part"), group.column("parts"), group.column("tokens")], schema=arrow)
 
-    packed = loose.groupBy("window_id", "block").applyInArrow(run, schema)
+    tasks = max(1, -(-blocks * kinds.count() // BLOCKS_A_TASK))
+    packed = loose.repartition(tasks, "window_id", "block").groupBy("window_id", "block").applyInArrow(run, schema)
     return whole.unionByName(packed)

@@ -20,8 +20,8 @@ from tessera.functions.arrow import map_columns, map_stream
 from tessera.functions.words import visible
 from tessera.sources.tables import spread
 
-#: Dimensions of the hashed features, documents of the training sample, share of unlabelled passages kept as negatives.
-DIMENSIONS, FIT_DOCS, NEGATIVES = 1 << 17, 8_000, 0.3
+#: Dimensions of the hashed features; documents of the training sample, and about as many passages of one at most; share of negatives kept.
+DIMENSIONS, FIT_DOCS, FIT_PASSAGES, NEGATIVES = 1 << 17, 8_000, 300, 0.3
 #: Probability from which a passage is suspect: for the placeholder grammar, and as content.
 LOOSE, SUSPECT, MAIN = 0.005, 0.6, 0.5
 
@@ -50,7 +50,7 @@ PHRASES = re.compile(
     r"|.*\b(?:enable|turn on|switch on|activate|allow|requires?|needs?|blocked|disabled|without)\b.{0,30}\b(?:javascript|js|scripts?|scripting|cookies)\b.*|.*\b(?:does not (?:run|support) (?:(?:java)?script\w*|js)|checking your browser|just a moment|missing feature: script\w*)\b.*|noscript\b.*|app shell\b.*|loading\W*"
     r"|.*\b(?:aktivieren sie|braucht|benötigt)\b.{0,40}(?:skripte|javascript|js)\b.*|.*\b(?:necesita|active|habilite)\b.{0,30}(?:scripts|javascript|js)\b.*|.*\b(?:activez|nécessite|activer)\b.{0,30}(?:scripts|javascript|js)\b.*|.*(?:включите|требуется)\s.{0,20}(?:javascript|скрипты|js).*|.*(?:启用|开启|打开|需要).{0,10}(?:javascript|js|脚本).*"
     r"|página no encontrada|seite nicht gefunden|page (?:introuvable|non trouvée)|страница не найдена|页面不存在|页面未找到|访问被拒绝|服务器(?:内部)?错误.*|找不到.*页面"
-    r"|(?:dummy|sample|placeholder|example) (?:paragraph|text|content)(?: \d+)?|(?:heading|subtitle|paragraph|item|title|section|caption) (?:text|here|one|two|placeholder)|(?:test\W+){2,}\d*|(?:blah\W*){2,}\d*|(?:asdf|qwer|asdfgh|qwerty)(?:\W+(?:asdf|qwer|\w{1,4}))*|(?:your )?(?:text|content|title|name) goes here(?: \d+)?|(?:insert|enter|click to (?:add|edit)) (?:your )?(?:text|title|content)(?: here)?|这里是占位文字\W*\d*|.*\b(?:lorem|ipsum)\b.*\b(?:lorem|ipsum|dolor|amet)\b.*)\W*\d*\W*$"
+    r"|(?:dummy|sample|placeholder|example) (?:paragraph|text|content)(?: \d+)?|(?:heading|subtitle|paragraph|item|title|section|caption) (?:text|here|one|two|placeholder)|(?:test\W+){2,}\d*|(?:blah\W*){2,}\d*|(?:asdf|qwer|asdfgh|qwerty)(?:\W+(?:asdf|qwer|\w{1,4}))*|(?:your )?(?:text|content|title|name) (?:goes )?here(?: \d+)?|(?:insert|enter|click to (?:add|edit)) (?:your )?(?:text|title|content)(?: here)?|这里是占位文字\W*\d*|.*\b(?:lorem|ipsum)\b.*\b(?:lorem|ipsum|dolor|amet)\b.*)\W*\d*\W*$"
 )
 #: Passages longer than this are no phrase.
 PHRASE_CHARS = 300
@@ -163,7 +163,10 @@ def weak_labels(text: str) -> list[tuple[str, bool, int]]:
 
 
 def examples(docs: DataFrame, fit_docs: int = FIT_DOCS, negatives: float = NEGATIVES) -> DataFrame:
-    """(host, label, idx): labelled passages of a hash sample of ``fit_docs`` documents (doc_id, source, text)."""
+    """(host, label, idx): labelled passages of a hash sample of ``fit_docs`` documents (doc_id, source, text).
+
+    A document gives about FIT_PASSAGES passages at most, so that what the driver gets is bounded.
+    """
     total = docs.count()
     slim = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text").where("text is not null and doc_id is not null")
     if total > fit_docs:
@@ -171,13 +174,21 @@ def examples(docs: DataFrame, fit_docs: int = FIT_DOCS, negatives: float = NEGAT
     keep = int(negatives * 2**32)
 
     def scan(_: list, hosts: list, texts: list) -> list[tuple]:
-        return [(h, y, [index(f) for f in features(lowered(p), t)]) for h, x in zip(hosts, texts) for p, t, y in weak_labels(visible(x)) if y > 0 or (y == 0 and (crc32(p.encode("utf-8", "surrogatepass")) < keep or t))]
+        out = []
+        for h, x in zip(hosts, texts):
+            told = weak_labels(visible(x))
+            few = int(2**32 * min(1.0, FIT_PASSAGES / (len(told) or 1)))  # of a long text a share of its passages
+            for p, t, y in told:
+                draw = crc32(p.encode("utf-8", "surrogatepass"))
+                if (y > 0 and draw < few) or (y == 0 and draw < min(keep, few)) or (y == 0 and t):
+                    out.append((h, y, [index(f) for f in features(lowered(p), t)]))
+        return out
 
     return map_columns(spread(slim), scan, "host string, label int, idx array<int>")
 
 
-def train(idx: list[np.ndarray], labels: np.ndarray, ridge: float = 1e-4, rounds: int = 120, rate: float = 0.3) -> np.ndarray:
-    """Weights and bias (last) of a logistic regression with an L2 penalty, classes balanced, by Adagrad."""
+def train(idx: list[np.ndarray], labels: np.ndarray, ridge: float = 1e-6, rounds: int = 120, rate: float = 0.3) -> np.ndarray:
+    """Weights and bias (last) of a logistic regression by Adagrad: mean loss with balanced classes, and an L2 penalty of ``ridge``."""
     w = np.zeros(DIMENSIONS + 1)
     if not len(idx) or labels.min() == labels.max():
         return w
@@ -189,7 +200,7 @@ def train(idx: list[np.ndarray], labels: np.ndarray, ridge: float = 1e-4, rounds
     for _ in range(rounds):
         z = np.bincount(row, weights=w[flat], minlength=len(idx)) * scale + w[-1]
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * weight
-        grad = np.append(np.bincount(flat, weights=(g * scale)[row], minlength=DIMENSIONS), g.sum()) + ridge * np.append(w[:-1], 0) / len(idx)
+        grad = np.append(np.bincount(flat, weights=(g * scale)[row], minlength=DIMENSIONS), g.sum()) + ridge * np.append(w[:-1], 0)
         past += grad * grad
         w -= rate * grad / np.sqrt(past)
     return w
