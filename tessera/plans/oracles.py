@@ -296,7 +296,7 @@ from (select gen_id, continuation[1:3000] as a, (answer[length(prefix) + 1 :])[1
     "lp_summary": f"select count(*) as n, round(avg(p), 6) as avg_p, round(avg(lp), 6) as avg_lp, count_if(p < 0.05) as n_hard, count_if(p between 0.1 and 0.5) as n_sweet, count_if(p > 0.8) as n_mastered, round(avg({WEIGHT}), 6) as avg_weight from ({STATES})",
     "lp_categories": f"select category, count(*) as n from (select unnest({LABELS}) as category from ({STATES})) group by 1",
     "lp_guided": f"select sample_id, n_updates from ({STATES}) where p <= 0.05 and n_updates >= 2 and lp <= 0.01",
-    "lp_advantages": f"select o.sample_id, count(*) as n, round(sum({WEIGHT}), 4) as total from lp_observations o left join ({STATES}) s on s.sample_id = o.sample_id where o.step % 10 = 0 group by 1",
+    "lp_advantages": f"select o.sample_id, count(*) as n, round(sum({WEIGHT}), 4) as total from lp_observations o left join ({STATES}) s on s.sample_id = o.sample_id group by 1",
     "simple_pairs": SIMPLE_PAIRS,
     "answers_thinking": THINKING,
     "token_weights": TOKEN_WEIGHTS,
