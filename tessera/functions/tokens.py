@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.pytext import let, uniform
@@ -31,6 +32,24 @@ def padded(prompt: Column, response: Column, length: int, pad: int, mask: Column
     return F.when((F.size(response) > 0) & (n >= 2), out)
 
 
+def paired_batch(df: DataFrame, length: int, pad: int, student: str = "prompt_ids", teacher: str | None = None, mask: str | None = None, carried: Sequence[str] = ()) -> DataFrame:
+    """Teacher's and student's sequences of each sample (student prompt, response_ids, attention), and the columns ``carried``.
+
+    ``attention`` tells the response's real tokens from padding; ``mask`` those of them that the model made from a
+    tool's. Without ``teacher`` both see the same sequence. A sample without prompt, without a real token, without
+    a made token or too short for a sequence is left out.
+    """
+    real = lambda c: F.transform(F.filter(F.arrays_zip(F.col(c).alias("x"), F.col("attention").alias("a")), lambda z: z["a"] == 1), lambda z: z["x"])
+    df = df.where(F.size(student) > 0).withColumn("_r", real("response_ids"))
+    if mask is not None:
+        df = df.withColumn("_m", real(mask)).where(F.exists("_m", lambda x: x == 1))
+    made = F.col("_m") if mask is not None else None
+    df = df.withColumn("_s", padded(F.col(student), F.col("_r"), length, pad, made))
+    df = df.withColumn("_t", F.col("_s") if teacher is None else padded(F.col(teacher), F.col("_r"), length, pad, made)).where("_s is not null and _t is not null")
+    parts = ("input_ids", "attention_mask", "position_ids", "loss_mask")
+    return df.select(*(F.col(f"_{who[0]}.{x}").alias(f"{who}_{x}") for who in ("teacher", "student") for x in parts), F.lit(True).alias("valid_row_mask"), *carried)
+
+
 def response_mask(given: Column, attention: Column, response_length: Column) -> Column:
     """The given mask, else the attention of the last ``response_length`` positions."""
     return F.coalesce(given, F.slice(attention, -response_length, response_length))

@@ -48,15 +48,19 @@ def latex_kept(a: Column, b: Column) -> Column:
     return ~((count(a, r"\$") % 2 == 0) & (count(b, r"\$") % 2 != 0)) & (off(b) <= off(a) + 1)
 
 
-def validate(a: Column, b: Column, score_raw: Column, r: Rules = Rules()) -> Column:
-    """A struct of the checks of text ``b`` against ``a``, with the reasons of failure in order."""
-    return let(measures(a, b), lambda m: verdict(m, score_raw, r))
+def validate(a: Column, b: Column, score_raw: Column, r: Rules = Rules(), post: Column | None = None) -> Column:
+    """A struct of the checks of text ``b`` against ``a``, with the reasons of failure in order.
 
+    ``post`` is the score of ``b``; without it the rules score it.
+    """
+    return let(measures(a, b, post), lambda m: verdict(m, score_raw, r))
 
-def measures(a: Column, b: Column) -> Column:
+
+def measures(a: Column, b: Column, post: Column | None = None) -> Column:
+    post = let(feature_struct(b), score) if post is None else post
     ratio = F.when(F.length(a) == 0, 1.0).otherwise(F.try_divide(F.length(b), F.length(a)))
     return F.struct(
-        number_recall(a, b).alias("number"), variable_recall(a, b).alias("variable"), symbol_recall(a, b).alias("symbol"), brackets_kept(a, b).alias("brackets"), latex_kept(a, b).alias("latex"), ratio.alias("ratio"), let(feature_struct(b), score).alias("post"),
+        number_recall(a, b).alias("number"), variable_recall(a, b).alias("variable"), symbol_recall(a, b).alias("symbol"), brackets_kept(a, b).alias("brackets"), latex_kept(a, b).alias("latex"), ratio.alias("ratio"), post.alias("post"),
     )
 
 

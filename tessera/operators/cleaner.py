@@ -11,12 +11,9 @@ from tessera.functions.cleaning import BOILERPLATE_LINE, cut_tails, drop_lines,
 from tessera.functions.features import Rules, drop_after_cleaning, feature_struct, hard_drop, needs_rewrite, route, score, strong_math
 from tessera.functions.pytext import let, once, strip
 from tessera.functions.validation import validate
+from tessera.operators.models import Rewriter, Scorer, model_rewriter, model_scorer
 from tessera.operators.segment import segment_documents
 
-#: A rewriter gives (text, decision, error) of a segment's cleaned text; a null error means success.
-Rewriter = Callable[[Column], tuple[Column, Column, Column]]
-
-
 def keep_as_is(text: Column) -> tuple[Column, Column, Column]:
     return text, F.lit("keep_as_is"), F.lit(None).cast("string")
 
@@ -37,30 +34,49 @@ def rule_rewriter(text: Column) -> tuple[Column, Column, Column]:
     return out, let(out, lambda o: F.when(changed(o), "light_clean").otherwise("keep_as_is")), F.lit(None).cast("string")
 
 
-REWRITERS: dict[str, Rewriter] = {"noop": keep_as_is, "regex": rule_rewriter}
+#: Rewriters by kind; ``model`` takes a loader.
+REWRITERS: dict[str, Callable[..., Rewriter]] = {"noop": lambda: keep_as_is, "regex": lambda: rule_rewriter, "model": model_rewriter}
+#: Scorers by kind; ``model`` takes a loader.
+SCORERS: dict[str, Callable[..., Scorer]] = {"rules": lambda: rule_scorer, "model": model_scorer}
+
+
+def rule_scorer(text: Column, features: Column) -> Column:
+    """The score without a model, by the features alone."""
+    return score(features)
 
 
-def parsed_reply(reply: Column) -> tuple[Column, Column]:
-    """Decision and text of a model's reply with ``DECISION:`` and ``TEXT:`` parts; an unknown decision keeps."""
-    said = F.lower(F.regexp_extract(reply, r"(?i)DECISION:\s*(\w+)", 1))
-    text = F.regexp_extract(reply, r"(?s)TEXT:\s*(.*)", 1)
-    return F.when(said.isin("keep_as_is", "light_clean", "rewrite", "drop"), said).otherwise("keep_as_is"), text
+def rewriter(kind: str, *args) -> Rewriter:  # noqa: ANN002
+    """The rewriter of a kind of REWRITERS."""
+    if kind not in REWRITERS:
+        raise ValueError(f"unknown rewriter {kind!r}")
+    return REWRITERS[kind](*args)
 
 
-def ruled(segments: DataFrame, r: Rules = Rules()) -> DataFrame:
+def scorer(kind: str, *args) -> Scorer:  # noqa: ANN002
+    """The scorer of a kind of SCORERS."""
+    if kind not in SCORERS:
+        raise ValueError(f"unknown scorer {kind!r}")
+    return SCORERS[kind](*args)
+
+
+def ruled(segments: DataFrame, r: Rules = Rules(), rate: Scorer = rule_scorer) -> DataFrame:
     """Segments with cleaned text, raw and cleaned features, drop flag, signals, score and route."""
     df = with_clean_text(segments.withColumn("raw", once(feature_struct("text"))), "text", "cleaned")
     df = df.withColumn("cleaned", once(F.col("cleaned"))).withColumn("features", once(feature_struct("cleaned")))
     raw, f = F.col("raw"), F.col("features")
     df = df.withColumn("hard_drop", hard_drop(raw, r) | drop_after_cleaning(raw, F.col("cleaned"), r)).withColumn("strong_math_signal", strong_math(f)).withColumn("needs_llm_cleanup", needs_rewrite(f))
-    return df.withColumn("score", once(score(f))).withColumn("step", F.when(F.col("hard_drop") | (strip("cleaned") == ""), "hard_drop").otherwise(route(F.col("score"), f, r)))
+    return df.withColumn("score", once(rate(F.col("cleaned"), f))).withColumn("step", F.when(F.col("hard_drop") | (strip("cleaned") == ""), "hard_drop").otherwise(route(F.col("score"), f, r)))
 
 
-def decided(df: DataFrame, rewriter: Rewriter = rule_rewriter, r: Rules = Rules()) -> DataFrame:
+def decided(df: DataFrame, rewrite: Rewriter = rule_rewriter, r: Rules = Rules(), rate: Scorer = rule_scorer) -> DataFrame:
     """``ruled`` segments with the audit's columns and the kept text and quality score, null where dropped."""
-    text, said, error = rewriter(F.col("cleaned"))
+    text, said, error = rewrite(F.col("cleaned"))
     df = df.withColumns({"new_text": once(F.when(F.col("step") == "llm", text)), "said": F.when(F.col("step") == "llm", said), "error": F.when(F.col("step") == "llm", error)})
-    df = df.withColumn("v", once(F.when((F.col("step") == "llm") & F.col("error").isNull() & (F.col("said") != "drop"), validate(F.col("cleaned"), F.col("new_text"), F.col("score"), r))))
+    post = None
+    if rate is not rule_scorer:  # a model's score is a column of its own, as no function in Python may stand within an expression of the checks
+        df = df.withColumn("_post", once(rate(F.col("new_text"), feature_struct("new_text"))))
+        post = F.col("_post")
+    df = df.withColumn("v", once(F.when((F.col("step") == "llm") & F.col("error").isNull() & (F.col("said") != "drop"), validate(F.col("cleaned"), F.col("new_text"), F.col("score"), r, post))))
     passed, v = F.coalesce(F.col("v.validation_pass"), F.lit(False)), F.col("v")
     step, fallback = F.col("step"), F.col("score") >= r.fallback_min_raw_score
     failed = (step == "llm") & (F.col("error").isNotNull() | (v.isNotNull() & ~passed))
@@ -81,12 +97,15 @@ def decided(df: DataFrame, rewriter: Rewriter = rule_rewriter, r: Rules = Rules(
             "kept_text": F.when(final == "kept_llm_processed", F.col("new_text")).when(final != "dropped", F.col("cleaned")),
             "quality_score": F.when(final == "kept_llm_processed", F.col("v.score_post")).when(final != "dropped", F.round("score", 4)),
         }
-    )
+    ).drop("_post")
+
 
+def clean_documents(docs: DataFrame, rewrite: Rewriter = rule_rewriter, r: Rules = Rules(), rate: Scorer = rule_scorer) -> DataFrame:
+    """All segments of documents (id, text) with their decisions. One pass; write audit and output from it.
 
-def clean_documents(docs: DataFrame, rewriter: Rewriter = rule_rewriter, r: Rules = Rules()) -> DataFrame:
-    """All segments of documents (id, text) with their decisions. One pass; write audit and output from it."""
-    return decided(ruled(segment_documents(docs, r), r), rewriter, r)
+    ``rate`` scores segments before and after rewriting, ``rewrite`` takes those between keeping and dropping.
+    """
+    return decided(ruled(segment_documents(docs, r), r, rate), rewrite, r, rate)
 
 
 def audit(df: DataFrame) -> DataFrame:

@@ -5,10 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.arrow import map_stream
+from tessera.functions.arrow import map_stream, scalar
+from tessera.functions.features import score as rule_score
+from tessera.functions.pytext import strip
 
 #: A loader gives a function from a list of texts to one result each.
 Loader = Callable[[], Callable[[list[str]], list]]
@@ -60,6 +63,71 @@ def generated(df: DataFrame, key: str, prompt: str, load: Loader, n: int = 1) ->
     return map_stream(df.select(key, prompt), run, f"{key} {kind}, sample_no int, text string")
 
 
+#: A scorer gives the score of a text from the text and its features.
+Scorer = Callable[[Column, Column], Column]
+#: A rewriter gives (text, decision, error) of a text; a null error means success.
+Rewriter = Callable[[Column], tuple[Column, Column, Column]]
+
+
+def _remembered(load: Loader) -> Callable[[], Callable[[list[str]], list]]:
+    """The model of a loader, loaded at the first use in each Python worker."""
+    held: list = []
+
+    def model() -> Callable[[list[str]], list]:
+        if not held:
+            held.append(load())
+        return held[0]
+
+    return model
+
+
+def model_scorer(load: Loader, most_chars: int = 2048) -> Scorer:
+    """A scorer for the cleaner out of a model: batches of texts, cut to what its classifier reads at most.
+
+    Null texts score 0. A batch in which the model fails is scored by the rules.
+    """
+    model = _remembered(load)
+
+    def told(texts: pd.Series) -> pd.Series:
+        given = [t or "" for t in texts]
+        try:
+            return pd.Series([min(5.0, max(0.0, float(x))) if t else 0.0 for t, x in zip(given, model()(given))], dtype="float64")
+        except Exception:  # noqa: BLE001 - a model may fail in any way
+            return pd.Series([None] * len(given), dtype="float64")
+
+    asked = F.pandas_udf(told, "double").asNondeterministic()  # asked once for each text, not again for each use of the score
+
+    return lambda text, features: F.coalesce(F.nanvl(asked(F.substring(text, 1, most_chars)), F.lit(None).cast("double")), rule_score(features))
+
+
+def parsed_reply(reply: Column) -> tuple[Column, Column]:
+    """Decision and text of a reply with ``DECISION:`` and ``TEXT:`` parts; an unknown decision keeps, a reply without parts is the text."""
+    said = F.lower(F.regexp_extract(reply, r"DECISION:\s*(\w+)", 1))
+    text = F.when(reply.rlike(r"TEXT:\s*\n"), F.regexp_extract(reply, r"(?s)TEXT:\s*\n(.*)", 1)).otherwise(reply)
+    return F.when(said.isin("keep_as_is", "light_clean", "rewrite", "drop"), said).otherwise("keep_as_is"), strip(text)
+
+
+def model_rewriter(load: Loader) -> Rewriter:
+    """A rewriter for the cleaner out of a model that replies to a text; a failure is the text's error."""
+    model = _remembered(load)
+
+    def one(text: str | None) -> tuple[str | None, str | None]:
+        try:
+            return str(model()([text or ""])[0]), None
+        except Exception as e:  # noqa: BLE001 - a service may fail in any way
+            return None, str(e) or type(e).__name__
+
+    asked = scalar(one, "struct<reply: string, error: string>", once=True)
+
+    def rewriter(text: Column) -> tuple[Column, Column, Column]:
+        said = asked(text)
+        decision, new = parsed_reply(said["reply"])
+        failed = said["error"].isNotNull()
+        return F.when(failed, text).otherwise(new), F.when(failed, "keep_as_is").otherwise(decision), said["error"]
+
+    return rewriter
+
+
 def rounds_done(pairs: int, target: int, share: float = 0.9) -> bool:
     """Whether further rounds are needed no more: enough pairs are there."""
     return pairs >= share * target

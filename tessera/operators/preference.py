@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.answers import judged, without_thinking
 from tessera.functions.pytext import col, hash_order, strip
+from tessera.operators.models import rounds_done
+from tessera.sources.tables import written
 
 # The prompts' texts.
 SYSTEM = "Please reason step by step, and put your final answer within \\boxed{}."
@@ -130,6 +136,14 @@ def few_shot_prompt(question: Column | str, shots: list[tuple[str, str]]) -> Col
     return F.concat(F.lit(head + "Question: "), col(question), F.lit("\nAnswer:"))
 
 
+def chat_few_shot_prompt(question: Column | str, shots: list[tuple[str, str]], system: str = SYSTEM, user_prefix: str = "") -> Column:
+    """A chat in which each shot is a turn of its own before the question; texts are stripped, annotations of shots dropped."""
+    turn = lambda who, x: f"<|im_start|>{who}\n{x}<|im_end|>\n"
+    bare = lambda x: re.sub("<<[^>]+>>", "", x.strip())
+    head = turn("system", system) + "".join(turn("user", user_prefix + q.strip()) + turn("assistant", bare(a)) for q, a in shots)
+    return F.concat(F.lit(f"{head}<|im_start|>user\n{user_prefix}"), strip(question), F.lit("<|im_end|>\n<|im_start|>assistant\n"))
+
+
 def conversation(question: Column, answer: Column) -> Column:
     turn = lambda who, c: F.struct(F.lit(who).alias("from"), c.alias("value"))
     return F.array(turn("human", question), turn("gpt", answer))
@@ -142,6 +156,63 @@ def preference_rows(pairs: DataFrame, most_chars: int | None = None) -> DataFram
     return pairs.select(F.array(turn("human", question_of_prompt("prompt"))).alias("conversations"), turn("gpt", cut("chosen")).alias("chosen"), turn("gpt", cut("rejected")).alias("rejected"), F.lit(SYSTEM).alias("system"))
 
 
+def warm_start_rows(generations: DataFrame) -> DataFrame:
+    """(conversations, system) of generations (question, full_response): the whole response, prefix and continuation."""
+    return generations.select(conversation(F.col("question"), F.col("full_response")).alias("conversations"), F.lit(SYSTEM).alias("system"))
+
+
+def rescored_teachers(teachers: DataFrame, family: str = "nested") -> DataFrame:
+    """Teachers (full_response, ground_truth, predicted, is_correct, response) judged anew where they were not correct.
+
+    Rows that were correct stay as they are. Of the others those that are correct now get the new answer and the
+    response without its thoughts; the rest keep theirs. ``change`` tells kept, rescued or wrong.
+    """
+    was = F.coalesce("is_correct", F.lit(False))
+    df = teachers.withColumn("_v", judged(family)(F.when(~was, F.col("full_response")), F.col("ground_truth")))
+    now = ~was & F.coalesce(F.col("_v.correct"), F.lit(False))
+    bare = without_thinking("full_response", fallbacks=False)
+    df = df.withColumn("change", F.when(was, "kept").when(now, "rescued").otherwise("wrong")).withColumn("predicted", F.when(now, F.col("_v.pred")).otherwise(F.col("predicted")))
+    df = df.withColumn("response", F.when(now, F.when(bare != "", bare).otherwise(F.col("full_response"))).otherwise(F.col("response")))
+    return df.withColumn("is_correct", was | now).drop("_v")
+
+
+def round_pairs(students: DataFrame, teachers: DataFrame, number: int, seed: str = "0") -> DataFrame:
+    """(question, ground_truth, chosen, rejected, source, round) of one round's students and right teachers (qkey, teacher_response).
+
+    Questions with at least half right give one or two pairs of their own; those with none right the teacher's
+    text against a wrong answer; the others none.
+    """
+    own = simple_pairs(students.where(on_policy(F.col("num_correct"), F.col("num_total"))), f"{seed}/{number}")
+    wrong = F.get(shuffled_texts(texts(F.col("responses"), False), f"{seed}/{number}"), F.lit(0))
+    failed = students.where("num_correct = 0 and num_correct < num_total").withColumn("qkey", F.substring("question", 1, 120)).where(~on_policy(F.col("num_correct"), F.col("num_total")))
+    rescued = failed.join(teachers.select("qkey", "teacher_response"), "qkey").select("question", "ground_truth", F.col("teacher_response").alias("chosen"), wrong.alias("rejected"), F.lit("teacher_chosen").alias("source"))
+    return own.unionByName(rescued).withColumn("round", F.lit(number))
+
+
+def assembled_rounds(rounds: list[tuple[DataFrame, DataFrame]], target: int, seed: int = 42) -> DataFrame:
+    """At most ``target`` pairs of all rounds (students, teachers): on-policy pairs first, then teachers', each at random.
+
+    All rounds are one plan; nothing is collected between them but the counts of order prefixes.
+    """
+    parts = [round_pairs(s, t, i + 1, str(seed)) for i, (s, t) in enumerate(rounds)]
+    pairs = parts[0]
+    for p in parts[1:]:
+        pairs = pairs.unionByName(p)
+    pairs = written(pairs, "rounds")
+    own = F.col("source") == "on_policy"
+    return mixed(pairs.where(own), pairs.where(~own), target, "chosen", seed)
+
+
+def iterated(step: Callable[[int], DataFrame], target: int, most_rounds: int, share: float = 0.9) -> list[DataFrame]:
+    """Pairs of round after round, ``step(number)``, until there are ``share`` of ``target`` or ``most_rounds`` are done."""
+    done: list[DataFrame] = []
+    total = 0
+    while len(done) < most_rounds and not rounds_done(total, target, share):
+        done.append(written(step(len(done) + 1), "round"))
+        total += done[-1].count()
+    return done
+
+
 def training_rows(questions: DataFrame, data_source: str) -> DataFrame:
     """Reinforcement rows (data_source, prompt, ability, reward_model, extra_info) of questions (question, ground_truth, sample_id, category, acc, row_idx)."""
     info = F.struct("sample_id", "category", F.col("acc").alias("student_accuracy"), F.lit(False).alias("is_pg_sample"), F.col("row_idx").cast("long").alias("index"))

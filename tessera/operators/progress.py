@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.tables import on_disk
+
 #: Weight of a new observation, slope of the weight, its offset.
 BETA, KAPPA, OFFSET = 0.8, 8.0, 0.5
 
@@ -52,6 +54,12 @@ def updated(rates: DataFrame, states: DataFrame | None = None, beta: float = BET
     return df.select("sample_id", free.alias("a"), guided.alias("b")).select("sample_id", "a.p", "a.lp", F.col("a.n").alias("n_updates"), F.when(F.col("b.n") > 0, F.col("b.p")).alias("pg_p_ema"), F.when(F.col("b.n") > 0, F.col("b.n")).alias("pg_seen"))
 
 
+def first_steps(rates: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` steps of each sample and kind of ``rates``: what was known then. One row for each step, so groups are small."""
+    firsts = rates.groupBy("sample_id", "is_pg").agg(F.slice(F.array_sort(F.collect_list(F.struct("step", "rate"))), 1, n).alias("_s"))
+    return firsts.select("sample_id", "is_pg", F.inline("_s"))
+
+
 def weight(lp: Column, kappa: float = KAPPA, offset: float = OFFSET) -> Column:
     """From 0.5 to 1.5 by progress; an unknown sample weighs 1."""
     return F.coalesce(1 / (1 + F.exp(-kappa * lp)) + offset, F.lit(1.0))
@@ -74,6 +82,24 @@ def summary(states: DataFrame) -> DataFrame:
     return states.agg(F.count("*").alias("n"), F.avg("p").alias("avg_p"), F.avg("lp").alias("avg_lp"), F.count_if(p < 0.05).alias("n_hard"), F.count_if(p.between(0.1, 0.5)).alias("n_sweet"), F.count_if(p > 0.8).alias("n_mastered"), F.avg(weight(F.col("lp"))).alias("avg_weight"))
 
 
+CONFIG = {"beta": BETA, "kappa": KAPPA, "b": OFFSET}
+
+
+def save_states(states: DataFrame, path: str, config: dict[str, float] | None = None) -> None:
+    """A snapshot: the states as a table, and beside them one row with the configuration and the summary."""
+    states.write.mode("overwrite").parquet(f"{path}/states")
+    kept = states.sparkSession.read.parquet(f"{path}/states")
+    told = F.struct(*(F.lit(v).cast("double").alias(k) for k, v in (config or CONFIG).items()))
+    about = summary(kept)
+    about.select(told.alias("config"), F.struct(*about.columns).alias("summary")).write.mode("overwrite").json(f"{path}/about")
+
+
+def load_states(spark: SparkSession, path: str) -> DataFrame | None:
+    """The states of a snapshot; None if there is none. The configuration stays with the caller."""
+    files, place = on_disk(spark, f"{path}/states")
+    return spark.read.parquet(f"{path}/states") if files.exists(place) else None
+
+
 def labels(p: Column, lp: Column) -> Column:
     """The categories of a state: one by p, and learning where it rises between .15 and .8."""
     base = F.when(p < 0.05, "hard_zero").when(p < 0.15, "struggling").when(p > 0.8, "mastered").when(p <= 0.5, "sweet_spot")

@@ -302,6 +302,13 @@ def split_tail(df: DataFrame, key: str, test_rows: int, seed: int | str = 0) ->
     return coded.withColumn("split", split).drop("_code")
 
 
+def split_ratio(df: DataFrame, key: str, ratio: float = 0.8, seed: int | str = 0, names: tuple[str, str] = ("train", "val")) -> DataFrame:
+    """``df`` with split: the first ``int(rows * ratio)`` in hash order of ``key``, and the rest."""
+    total = df.count()
+    head, tail = names
+    return split_tail(df, key, total - int(total * ratio), seed).withColumn("split", F.when(F.col("split") == "train", head).otherwise(tail))
+
+
 def shards(df: DataFrame, n: int, order: str = "row_idx") -> DataFrame:
     """``df`` with contiguous shard numbers 0..n-1; the first shards take one more row if it does not come out even."""
     total = df.count()

@@ -216,7 +216,77 @@ g as (select vec_id, {log_softmax('s')} as s, {log_softmax('t')} as t, {log_soft
 v as (select vec_id, -list_sum(list_transform(s, lambda x: exp(x) * x)) / ln(len(s)) as ent, {js('s', 't')} / ln(2) as div, {js('s4', 't4')} / ln(2) as div4 from g)
 select vec_id, round(ent, 6) as ent, round(div, 6) as div, round(div4, 6) as div4, round(greatest(ent, 1e-8) * sqrt(greatest(div, 1e-8)), 6) as weight from v"""
 
+def obj(**fields: str) -> str:
+    """A JSON object of expressions, in order, without those that are null."""
+    return "json_object(" + ", ".join(f"{q(k)}, {v}" for k, v in fields.items()) + ")"
+
+
+def said(*parts: tuple[str, str], keys: tuple[str, str] = ("role", "content")) -> str:
+    """A JSON array of messages."""
+    return "json_array(" + ", ".join(obj(**{keys[0]: q(who), keys[1]: text}) for who, text in parts) + ")::varchar"
+
+
+_TURN = ("from", "value")
+STATED_ANSWER = STATED.replace("full_response", "answer")
+WITH_BOX = f"case when contains(answer, '\\boxed{{') or {STATED_ANSWER} is null then answer else answer || chr(10) || chr(10) || '答案为 $\\boxed{{' || {STATED_ANSWER} || '}}$' end"
+EARLY = f"""
+with r as (select *, row_number() over (partition by sample_id order by step) as k from ({RATES}) where not is_pg),
+f as (select sample_id, max(case when k = 1 then rate end) as a, max(case when k = 2 then rate end) as b from r where k <= 2 group by 1)
+select sample_id, 2 as n_updates from f where b is not null and 0.8 * a + 0.2 * b <= 0.05 and 0.2 * (b - a) <= 0.01"""
+INITIAL = f"select sample_id, arg_max(num_correct / greatest(num_total, 1)::double, row_idx) as p0 from (select *, {SAMPLE_ID} as sample_id from student_responses) group by 1"
+CONTINUED = f"""
+with r as (select sample_id, step, rate from ({RATES}) where not is_pg), i as ({INITIAL}),
+o as (select *, row_number() over w - 1 as k, count(*) over (partition by sample_id) as n from r window w as (partition by sample_id order by step)),
+e as (select sample_id, max(n) as n, sum(case when p0 is null and k = 0 then pow(0.8, n - 1) else 0.2 * pow(0.8, n - 1 - k) end * rate) + coalesce(max(p0) * pow(0.8, max(n)), 0) as p, max(p0) as p0 from o left join i using (sample_id) group by sample_id),
+g as (select distinct sample_id from ({RATES}) where is_pg)
+select coalesce(e.sample_id, i.sample_id, g.sample_id) as sample_id, round(coalesce(e.p, i.p0, 0), 6) as p, (coalesce(e.n, 0) + case when i.p0 is null then 0 else 1 end)::int as n_updates
+from e full join i using (sample_id) full join g using (sample_id)"""
+MIXED = f"""
+with a as (select question, ground_truth, chosen, rejected, 'on_policy' as source from ({GREEDY.replace('select row_idx, question, list_transform', 'select row_idx, question, ground_truth, list_transform', 1).replace('ci as (select row_idx, question, unnest', 'ci as (select row_idx, question, ground_truth, unnest').replace('select question, chosen, rejected', 'select question, ground_truth, chosen, rejected')})),
+t as (select {KEY_RAW} as qkey, arg_max(full_response, row_idx) as teacher_response from warmstart_generations where is_correct group by 1),
+w as (select question, ground_truth, {KEY_RAW} as qkey, list_transform(list_filter(responses, lambda r: not coalesce(r.is_correct, false)), lambda r: r.text) as w from {STUDENTS} where num_correct < num_total // 2),
+b as (select question, ground_truth, teacher_response as chosen, {shuffled('w')}[1] as rejected, 'teacher' as source from w join t using (qkey)),
+c as (select * from b where length(chosen) > 0 and length(rejected) > 0 and greatest(length(chosen), length(rejected)) / least(length(chosen), length(rejected))::double <= 2.5)
+select question, ground_truth, chosen, rejected, source from (select *, 0 as p from a union all select *, 1 from c) order by p, sha1('0|' || chosen) limit 100"""
+_LETTERS = "list_transform(string_split(regexp_replace(lower({x}), '[^a-z]', '', 'g'), ''), lambda c: ascii(c))"
+
+
+def sequence(prompt: str, response: str, loss: str, length: int, zero: str = "0") -> dict[str, str]:
+    """The four arrays of a padded sequence as JSON; ``loss`` gives the i-th trained flag, from 0."""
+    r = f"{response}[1 : {length - 1}]"
+    p = f"{prompt}[greatest(1, len({prompt}) - ({length} - len({r})) + 1) :]"
+    n = f"(len({p}) + len({r}))"
+    zeros = f"list_transform(range({length} - {n}), lambda i: 0)"
+    text = lambda x: f"to_json({x})::varchar"
+    return {
+        "input_ids": text(f"list_concat({p}, {r}, {zeros})"), "attention_mask": text(f"list_concat(list_transform(range({n}), lambda i: 1), {zeros})"), "position_ids": text(f"list_concat(range({n}), {zeros})"),
+        "loss_mask": text(f"list_concat(list_transform(range(len({p})), lambda i: {zero}), list_transform(range(len({r})), lambda i: {loss}), list_transform(range({length} - {n}), lambda i: {zero}))"),
+    }
+
+
+_PAIRED = {f"{who}_{k}": v for who, prompt in (("student", "p"), ("teacher", "t")) for k, v in sequence(prompt, "r", "(i % 3 <> 2)::int", 512).items()}
+TOKEN_SAMPLES = f"""
+with w as ({TOKEN_WEIGHTS.replace("select vec_id, round(ent, 6) as ent, round(div, 6) as div, round(div4, 6) as div4, round(greatest(ent, 1e-8) * sqrt(greatest(div, 1e-8)), 6) as weight from v", "select vec_id, greatest(ent, 1e-8) * sqrt(greatest(div, 1e-8)) as weight from v")}),
+o as (select vec_id // 32 as sequence, vec_id, weight, row_number() over (partition by vec_id // 32 order by vec_id) - 1 as token, count(*) over (partition by vec_id // 32) as n_total from w),
+d as (select *, row_number() over (partition by sequence order by -ln(greatest({uniform('0', "sequence || '|' || token")}, pow(2.0, -49))) / greatest(weight, 1e-300)) as k from o)
+select sequence, n_total, token, vec_id from d where k <= greatest(1, floor(n_total * 0.5))"""
+
 ORACLES: dict[str, str] = {
+    "parquet_row_ids": "select 'eval_items_' || (row_number() over () - 1) as id, item_id from eval_items",
+    "shuffled_rows": "select row_idx, row_number() over (order by sha1('42|' || row_idx)) - 1 as position from dpo_questions_24k_v2",
+    "ratio_split": "select question_id, case when rn <= floor(n * 0.8) then 'train' else 'val' end as split from (select question_id, row_number() over (order by sha1('0|' || question_id)) as rn, count(*) over () as n from (select distinct question_id from dpo_questions_24k_v2))",
+    "chat_few_shot_prompts": f"select item_id, {q('<|im_start|>system' + chr(10) + preference.SYSTEM + '<|im_end|>' + chr(10))} || (select string_agg('<|im_start|>user' || chr(10) || {strip('problem')} || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || regexp_replace({strip('solution')}, '<<[^>]+>>', '', 'g') || '<|im_end|>' || chr(10), '' order by item_id) from (select * from eval_items order by item_id limit 8)) || '<|im_start|>user' || chr(10) || {strip('problem')} || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) as prompt from eval_items",
+    "teacher_messages": f"select row_idx, {said(('system', q(preference.SYSTEM)), ('user', 'question || chr(10) || chr(10) || ' + q('The correct answer is ') + ' || ground_truth || ' + q('.')))} as messages from dpo_questions_24k_v2",
+    "warm_start_format": f"select {said(('human', 'question'), ('gpt', 'full_response'), keys=_TURN)} as conversations, {q(preference.SYSTEM)} as system from {GENERATIONS}",
+    "conversations": f"select row_idx, {said(('human', 'question'), ('gpt', WITH_BOX), keys=_TURN)} as conversations from dpo_questions_24k_v2",
+    "preference_format": f"select {said(('human', strip('question')), keys=_TURN)} as conversations, {obj(**{'from': q('gpt'), 'value': 'chosen'})}::varchar as chosen, {obj(**{'from': q('gpt'), 'value': 'rejected'})}::varchar as rejected, {q(preference.SYSTEM)} as system from ({GREEDY})",
+    "mixed_pairs": MIXED,
+    "lp_guided_early": EARLY,
+    "lp_continued": CONTINUED,
+    "lp_snapshot": f"select 0.8::double as beta, 8.0::double as kappa, 0.5::double as b, round(avg(p), 6) as avg_p, round(avg({WEIGHT}), 6) as avg_weight, count(*) as n, count(*) as loaded from ({STATES})",
+    "padded_sequences": "select item_id, " + ", ".join(f"{v} as {k}" for k, v in sequence("p", "r", "1.0::double", 16384, "0.0::double").items()) + f" from (select item_id, {_LETTERS.format(x='problem')} as p, {_LETTERS.format(x='solution')} as r from eval_items)",
+    "paired_sequences": "select item_id, type, true as valid_row_mask, " + ", ".join(f"{v} as {k}" for k, v in _PAIRED.items()) + f" from (select item_id, type, {_LETTERS.format(x='problem')} as p, {_LETTERS.format(x='concat_ws(chr(32), problem, level)')} as t, {_LETTERS.format(x='solution')} as r from eval_items)",
+    "token_samples": TOKEN_SAMPLES,
     "doc_features": features("sample_input", "row_idx"),
     "doc_scores": SCORES,
     "route_histogram": f"select route, count(*) as n, round(avg(score), 6) as avg_score from ({SCORES}) group by route",

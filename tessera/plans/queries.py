@@ -229,6 +229,11 @@ def train_test_split(s: SparkSession, d: str) -> DataFrame:
     return selection.split_tail(questions(s, d).select("question_id").distinct(), "question_id", 80).select("question_id", "split")
 
 
+@query
+def ratio_split(s: SparkSession, d: str) -> DataFrame:
+    return selection.split_ratio(questions(s, d).select("question_id").distinct(), "question_id", 0.8).select("question_id", "split")
+
+
 @query
 def shard_slices(s: SparkSession, d: str) -> DataFrame:
     return selection.shards(questions(s, d).select("row_idx"), 7)
@@ -385,6 +390,39 @@ def few_shot_prompts(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "eval_items").select("item_id", preference.few_shot_prompt("problem", shots).alias("prompt"))
 
 
+@query
+def chat_few_shot_prompts(s: SparkSession, d: str) -> DataFrame:
+    """Eight solved items as turns of a chat before each item."""
+    shots = [(r.problem, r.solution) for r in table(s, d, "eval_items").orderBy("item_id").limit(8).select("problem", "solution").collect()]
+    return table(s, d, "eval_items").select("item_id", preference.chat_few_shot_prompt("problem", shots).alias("prompt"))
+
+
+@query
+def warm_start_format(s: SparkSession, d: str) -> DataFrame:
+    return preference.warm_start_rows(generations(s, d)).select(F.to_json("conversations").alias("conversations"), "system")
+
+
+@query
+def rescored_teachers(s: SparkSession, d: str) -> DataFrame:
+    """Teachers' responses judged anew where they were not correct."""
+    df = generations(s, d).select("gen_id", "ground_truth", F.concat(F.lit("<think>"), "prefix", F.lit("</think>"), F.coalesce("continuation", F.lit(""))).alias("full_response"), F.col("predicted_answer").alias("predicted"), "is_correct", F.lit(None).cast("string").alias("response"))
+    return preference.rescored_teachers(spread(df)).select("gen_id", "predicted", "is_correct", "response", "change")
+
+
+def _rounds(s: SparkSession, d: str) -> list[tuple[DataFrame, DataFrame]]:
+    """Students' questions in two rounds by hash, with the right generations as teachers."""
+    good = table(s, d, "warmstart_generations").where("is_correct").select(selection.key_raw("question").alias("qkey"), "row_idx", F.col("full_response").alias("teacher_response"))
+    teachers = selection.last_per_key(good, "qkey", "row_idx")
+    st = students(s, d).withColumn("_first", uniform("round", "row_idx") < 0.5)
+    return [(st.where("_first").drop("_first"), teachers), (st.where("not _first").drop("_first"), teachers)]
+
+
+@query
+def assembled_rounds(s: SparkSession, d: str) -> DataFrame:
+    """Pairs of two rounds of students and teachers, up to a target."""
+    return preference.assembled_rounds(_rounds(s, d), 150).select("question", "chosen", "rejected", "source", "round")
+
+
 @query
 def training_rows(s: SparkSession, d: str) -> DataFrame:
     q = questions(s, d).withColumn("sample_id", selection.sample_id("question", "ground_truth"))
@@ -646,10 +684,30 @@ def lp_guided(s: SparkSession, d: str) -> DataFrame:
     return progress.guided_candidates(_states(s, d)).select("sample_id", "n_updates")
 
 
+def _early(s: SparkSession, d: str) -> DataFrame:
+    """States after each sample's second step, when guidance is first asked for."""
+    return progress.updated(progress.first_steps(progress.step_rates(observations(s, d)), 2))
+
+
+@query
+def lp_guided_early(s: SparkSession, d: str) -> DataFrame:
+    return progress.guided_candidates(_early(s, d)).select("sample_id", "n_updates")
+
+
 @query
 def lp_guided_rows(s: SparkSession, d: str) -> DataFrame:
+    """Guided prompts for the samples that are stuck after their second step."""
     q = questions(s, d).withColumn("sample_id", selection.sample_id("question", "ground_truth"))
-    return progress.guided_rows(progress.guided_candidates(_states(s, d)), q, 100).withColumn("prompt", F.to_json("prompt"))
+    return progress.guided_rows(progress.guided_candidates(_early(s, d)), q, 100).withColumn("prompt", F.to_json("prompt"))
+
+
+@query
+def lp_snapshot(s: SparkSession, d: str) -> DataFrame:
+    """Configuration and summary of a snapshot of the states, and how many states come back from it."""
+    folder = shared_folder(s, "lp_snapshot")
+    progress.save_states(_states(s, d), f"{folder}/lp")
+    told = s.read.json(f"{folder}/lp/about").select("config.*", F.round("summary.avg_p", 6).alias("avg_p"), F.round("summary.avg_weight", 6).alias("avg_weight"), "summary.n")
+    return told.withColumn("loaded", F.lit(progress.load_states(s, f"{folder}/lp").count()))
 
 
 @query
@@ -674,13 +732,13 @@ def lp_cycle(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def lp_stream(s: SparkSession, d: str) -> DataFrame:
-    """The same states kept by a stream over the observations, run until all files are read."""
+    """The same states kept by a stream over the observations in batches, run until all files are read."""
     from tessera.streaming.progress import latest, run_available
 
     path = f"{d}/lp_observations.parquet"
     shape = s.read.parquet(path).schema
     folder = shared_folder(s, "lp_stream")
-    run_available(s.readStream.schema(shape).parquet(f"{path}*"), f"{folder}/out", f"{folder}/checkpoint")
+    run_available(s.readStream.schema(shape).option("maxFilesPerTrigger", 8).parquet(f"{path}*"), f"{folder}/out", f"{folder}/checkpoint")
     return latest(s.read.parquet(f"{folder}/out")).select("sample_id", F.round("p", 6).alias("p"), F.round("lp", 6).alias("lp"), "n_updates")
 
 
@@ -702,6 +760,17 @@ def padded_sequences(s: SparkSession, d: str) -> DataFrame:
     return df.where("b is not null").select("item_id", *(F.to_json(f"b.{c}").alias(c) for c in ("input_ids", "attention_mask", "position_ids", "loss_mask")))
 
 
+@query
+def paired_sequences(s: SparkSession, d: str) -> DataFrame:
+    """Teacher's and student's sequences of each item: the teacher is told the level, every third token is a tool's."""
+    ids = table(s, d, "eval_items").select("item_id", "type", _ids(F.col("problem")).alias("prompt_ids"), _ids(F.concat_ws(" ", "problem", "level")).alias("told_ids"), _ids(F.col("solution")).alias("r"))
+    padding = F.array_repeat(F.lit(0), 4)
+    df = ids.select("item_id", "type", "prompt_ids", "told_ids", F.concat("r", padding).alias("response_ids"), F.concat(F.transform("r", lambda _: F.lit(1)), padding).alias("attention"), F.concat(F.transform("r", lambda _, i: (i % 3 != 2).cast("int")), padding).alias("mask"))
+    out = tokens.paired_batch(df, 512, 0, "prompt_ids", "told_ids", "mask", ["item_id", "type"])
+    lists = [c for c in out.columns if c.startswith(("teacher_", "student_"))]
+    return out.select("item_id", "type", "valid_row_mask", *(F.to_json(F.transform(c, lambda x: x.cast("int"))).alias(c) for c in lists))
+
+
 def _logits(s: SparkSession, d: str) -> DataFrame:
     e = F.transform("embedding", lambda x: x.cast("double"))
     return table(s, d, "embeddings").select("vec_id", e.alias("student"), F.reverse(e).alias("teacher"))

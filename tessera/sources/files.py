@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import dataclasses
-import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +10,7 @@ from pyspark.sql.types import StructType
 
 from tessera.functions.features import Rules
 from tessera.operators.selection import numbered
+from tessera.sources.tables import on_disk, shared_folder
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False, limit: int | None = None) -> DataFrame:
@@ -44,7 +43,8 @@ def read_parquet_rows(spark: SparkSession, path: str) -> DataFrame:
 
 def read_first(spark: SparkSession, jsonl: str, parquet: str, schema: str) -> DataFrame:
     """The JSON lines if they exist, else the Parquet table."""
-    return read_jsonl(spark, jsonl, schema, strict=True) if Path(jsonl).exists() else spark.read.parquet(parquet)
+    files, place = on_disk(spark, jsonl)
+    return read_jsonl(spark, jsonl, schema, strict=True) if files.exists(place) else spark.read.parquet(parquet)
 
 
 def read_document(spark: SparkSession, path: str) -> DataFrame:
@@ -58,30 +58,56 @@ def corpus_filter(df: DataFrame, least_score: int | None = None, least_tokens: i
     return df.where(keep if least_score is None else keep & (F.coalesce("int_score", F.lit(0)) >= least_score))
 
 
-def load_rules(path: str | None = None) -> Rules:
-    """Thresholds from a ``key: number`` file; unknown keys are ignored, missing ones keep their values."""
-    known = {f.name: f.type for f in dataclasses.fields(Rules)}
-    values = {}
-    for line in Path(path).read_text(encoding="utf-8").splitlines() if path and Path(path).exists() else []:
-        name, _, value = line.partition("#")[0].partition(":")
-        if name.strip() in known and value.strip():
-            values[name.strip()] = (int if known[name.strip()] == "int" else float)(value.strip())
-    return Rules(**values)
+def read_config(spark: SparkSession, path: str) -> dict[str, str]:
+    """``key: value`` lines of a YAML file's outermost level; comments, quotes and nested levels are left out."""
+    files, place = on_disk(spark, path)
+    lines = spark.read.text(path).collect() if files.exists(place) else []  # a configuration, a few lines
+    out = {}
+    for (line,) in lines:
+        name, colon, value = line.partition(" #")[0].partition(":")
+        if colon and name == name.strip() and name[:1] not in ("", "#", "-") and value.strip():
+            out[name.strip("\"'")] = value.strip().strip("\"'")
+    return out
+
+
+def load_rules(path: str | None = None, spark: SparkSession | None = None) -> Rules:
+    """Thresholds of a YAML file; unknown keys are ignored, missing ones and those of a missing file keep their values."""
+    if path is None:
+        return Rules()
+    told = read_config(spark or SparkSession.active(), path)
+    kinds = {f.name: int if f.type == "int" else float for f in dataclasses.fields(Rules)}
+    return Rules(**{k: kinds[k](v.replace("_", "")) for k, v in told.items() if k in kinds})
 
 
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
 
 
-def write_array(df: DataFrame, path: str, most_rows: int = 1_000_000) -> None:
-    """One JSON array in a local file, streamed row by row; meant for training sets of bounded size."""
-    if (n := df.count()) > most_rows:
-        raise ValueError(f"{n} rows are too many for one JSON array; write lines")
-    with Path(path).open("w", encoding="utf-8") as out:
-        out.write("[")
-        for i, row in enumerate(df.toJSON().toLocalIterator()):
-            out.write(("," if i else "") + "\n" + json.dumps(json.loads(row), ensure_ascii=False))
-        out.write("\n]\n")
+def write_array(df: DataFrame, path: str) -> None:
+    """One JSON array in one file, of any number of rows.
+
+    Executors write the rows, each behind a comma; the parts' bytes are then put one after the other behind the
+    opening bracket, without the first comma, so no row passes through Python.
+    """
+    spark = df.sparkSession
+    jvm, folder = spark._jvm, shared_folder(spark, "array") + "/parts"
+    df.select(F.concat(F.lit(","), F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).alias("value")).write.text(folder)
+    source, place = on_disk(spark, folder)
+    target, file = on_disk(spark, path)
+    parts = sorted((f.getPath() for f in source.listStatus(place) if f.getPath().getName().startswith("part-") and f.getLen()), key=lambda p: p.getName())
+    out = target.create(file, True)
+    try:
+        out.write(ord("["))
+        out.write(ord("\n"))
+        for i, part in enumerate(parts):
+            rows = source.open(part)
+            if i == 0:
+                rows.read()
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(rows, out, 1 << 16, False)
+            rows.close()
+        out.write(ord("]"))
+    finally:
+        out.close()
 
 
 def write_shards(df: DataFrame, path: str, n: int, order: str = "row_idx") -> None:
@@ -93,21 +119,27 @@ def write_shards(df: DataFrame, path: str, n: int, order: str = "row_idx") -> No
 
 def read_shards(spark: SparkSession, path: str, n: int, order: str = "row_idx") -> DataFrame:
     """All shards in order; a missing one is an error."""
-    missing = [i for i in range(n) if not Path(path, f"shard={i}").exists()]
+    files, _ = on_disk(spark, path)
+    missing = [i for i in range(n) if not files.exists(on_disk(spark, f"{path}/shard={i}")[1])]
     if missing:
         raise FileNotFoundError(f"missing shards {missing} of {path}")
     return spark.read.parquet(path).orderBy("shard", order)
 
 
 def rewrite(spark: SparkSession, path: str, change) -> None:  # noqa: ANN001
-    """A Parquet table replaced by ``change(table)``: written beside it, then swapped."""
-    new, old = Path(f"{path}.new"), Path(f"{path}.old")
-    change(spark.read.parquet(path)).write.mode("overwrite").parquet(str(new))
-    Path(path).rename(old)
-    new.rename(path)
-    for p in sorted(old.rglob("*"), reverse=True):
-        p.unlink() if p.is_file() else p.rmdir()
-    old.rmdir() if old.is_dir() else old.unlink()
+    """A Parquet table replaced by ``change(table)``: written beside it, then swapped by two renames.
+
+    If a run ends between the renames, the next one finds no table and first puts the old one back.
+    """
+    files, now = on_disk(spark, path)
+    new, old = (on_disk(spark, f"{path}.{x}")[1] for x in ("new", "old"))
+    if not files.exists(now) and files.exists(old):
+        files.rename(old, now)
+    change(spark.read.parquet(path)).write.mode("overwrite").parquet(f"{path}.new")
+    files.delete(old, True)
+    if not (files.rename(now, old) and files.rename(new, now)):
+        raise OSError(f"{path} could not be swapped")
+    files.delete(old, True)
 
 
 def with_row_idx(df: DataFrame, order: str) -> DataFrame:

@@ -35,13 +35,18 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.gettempdir()}"
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files, place = on_disk(spark, path)
     files.mkdirs(place)
     files.deleteOnExit(place)
     return path
 
 
+def on_disk(spark: SparkSession, path: str):  # noqa: ANN201
+    """The file system of a path, whichever it is, and the path as it knows it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as a table and read back: its lineage is cut, and losing an executor loses nothing of it."""
     path = f"{shared_folder(df.sparkSession, name)}/table"

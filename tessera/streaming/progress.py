@@ -1,67 +1,48 @@
-"""The state of learning progress kept over a stream of observations."""
+"""The state of learning progress kept over a stream of observations.
 
-from __future__ import annotations
+The stream keeps counts of each sample's steps, added up before they are shuffled, so that late rows count and a
+sample with many rows is no large task. Moving averages depend on the order of steps; they are folded from the
+counts when the state is read.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessera.operators.progress import BETA
+from tessera.operators import progress
 
-STATE = "p double, lp double, n_updates int, pg_p_ema double, pg_seen int, last_step bigint"
-OUTPUT = f"sample_id string, {STATE}"
+KEYS = ("sample_id", "is_pg", "step")
 
 
-def advance(state: tuple, frames: Iterator[pd.DataFrame], beta: float = BETA) -> tuple:
-    """The state after a batch: steps in order, each by its share of positive rewards; guided steps apart.
+def step_counts(observations: DataFrame) -> DataFrame:
+    """(sample_id, is_pg, step, n, n_good): rows and positive rewards of each step, for a stream or a table.
 
-    Steps behind the last one seen come too late and are left out, as they could not be averaged in anew.
+    Null ids and steps give no row; null rewards are not positive, null flags not guided.
     """
-    p, lp, n, gp, gn, last = state
-    seen: dict[tuple[int, bool], list[int]] = {}  # rows and positive rewards of each step; frames come one by one
-    for rows in frames:
-        rows = rows[rows["step"].notna() & (rows["step"] >= last)]
-        guided = rows["is_pg"].map(lambda x: x is True or x == 1).astype(bool)
-        for (step, pg), part in (rows["reward"].fillna(0) > 0).groupby([rows["step"].astype("int64"), guided]):
-            held = seen.setdefault((int(step), bool(pg)), [0, 0])
-            held[0] += len(part)
-            held[1] += int(part.sum())
-    for (step, pg), (total, good) in sorted(seen.items()):
-        rate = good / total
-        if pg:
-            gp, gn = (rate if gn == 0 else beta * gp + (1 - beta) * rate), gn + 1
-        else:
-            new = rate if n == 0 else beta * p + (1 - beta) * rate
-            p, lp, n = new, (0.0 if n == 0 else new - p), n + 1
-        last = max(last, step)
-    return p, lp, n, gp, gn, last
-
-
-def _update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    new = advance(state.get if state.exists else (0.0, 0.0, 0, 0.0, 0, -1), frames)
-    state.update(new)
-    yield pd.DataFrame([(key[0], *new)], columns=["sample_id", "p", "lp", "n_updates", "pg_p_ema", "pg_seen", "last_step"])
-
-
-def progress_stream(observations: DataFrame) -> DataFrame:
-    """The latest state of each sample of a stream (sample_id, step, reward, is_pg), one row for each batch it is in."""
-    slim = observations.select("sample_id", "step", "reward", "is_pg").where("sample_id is not null")
-    return slim.groupBy("sample_id").applyInPandasWithState(_update, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    df = observations.where("sample_id is not null and step is not null").withColumn("is_pg", F.coalesce("is_pg", F.lit(False)))
+    return df.groupBy(*KEYS).agg(F.count("*").alias("n"), F.count_if(F.col("reward") > 0).alias("n_good"))
 
 
 def run_available(observations: DataFrame, out: str, checkpoint: str) -> None:
-    """Runs over what the stream has now; each batch overwrites its own folder under ``out``, so a repeated batch does no harm."""
+    """Runs over what the stream has now; each batch writes the counts it changed to a folder of its own.
+
+    A repeated batch overwrites its folder, so it does no harm.
+    """
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    query = progress_stream(observations).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = step_counts(observations).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def latest(out: DataFrame) -> DataFrame:
-    """The last state of each sample from the batches written (with column batch)."""
-    return out.groupBy("sample_id").agg(F.max_by(F.struct(*(c for c in out.columns if c not in ("sample_id", "batch"))), F.col("batch")).alias("s")).select("sample_id", "s.*")
+def rates(out: DataFrame) -> DataFrame:
+    """(sample_id, is_pg, step, rate) from the batches written (with column batch): the last count of each step."""
+    last = out.groupBy(*KEYS).agg(F.max_by(F.struct("n", "n_good"), "batch").alias("c"))
+    return last.select(*KEYS, (F.col("c.n_good") / F.col("c.n")).alias("rate"))
+
+
+def latest(out: DataFrame, states: DataFrame | None = None) -> DataFrame:
+    """The state of each sample after all batches, as over a table of the same rows; from ``states`` or from nothing."""
+    return progress.updated(rates(out), states)

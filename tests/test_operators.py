@@ -143,14 +143,21 @@ def test_json_lines_and_shards(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         files.read_shards(spark, str(tmp_path / "s"), 4)
     files.write_array(rows, str(tmp_path / "x.json"))
-    assert len(json.loads((tmp_path / "x.json").read_text())) == 10
+    assert sorted(r["row_idx"] for r in json.loads((tmp_path / "x.json").read_text())) == list(range(10))
+    files.write_array(rows.withColumn("t", F.when(F.col("row_idx") > 3, "ü,\n]")).repartition(3), str(tmp_path / "y.json"))
+    assert {(r["row_idx"], r["t"]) for r in json.loads((tmp_path / "y.json").read_text(encoding="utf-8"))} == {(i, "ü,\n]" if i > 3 else None) for i in range(10)}
+    files.write_array(rows.where("false"), str(tmp_path / "z.json"))
+    assert json.loads((tmp_path / "z.json").read_text()) == []
     rows.write.parquet(str(tmp_path / "p"))
     files.rewrite(spark, str(tmp_path / "p"), lambda t: t.where("row_idx > 4"))
     assert spark.read.parquet(str(tmp_path / "p")).count() == 5
+    (tmp_path / "p").rename(tmp_path / "p.old")  # as if a run had ended between its two renames
+    files.rewrite(spark, str(tmp_path / "p"), lambda t: t.where("row_idx > 6"))
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 3 and not (tmp_path / "p.old").exists()
 
 
-def test_rules_file(tmp_path):
-    (tmp_path / "r.yaml").write_text("clf_keep: 4.5 # high\nunknown: 3\nmin_text_chars: 10\n")
+def test_rules_file(spark, tmp_path):
+    (tmp_path / "r.yaml").write_text("# rules\nclf_keep: 4.5 # high\nunknown: 3\nnested:\n  clf_drop: 9\nmin_text_chars: '10'\n")
     r = files.load_rules(str(tmp_path / "r.yaml"))
     assert (r.clf_keep, r.min_text_chars, r.clf_drop) == (4.5, 10, 2.8) and files.load_rules(None) == files.load_rules("/no/file")
 
@@ -164,10 +171,10 @@ def test_stream_equals_batch_over_two_runs(spark, tmp_path):
         spark.createDataFrame(part, shape).write.mode("append").parquet(str(tmp_path / "in"))
         run_available(spark.readStream.schema(shape).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "c"))
     last = {r.sample_id: r for r in latest(spark.read.parquet(str(tmp_path / "out"))).collect()}
-    kept = [*rows[0], *(x for x in rows[1] if x != ("a", 1, 1.0, False))]  # the late row is left out
+    kept = [*rows[0], *rows[1]]  # the late row and the step that goes on in a later batch count as in a table
     want = {r.sample_id: r for r in progress.updated(progress.step_rates(spark.createDataFrame(kept, shape))).collect()}
     for k in ("a", "b"):
-        assert (last[k].p, last[k].n_updates, last[k].pg_seen) == pytest.approx((want[k].p, want[k].n_updates, want[k].pg_seen or 0))
+        assert (last[k].p, last[k].lp, last[k].n_updates, last[k].pg_p_ema, last[k].pg_seen) == (want[k].p, want[k].lp, want[k].n_updates, want[k].pg_p_ema, want[k].pg_seen)
 
 
 def test_models_are_boundaries(spark):
@@ -190,3 +197,104 @@ def test_guided_rows_join_by_sample(spark):
     c = spark.createDataFrame([("s1",), ("s2",), ("s3",)], "sample_id string")
     rows = progress.guided_rows(c, q, 10).collect()
     assert len(rows) == 1 and rows[0].sample_id == "s1" and [m.role for m in rows[0].prompt] == ["system", "user", "assistant"]
+
+
+def test_snapshots_come_back(spark, tmp_path):
+    states = spark.createDataFrame([("a", 0.5, 0.1, 3, None, None), ("b", 0.01, 0.0, 2, 0.2, 1)], "sample_id string, p double, lp double, n_updates int, pg_p_ema double, pg_seen int")
+    assert progress.load_states(spark, str(tmp_path / "s")) is None
+    for _ in range(2):  # a snapshot replaces the one before
+        progress.save_states(states, str(tmp_path / "s"), {"beta": 0.9})
+    assert sorted(progress.load_states(spark, str(tmp_path / "s")).collect()) == sorted(states.collect())
+    about = spark.read.json(str(tmp_path / "s" / "about")).first()
+    assert about.config.beta == 0.9 and (about.summary.n, about.summary.n_hard, about.summary.n_sweet) == (2, 1, 1)
+
+
+def test_states_follow_the_stated_updates(spark):
+    rows = [("q1", 1, 0.0, False), ("q1", 2, 1.0, False), *(("q1", 2, 0.0, False),) * 3, ("q2", 1, 1.0, False), ("q2", 5, 1.0, None), ("q2", 5, 1.0, True)]
+    df = progress.updated(progress.step_rates(spark.createDataFrame(rows, "sample_id string, step bigint, reward double, is_pg boolean")))
+    at = {r.sample_id: r for r in df.withColumn("w", progress.weight(F.col("lp"))).collect()}
+    assert at["q1"].p == pytest.approx(0.05) and at["q1"].lp == pytest.approx(0.05) and at["q1"].w == pytest.approx(1 / (1 + 2.718281828 ** (-0.4)) + 0.5)
+    assert (at["q2"].p, at["q2"].lp, at["q2"].n_updates, at["q2"].pg_p_ema, at["q2"].w) == (1.0, 0.0, 2, 1.0, 1.0)
+
+
+def test_models_in_the_cleaner(spark):
+    docs = spark.createDataFrame([("d", "Let x = 1 + 2 - 3 * 4. " * 3), ("e", "We solve for x = 5 and y = 6. " * 4)], "id string, text string")
+    rate = cleaner.scorer("model", lambda: lambda texts: [3.0 if "Let" in t else 4.9 for t in texts])
+    keep = cleaner.rewriter("model", lambda: lambda texts: ["DECISION: light_clean\nTEXT:\n" + t for t in texts])
+    got = {r.id[0]: r for r in cleaner.audit(cleaner.clean_documents(docs, keep, rate=rate)).collect()}
+    assert (got["d"].route, got["d"].llm_decision, got["d"].classifier_score_raw, got["d"].classifier_score_post) == ("kept_llm_processed", "light_clean", 3.0, 3.0)
+    assert (got["e"].route, got["e"].classifier_score_raw) == ("kept_light_cleaned", 4.9)
+
+    def broken():
+        raise RuntimeError("no service")
+
+    got = {r.id[0]: r for r in cleaner.audit(cleaner.clean_documents(docs, cleaner.rewriter("model", broken), rate=rate)).collect()}
+    assert got["d"].fail_reasons == ["llm_error: no service"] and got["d"].llm_decision == "error"
+    rules, failed = (sorted(cleaner.audit(cleaner.clean_documents(docs, rate=x)).collect()) for x in (cleaner.rule_scorer, cleaner.scorer("model", broken)))
+    assert rules == failed  # a scorer that fails leaves the rules' score
+    for kind in (cleaner.scorer, cleaner.rewriter):
+        with pytest.raises(ValueError, match="unknown"):
+            kind("other")
+
+
+@pytest.mark.parametrize(("reply", "want"), [("DECISION: rewrite\nTEXT:\n a b \n", ("rewrite", "a b")), ("DECISION: odd\nTEXT:\nx", ("keep_as_is", "x")), (" whole ", ("keep_as_is", "whole")), ("DECISION: DROP", ("drop", "DECISION: DROP"))])
+def test_replies(spark, reply, want):
+    from tessera.operators.models import parsed_reply
+
+    assert tuple(spark.createDataFrame([(reply,)], "r string").select(*parsed_reply(F.col("r"))).first()) == want
+
+
+def test_teachers_are_judged_anew(spark):
+    shape = "id int, full_response string, ground_truth string, predicted string, is_correct boolean, response string"
+    rows = [(1, "<think>a</think>so \\boxed{4}", "5", "4", True, "r"), (2, "<think>a</think>so \\boxed{\\frac{1}{2}}", "0.5", None, False, None), (3, "\\boxed{3}", "4", "9", None, "r"), (4, None, "4", None, None, None)]
+    got = {r.id: (r.predicted, r.is_correct, r.response, r.change) for r in preference.rescored_teachers(spark.createDataFrame(rows, shape)).collect()}
+    assert got == {1: ("4", True, "r", "kept"), 2: ("\\frac{1}{2}", True, "so \\boxed{\\frac{1}{2}}", "rescued"), 3: ("9", False, "r", "wrong"), 4: (None, False, None, "wrong")}
+
+
+def student_round(spark, first, n):
+    shape = "question string, ground_truth string, num_correct int, num_total int, responses array<struct<text: string, is_correct: boolean>>"
+    rows = []
+    for i in range(first, first + n):
+        right = i % 5
+        rows.append((f"q{i}", "1", right, 4 if right < 4 else right, [(f"{i}-{j}", j < right) for j in range(4)]))
+    return spark.createDataFrame(rows, shape)
+
+
+def test_rounds_are_assembled_and_iterated(spark):
+    teachers = spark.createDataFrame([("q0", "t0"), ("q10", "t10"), ("q1", "t1")], "qkey string, teacher_response string")
+    rounds = [(student_round(spark, 0, 10), teachers), (student_round(spark, 10, 10), teachers)]
+    every = preference.assembled_rounds(rounds, 1000).collect()
+    # of five questions: none right has the teacher's pair, one right none, two right two, three right one (one wrong), all right none
+    assert sorted((r.source, r["round"]) for r in every) == sorted([("on_policy", k) for k in (1, 2) for _ in range(6)] + [("teacher_chosen", 1), ("teacher_chosen", 2)])
+    some = preference.assembled_rounds(rounds, 13).collect()
+    assert len(some) == 13 and sum(r.source == "on_policy" for r in some) == 12
+    assert len(preference.assembled_rounds(rounds, 5).collect()) == 5
+    asked = []
+
+    def step(number):
+        asked.append(number)
+        return preference.round_pairs(*rounds[(number - 1) % 2], number)
+
+    assert len(preference.iterated(step, 14, 9)) == 2 and asked == [1, 2]  # 7 pairs a round, 14 asked for
+    assert len(preference.iterated(step, 1000, 3)) == 3 and preference.iterated(step, 0, 3) == []
+
+
+def test_paired_batches_leave_out_what_cannot_be_trained(spark):
+    from tessera.functions import tokens
+
+    shape = "id int, prompt_ids array<int>, told_ids array<int>, response_ids array<int>, attention array<int>, mask array<int>"
+    rows = [(1, [1, 2], [1, 2, 3], [7, 8, 0], [1, 1, 0], [1, 0, 0]), (2, [], [1], [7], [1], [1]), (3, [1], [1], [7, 8], [0, 0], [1, 1]), (4, [1], [1], [7, 8], [1, 1], [0, 0]), (5, [1], [1], [7, 8, 9, 6], [1, 1, 1, 1], [1, 1, 0, 1])]
+    df = spark.createDataFrame(rows, shape)
+    got = {r.id: r for r in tokens.paired_batch(df, 4, 0, "prompt_ids", "told_ids", "mask", ["id"]).collect()}
+    assert sorted(got) == [1, 5] and got[1].student_input_ids == [1, 2, 7, 8] and got[1].teacher_input_ids == [2, 3, 7, 8]
+    assert got[1].student_loss_mask == [0, 0, 1, 0] and got[5].student_input_ids == [1, 7, 8, 9] and got[5].student_loss_mask == [0, 1, 1, 0]
+    one = tokens.paired_batch(df, 6, 9, carried=["id"]).collect()
+    assert sorted(r.id for r in one) == [1, 4, 5] and all(r.student_input_ids == r.teacher_input_ids for r in one)
+    assert next(r for r in one if r.id == 1).student_input_ids == [1, 2, 7, 8, 9, 9]
+
+
+def test_ratio_splits(spark):
+    df = spark.range(11).withColumnRenamed("id", "k")
+    for ratio, head in ((0.8, 8), (0.0, 0), (1.0, 11)):
+        split = [r.split for r in selection.split_ratio(df, "k", ratio).collect()]
+        assert (split.count("train"), split.count("val")) == (head, 11 - head)
