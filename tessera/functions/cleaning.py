@@ -89,12 +89,12 @@ FACE = r"(?U)\s*[:;][\-]?[)D(P/\\|]\s*$"
 BOILERPLATE_LINE = "(?iuUd)" + any_of(*BOILERPLATE)
 NOISE_LINE = "(?iuUd)" + any_of(*NOISE)
 
-_decoded = scalar(html.unescape, "string", once=True)
+_decoded = scalar(lambda t: t and html.unescape(t), "string", once=True)
 
 
 def unescape(c: Column) -> Column:
-    """HTML entities decoded; only texts with an ampersand go to Python."""
-    return F.when(F.contains(c, F.lit("&")), _decoded(c)).otherwise(c)
+    """HTML entities decoded; only texts with an ampersand go to Python, others as nulls."""
+    return F.coalesce(_decoded(F.when(F.contains(c, F.lit("&")), c)), c)
 
 
 def cut_tails(c: Column) -> Column:
