@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from tessera.sources.tables import written
+
 #: The published splitting pattern of a public byte-level tokenizer (fixed value).
 TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Code points of Unicode white space.
@@ -100,6 +102,7 @@ def pack(docs: DataFrame, containers: DataFrame, block_items: int = BLOCK_ITEMS)
     is a separate document. ``container`` is unique within a kind.
     """
     items = docs.select(F.col("doc_id"), F.greatest(F.coalesce(F.col("tokens").cast("long"), F.lit(0)), F.lit(0)).alias("tokens")).where("doc_id is not null")
+    items = written(items, "sizes")  # texts are measured once, for both branches below
     kinds = containers.select("window_id", F.col("capacity").cast("long").alias("capacity")).where("window_id is not null and capacity > 0")
     blocks = -(-items.count() // block_items) or 1
     each = items.select("*", F.explode(F.array(*(F.struct(F.lit(w).alias("window_id"), F.lit(c).cast("long").alias("capacity")) for w, c in sorted(set(kinds.collect()))))).alias("kind")).select("doc_id", "tokens", "kind.*")
