@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 
 def accuracy(df: DataFrame, *by: str) -> DataFrame:
@@ -19,8 +18,9 @@ def deltas(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
 
 
 def shares(df: DataFrame, by: str) -> DataFrame:
-    counts = df.groupBy(by).agg(F.count("*").alias("n"))
-    return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy(F.lit(0))), 6))
+    """Rows of each value of a column, and their part of all rows."""
+    total = df.count()
+    return df.groupBy(by).agg(F.count("*").alias("n")).withColumn("share", F.round(F.col("n") / F.lit(total), 6))
 
 
 def lengths(a: Column, b: Column) -> list[Column]:

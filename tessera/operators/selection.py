@@ -98,14 +98,25 @@ def accuracy_bin(acc: Column) -> Column:
     return F.when(acc.isNull(), "unknown").when(acc == 0, "0").when(acc < 0.25, "(0, .25)").when(acc < 0.5, "[.25, .5)").when(acc < 0.75, "[.5, .75)").otherwise("[.75, 1]")
 
 
-def first_per_key(df: DataFrame, key: Column, order: str) -> DataFrame:
+#: Bytes of input from which losing rows are looked for instead of winning ones; losing rows that are broadcast at most.
+WIDE_BYTES, BROADCAST_ROWS = 1 << 30, 1_000_000
+
+
+def first_per_key(df: DataFrame, key: Column, order: str, wide_bytes: int = WIDE_BYTES) -> DataFrame:
     """Of each key the row with the least ``order``, which must be unique; null keys are one key.
 
-    The least is an aggregate that combines before the shuffle, and rows are found again by their order, which
-    is spread evenly, so a key that most rows share makes no large task.
+    Only keys and orders are aggregated, and combined before the shuffle, so a key that most rows share makes no
+    large task. Small tables are then joined to the winners. Of tables beyond ``wide_bytes`` the losers are found
+    (of keys that come more than once) and taken away, broadcast if they are few: the rows themselves stay where
+    they are. Both ways give the same rows.
     """
-    winners = df.select(key.alias("_key"), order).groupBy("_key").agg(F.min(order).alias(order)).select(order)
-    return df.join(winners, order, "left_semi")
+    slim = df.select(key.alias("_key"), F.col(order).alias("_at"))
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= wide_bytes:
+        winners = slim.groupBy("_key").agg(F.min("_at").alias(order)).select(order)
+        return df.join(winners, order, "left_semi")
+    many = slim.groupBy("_key").agg(F.min("_at").alias("_least"), F.count("*").alias("_n")).where("_n > 1").select(F.col("_key").alias("_k"), "_least")
+    later = written(slim.join(many, F.col("_key").eqNullSafe(F.col("_k"))).where("_at > _least").select(F.col("_at").alias(order)), "later")
+    return df.join(F.broadcast(later) if later.count() <= BROADCAST_ROWS else later, order, "left_anti")
 
 
 def last_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -243,7 +254,8 @@ def fill_with_cap(pool: DataFrame, total: int, shares: dict[str, float], buckets
     only if ``strict_cap``. Each step takes a random top of its groups, so it is a few passes over the slim pool.
     """
     names = ["qkey", "subject", "bucket", "is_big"]
-    pool = pool.select(*names).dropDuplicates(["qkey"]).withColumn("_order", hash_order(seed, "qkey")).persist()
+    pool = pool.select(*names).dropDuplicates(["qkey"]).withColumn("_order", hash_order(seed, "qkey"))
+    pool = written(pool, "pool")
     sizes = {(r.subject, r.bucket, r.is_big): r["count"] for r in pool.groupBy("subject", "bucket", "is_big").count().collect()}  # classes x buckets x 2 rows
     left, room = dict(sizes), int(total * cap_share)
     take: dict[tuple, int] = dict.fromkeys(sizes, 0)
@@ -318,6 +330,11 @@ def shards(df: DataFrame, n: int, order: str = "row_idx") -> DataFrame:
     return ranked.withColumn("shard", F.when(at < more * (base + 1), F.floor(at / (base + 1))).otherwise(more + F.floor((at - more * (base + 1)) / max(base, 1))).cast("int")).drop("_n")
 
 
+def batches(df: DataFrame, size: int, order: str = "row_idx") -> DataFrame:
+    """``df`` with batch, from 0: contiguous batches of ``size`` rows in the order of a column; the last may be smaller."""
+    return numbered(df, order).withColumn("batch", F.expr(f"_n div {int(size)}")).drop("_n")
+
+
 def numbered(df: DataFrame, order: str) -> DataFrame:
     """``df`` with _n, the position from 0 in the order of a column, without sorting all rows in one task.
 

@@ -157,6 +157,62 @@ SIMPLE = f"coalesce({empty_null(strip(chr(114) + 'eplace(regexp_extract(full_res
 FIRST = "coalesce(nullif(regexp_extract(full_response, '\\\\boxed\\{([^}]+)\\}', 1), ''), full_response)"
 STATED = f"coalesce(nullif({strip(chr(114) + 'egexp_extract(full_response, ' + q(chr(92) * 2 + 'boxed' + chr(92) + '{([^}]+)' + chr(92) + '}') + ', 1)')}, ''), nullif({strip('regexp_extract(full_response, ' + q('答案(?:是|为)[：:' + SPACE + ']+([^\\n,。]+)') + ', 1)')}, ''), regexp_extract_all(full_response, '-?\\d+(?:\\.\\d+)?|[a-zA-Z]\\^-?\\d+|sqrt\\(\\d+\\)')[-1])"
 
+# --- nested braces -------------------------------------------------------------------------------------------
+
+
+def closed(rest: str) -> str:
+    """What stands before the brace that closes the one opened just before ``rest``; null if none does."""
+    at = f"list_filter(range(1, length({rest}) + 1), lambda i: {rest}[i] = '}}' and length(replace({rest}[1:i], '{{', '')) - length(replace({rest}[1:i], '}}', '')) = 1)[1]"
+    return f"(case when {at} is not null then {rest}[1 : {at} - 1] end)"
+
+
+#: A number as the families write it, its value, and how near two values must be.
+_REAL = "[+-]?(?:\\d+\\.?\\d*|\\.\\d+)(?:[eE][+-]?\\d+)?"
+
+
+def latex_number(x: str) -> str:
+    shown = f"regexp_replace({strip(x)}, '\\\\{{1,2}}(?:text|mathrm|textbf|mathbf)\\{{([^}}]*)\\}}', '\\1', 'g')"
+    frac = f"'^(-?)\\\\{{1,2}}d?frac\\{{\\s*({_REAL})\\s*\\}}\\{{\\s*({_REAL})\\s*\\}}$'"
+    dense = f"replace(replace({shown}, ',', ''), ' ', '')"
+    part = lambda i: f"try_cast(regexp_extract({shown}, {frac}, {i}) as double)"
+    quotient = "'^(-?\\d+\\.?\\d*)\\s*/\\s*(\\d+\\.?\\d*)$'"
+    return f"""case when regexp_matches({shown}, {frac}) and {part(3)} <> 0 then {part(2)} / {part(3)} * case when regexp_extract({shown}, {frac}, 1) = '-' then -1 else 1 end
+      when regexp_matches({dense}, '^\\s*{_REAL}\\s*$') then try_cast(trim({dense}) as double)
+      when regexp_matches({dense}, {quotient}) then try_cast(regexp_extract({dense}, {quotient}, 1) as double) / nullif(try_cast(regexp_extract({dense}, {quotient}, 2) as double), 0) end"""
+
+
+def near(p: str, g: str, tol: str, zero_first: bool) -> str:
+    whole = f"{g} = floor({g}) and abs({g}) < 1e9" + (f" and abs({g}) >= 1e-10" if zero_first else "")
+    return f"coalesce(abs({p} - {g}) < case when {whole} then 0.5 else {tol} * greatest(abs({g}), 1.0) end, false)"
+
+
+def nested(source: str, key: str, zero_first: bool) -> str:
+    """The last box that closes, by where it opens, and whether its value is the reference's; ``source`` has key, t and gt."""
+    return f"""
+with o as (select {key}, t, gt, list_filter(range(1, length(t) + 1), lambda i: t[i] = chr(92) and regexp_matches(t[i : i + 12], '^\\\\{{1,2}}boxed\\s*\\{{')) as spots from ({source})),
+u as (select {key}, gt, i, regexp_replace(t[i :], '^\\\\{{1,2}}boxed\\s*\\{{', '') as rest from (select {key}, t, gt, unnest(spots) as i from o)),
+b as (select {key}, arg_max(content, i) as pred from (select {key}, i, {closed('rest')} as content from u) where content is not null group by 1)
+select o.{key}, b.pred, {near('(' + latex_number('b.pred') + ')', '(' + latex_number('o.gt') + ')', '0.001', zero_first)} as correct from o left join b using ({key})"""
+
+
+_GEN = f"select gen_id, case when ground_truth is not null then full_response end as t, ground_truth as gt from {GENERATIONS}"
+_RESP = f"select row_idx * 1000 + j as rid, row_idx, r.text as t, ground_truth as gt, r.is_correct as is_correct from (select row_idx, ground_truth, unnest(responses) as r, unnest(range(len(responses))) as j from {STUDENTS})"
+RESCORED = f"""
+select row_idx, count_if(correct) as num_correct, count(*) as num_total, count_if(is_correct) as stored from ({nested(_RESP, 'rid', True)}) join ({_RESP}) using (rid) group by row_idx"""
+
+
+def few_shot_form(x: str) -> str:
+    return f"rtrim(replace(replace(replace(regexp_replace({strip(x)}, '\\\\(?:text|mathrm|textbf)\\{{([^}}]*)\\}}', '\\1', 'g'), '$', ''), ' ', ''), '\\dfrac', '\\frac'), '.')"
+
+
+_PLAIN = lambda x: f"(case when regexp_matches(replace({x}, ',', ''), '^\\s*{_REAL}\\s*$') then try_cast(trim(replace({x}, ',', '')) as double) end)"
+FEW_SHOT = f"""
+with r as (select gen_id, gt, case when contains(t, '\\boxed{{') then t[length(t) - strpos(reverse(t), reverse('\\boxed{{')) + 2 :] end as rest from ({_GEN})),
+p as (select gen_id, gt, {strip(closed('rest'))} as pred from r),
+f as (select gen_id, pred, {few_shot_form('pred')} as a, {few_shot_form('gt')} as b from p),
+v as (select *, {_PLAIN('a')} as x, {_PLAIN('b')} as y from f)
+select gen_id, pred, coalesce(a = b or abs(x - y) < 1e-6 or (y <> 0 and abs(x - y) / abs(y) < 1e-4), false) as correct from v"""
+
 # --- learning progress ---------------------------------------------------------------------------------------
 
 RATES = "select sample_id, coalesce(is_pg, false) as is_pg, step, avg(case when reward > 0 then 1.0 else 0.0 end) as rate from lp_observations where sample_id is not null and step is not null group by all"
@@ -272,6 +328,11 @@ d as (select *, row_number() over (partition by sequence order by -ln(greatest({
 select sequence, n_total, token, vec_id from d where k <= greatest(1, floor(n_total * 0.5))"""
 
 ORACLES: dict[str, str] = {
+    "answers_nested": nested(_GEN, "gen_id", True),
+    "answers_nested_whole_first": nested(_GEN, "gen_id", False),
+    "answers_few_shot": FEW_SHOT,
+    "rescored": RESCORED,
+    "batch_numbers": "select row_idx, (row_number() over (order by row_idx) - 1) // 64 as batch from dpo_questions_24k_v2",
     "parquet_row_ids": "select 'eval_items_' || (row_number() over () - 1) as id, item_id from eval_items",
     "shuffled_rows": "select row_idx, row_number() over (order by sha1('42|' || row_idx)) - 1 as position from dpo_questions_24k_v2",
     "ratio_split": "select question_id, case when rn <= floor(n * 0.8) then 'train' else 'val' end as split from (select question_id, row_number() over (order by sha1('0|' || question_id)) as rn, count(*) over () as n from (select distinct question_id from dpo_questions_24k_v2))",

@@ -239,6 +239,11 @@ def shard_slices(s: SparkSession, d: str) -> DataFrame:
     return selection.shards(questions(s, d).select("row_idx"), 7)
 
 
+@query
+def batch_numbers(s: SparkSession, d: str) -> DataFrame:
+    return selection.batches(questions(s, d).select("row_idx"), 64)
+
+
 @query
 def shuffled_rows(s: SparkSession, d: str) -> DataFrame:
     """All questions with their position in the shuffle."""

@@ -14,14 +14,20 @@ from tessera.sources.tables import on_disk, shared_folder
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False, limit: int | None = None) -> DataFrame:
-    """Rows of line-delimited JSON with a declared schema; bad lines are skipped, or fail the scan if ``strict``."""
+    """Rows of line-delimited JSON with a declared schema; bad lines are skipped, or fail the scan if ``strict``.
+
+    ``limit`` takes the first rows in the order of files and lines.
+    """
+    place = [F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_mono")]
     if strict:
         df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+        df = df if limit is None else df.select("*", *place)
     else:
         full = StructType.fromDDL(schema).add("_corrupt_record", "string")
-        lines = spark.read.text(path).where(r"value rlike '\\S'")
-        df = lines.select(F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")).where("r._corrupt_record is null").select("r.*").drop("_corrupt_record")
-    return df if limit is None else df.limit(limit)
+        lines = spark.read.text(path).select("value", *(place if limit is not None else ())).where(r"value rlike '\\S'")
+        parsed = F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+        df = lines.withColumn("r", parsed).where("r._corrupt_record is null").select("r.*", *(["_path", "_start", "_mono"] if limit is not None else ())).drop("_corrupt_record")
+    return df if limit is None else df.orderBy("_path", "_start", "_mono").limit(limit).drop("_path", "_start", "_mono")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

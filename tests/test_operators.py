@@ -46,6 +46,19 @@ def test_wide_rows_are_all_numbered(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_first_of_each_key_both_ways(spark):
+    rng = random.Random(11)
+    rows = [(i, None if rng.random() < 0.1 else "hot" if rng.random() < 0.4 else f"k{rng.randint(0, 300)}", f"t{i}", "clash") for i in range(1000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "at int, k string, text string, _least string")
+    want: dict = {}
+    for r in sorted(rows):
+        want.setdefault(r[1], r)
+    for wide in (1 << 40, 0):
+        assert sorted(map(tuple, selection.first_per_key(df, F.col("k"), "at", wide).collect())) == sorted((r[0], *r[1:]) for r in want.values())
+        assert selection.first_per_key(df.where("false"), F.col("k"), "at", wide).count() == 0
+
+
 def test_numbering_of_ties_nulls_and_nothing(spark):
     df = spark.createDataFrame([(None,), (3,), (3,), (1,)], "k int")
     assert sorted(r._n for r in selection.numbered(df, "k").collect()) == [0, 1, 2, 3]
