@@ -36,7 +36,7 @@ def test_sample_follows_quotas(spark):
     plans = spark.createDataFrame(plan, PLAN_SHAPE)
     held = quota_sample.available(spark.createDataFrame(rows, "id bigint, category string, band int"), plans)
     drawn = quota_sample.draw(held, quota_sample.report(held, plans)).collect()
-    assert Counter(r.category_id for r in drawn) == {1: 60, 2: 150, 3: 95} or Counter(r.category_id for r in drawn)[3] == 95
+    assert Counter(r.category_id for r in drawn) == {1: 57, 2: 148, 3: 95}  # what the minimum of 3 takes is given up in turn by the others
     assert len({(r.category_id, r.id) for r in drawn}) == len(drawn) == 300
     assert sorted(drawn) == sorted(quota_sample.draw(held.repartition(5), quota_sample.report(held, plans)).collect())
 
