@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from tessera.functions import answers
 from tessera.functions import features as X
+from tessera.functions.answers import NOTES
 from tessera.functions.cleaning import BOILERPLATE, LINK
 from tessera.functions.words import SPACES
 from tessera.operators import preference, selection
@@ -213,6 +215,132 @@ f as (select gen_id, pred, {few_shot_form('pred')} as a, {few_shot_form('gt')} a
 v as (select *, {_PLAIN('a')} as x, {_PLAIN('b')} as y from f)
 select gen_id, pred, coalesce(a = b or abs(x - y) < 1e-6 or (y <> 0 and abs(x - y) / abs(y) < 1e-4), false) as correct from v"""
 
+def last_box(t: str) -> str:
+    """The content of the box that opens last, null if it does not close."""
+    rest = f"{t}[length({t}) - strpos(reverse({t}), reverse('\\boxed{{')) + 2 :]"
+    return f"(case when contains({t}, '\\boxed{{') then {closed(rest)} end)"
+
+
+def before_notes(t: str, marks: tuple[str, ...]) -> str:
+    for m in marks:
+        t = f"split_part({t}, {q(m)}, 1)"
+    return t
+
+
+def first_of(t: str, *phrases: str) -> str:
+    """When-branches: what the first phrase that matches holds, without commas."""
+    return " ".join(f"when regexp_matches({t}, {q(p)}) then {strip(f'replace(regexp_extract({t}, {q(p)}, 1), {q(chr(44))}, {q(str())})')}" for p in phrases)
+
+
+def found_last(t: str, phrase: str, group: int) -> str:
+    return f"regexp_extract_all({t}, {q(phrase)}, {group})[-1]"
+
+
+_REALS = "[-0-9,.]+"
+_WS = f"[{SPACE}]"
+
+
+def last_digits(x: str) -> str:
+    bare = strip(f"replace(replace({strip(x)}, ',', ''), '$', '')")
+    return f"coalesce(replace(regexp_extract_all({bare}, '-?[0-9][0-9,]*\\.?[0-9]*')[-1], ',', ''), {bare})"
+
+
+def exam_text(x: str) -> str:
+    """The exam family's form, before numbers are read."""
+    x = f"replace(replace(regexp_replace({strip(x)}, '[$%]|\\\\left|\\\\right', '', 'g'), '\\dfrac', '\\frac'), '\\tfrac', '\\frac')"
+    x = f"rtrim({strip(f'regexp_replace({x}, {q(chr(92) * 2 + "[!,;:]")}, {q(str())}, {q("g")})')}, '.;')"
+    x = f"regexp_replace({x}, '^{_WS}*[a-zA-Z]{_WS}*\\\\in{_WS}*', '')"
+    x = f"regexp_replace(regexp_replace({x}, '{_WS}*,{_WS}*', ',', 'g'), '{_WS}*\\\\cup{_WS}*', '\\\\cup', 'g')"
+    x = strip(f"regexp_replace({x}, '{_WS}+', ' ', 'g')")
+    return f"(case when regexp_matches({x}, '^[-+]?[0-9][0-9,]*(?:\\.[0-9]+)?$') then replace({x}, ',', '') else {x} end)"
+
+
+def exam_value(x: str) -> str:
+    slash, frac = "'^([-+]?)\\s*([0-9]+)\\s*/\\s*([0-9]+)$'", "'^([-+]?)\\\\frac\\{(-?[0-9]+)\\}\\{(-?[0-9]+)\\}$'"
+    of = lambda p: f"when regexp_matches({x}, {p}) then try_cast(regexp_extract({x}, {p}, 2) as double) / nullif(try_cast(regexp_extract({x}, {p}, 3) as double), 0) * case when regexp_extract({x}, {p}, 1) = '-' then -1 else 1 end"
+    return f"case when regexp_matches({x}, '^\\s*{_REAL}\\s*$') then try_cast(trim({x}) as double) {of(slash)} {of(frac)} end"
+
+
+def judged_exam(extract: str) -> str:
+    """Verdicts of the exam family for answers read by ``extract`` from t, the text before its notes, and whole."""
+    return f"""
+with r as (select gen_id, gt, whole, t from (select gen_id, ground_truth as gt, full_response as whole, {before_notes('full_response', NOTES)} as t from {GENERATIONS})),
+p as (select gen_id, gt, case when gt is not null and whole is not null then {extract} end as pred from r),
+f as (select gen_id, pred, {exam_text('pred')} as a, {exam_text('gt')} as b from p),
+v as (select *, {exam_value('a')} as x, {exam_value('b')} as y, lower(regexp_replace(a, '{_WS}+', '', 'g')) as c, lower(regexp_replace(b, '{_WS}+', '', 'g')) as d from f)
+select gen_id, pred, coalesce(case when x is not null and y is not null then abs(x - y) < 1e-6 when x is null and y is null then c = d else false end, false) as correct from v"""
+
+
+EXAM = judged_exam(
+    f"case when {last_box('t')} is not null then {strip(last_box('t'))} "
+    + " ".join(f"when regexp_matches(t, {q(p)}) then {strip(f'regexp_extract(t, {q(p)}, 1)')}" for p in (f"(?i)answer is{_WS}*\\$?(.*?)\\$?{_WS}*[.\\n]", f"(?i)answer:{_WS}*\\$?(.*?)\\$?{_WS}*[.\\n]"))
+    + " else '' end"
+)
+WORD_PROBLEM = judged_exam(
+    f"case when {last_box('t')} is not null then {last_digits(last_box('t'))} {first_of('t', f'####{_WS}*({_REALS})', f'(?i)answer is{_WS}*[$]?({_REALS})', f'(?i)answer:{_WS}*[$]?({_REALS})')} "
+    f"else coalesce({strip(f'replace({found_last(chr(116), "[*][*][$]?(" + _REALS + ")[$]?[*][*]", 1)}, {q(chr(44))}, {q(str())})')}, {strip(f'replace({found_last(chr(116), _REALS, 0)}, {q(chr(44))}, {q(str())})')}, '') end"
+)
+
+
+def final_form(x: str) -> str:
+    """The reward family's form, step by step."""
+    x = f"regexp_replace({x}, '(?s)^.*=', '')"
+    for old, new in [("\\dfrac", "\\frac"), ("\\tfrac", "\\frac"), ("\\left", ""), ("\\right", ""), *answers.REWRITES, *((u, "") for u in answers.REMOVED)]:
+        x = f"replace({x}, {q(old)}, {q(new)})"
+    for pattern, new in [*((f"\\\\{c}\\{{(.*?)\\}}", "\\1") for c in ("text", "textbf", "overline")), ("\\\\boxed\\{(.*)\\}", "\\1"), ("frac([^{])(.)", "frac{\\1}{\\2}"), ("sqrt([^{])", "sqrt{\\1}")]:
+        x = f"regexp_replace({x}, {q(pattern)}, {q(new)}, 'g')"
+    return f"replace({x}, '$', '')"
+
+
+def final_value(x: str) -> str:
+    of = lambda p: f"when regexp_matches({x}, {p}) then try_cast(regexp_extract({x}, {p}, 2) as double) / nullif(try_cast(regexp_extract({x}, {p}, 3) as double), 0) * case when regexp_extract({x}, {p}, 1) = '-' then -1 else 1 end"
+    first, second = "'^(-?)([0-9]+)/([0-9]+)$'", "'^(-?)\\\\frac\\{(-?[0-9]+)\\}\\{(-?[0-9]+)\\}$'"
+    return f"case when regexp_matches({x}, '^-?[0-9]+(?:\\.[0-9]+)?$') then try_cast({x} as double) {of(first)} {of(second)} end"
+
+
+_GROUPED = lambda x: strip(f"case when regexp_matches({x}, '^,*[0-9][0-9,]*$') then replace({x}, ',', '') else {x} end")
+_SAID = "regexp_extract_all(full_response, '(?i)Answer\\s*:\\s*([^\\n]+)', 1)[-1]"
+FINAL = f"""
+with r as (select gen_id, ground_truth, full_response, {last_box('full_response[greatest(1, length(full_response) - 299) :]')} as box from {GENERATIONS}),
+s as (select gen_id, box is not null as has_boxed, full_response is null or ground_truth is null as none, {final_form(f'coalesce(box, {_SAID})')} as p, {final_form('ground_truth')} as g from r),
+f as (select gen_id, has_boxed and not none as has_boxed, case when none then '[INVALID]' else coalesce({_GROUPED('p')}, '[INVALID]') end as pred, none, {_GROUPED('g')} as want from s),
+v as (select *, {final_value('pred')} as a, {final_value('want')} as b from f),
+j as (select *, not none and (pred = want or coalesce(abs(a - b) <= 1e-8, false)) as acc from v)
+select gen_id, pred, acc, not none and not acc and coalesce(abs(a - b) <= 1e-4 or abs(a - b) / greatest(abs(b), 1.0) <= 0.01, false) as near_correct, has_boxed from j"""
+
+def tidy(x: str) -> str:
+    """A decimal without rounding noise and trailing zeros."""
+    v = f"(case when regexp_matches({x}, '^\\s*{_REAL}\\s*$') then try_cast(trim({x}) as double) end)"
+    return f"(case when {v} is null then {x} when abs({v} - round({v})) < 1e-4 then cast(cast(round({v}) as hugeint) as varchar) when contains({x}, '.') then rtrim(rtrim({x}, '0'), '.') else {x} end)"
+
+
+def bare_decimal(x: str) -> str:
+    bare = f"rtrim({strip(x)}, '.')"
+    return f"(case when contains({bare}, '.') then rtrim(rtrim({bare}, '0'), '.') else {bare} end)"
+
+
+_FIGURES = "-?[0-9][0-9,]*\\.?[0-9]*"
+_WORD_NOTES = ("*Note:", "*note:", "(Note:", "Note: The", "**Note", "*Verification", "*Context:", "*Correction")
+_BOLD, _EQUALS = f"[*][*][$]?({_REALS})[$]?[*][*]", f"={_WS}*[$]?({_REALS})"
+_CLOSING = f"(?i)(?:answer|total|result|profit|cost|makes?|spend|earns?){_WS}+(?:is|are|was|=|:){_WS}+[$]?({_REALS})"
+FEW_SHOT_WORD = f"""
+with r as (select gen_id, ground_truth as gt, full_response as t, {before_notes('full_response', _WORD_NOTES)} as n from {GENERATIONS}),
+b as (select *, {last_box('t')} as box, replace({found_last('n', _BOLD, 1)}, ',', '') as bold, replace({found_last('n', _EQUALS, 1)}, ',', '') as equal,
+  list_filter(list_transform(regexp_extract_all(n, '{_FIGURES}'), lambda x: replace(x, ',', '')), lambda x: length(x) <= 15)[-1] as figure from r),
+c as (select *, replace(replace(box, ',', ''), '$', '') as said from b),
+p as (select gen_id, gt, case when t is null or gt is null then null
+  when box is not null then case when regexp_matches(said, '{_FIGURES}') then {tidy(f"replace(regexp_extract_all(said, '{_FIGURES}')[-1], ',', '')")} else {strip(f"replace(replace({strip('box')}, ',', ''), '$', '')")} end
+  when regexp_matches(t, '####{_WS}*({_REALS})') then {tidy(strip(f"replace(regexp_extract(t, '####{_WS}*({_REALS})', 1), ',', '')"))}
+  when length(bold) <= 15 then {tidy('bold')} when length(equal) <= 15 then {tidy('equal')}
+  when regexp_matches(n, {q(_CLOSING)}) then {tidy(f"replace(regexp_extract(n, {q(_CLOSING)}, 1), ',', '')")} when figure is not null then {tidy('figure')} end as pred from c)
+select gen_id, pred, coalesce({bare_decimal('pred')} = {bare_decimal('gt')}, false) as correct from p"""
+_TAIL_ZH, _TAIL_EN = f"(?m)答案[为是]{_WS}*[：:{SPACE}]*(.+?)$", f"(?im)(?:the{_WS}+)?answer{_WS}+is{_WS}*[：:{SPACE}]*(.+?)\\.?{_WS}*$"
+REFERENCE_SOURCES = f"""
+with a as (select answer, {BOXES.format(t='answer')} as boxes, regexp_extract(answer, {q(_TAIL_ZH)}, 1) as zh, regexp_extract(answer, {q(_TAIL_EN)}, 1) as en, {strip("regexp_extract_all(answer[greatest(1, length(answer) - 199) :], '[*][*]([^*]+)[*][*]', 1)[-1]")} as bold from dpo_questions_24k_v2),
+g as (select case when len(list_filter(boxes, lambda x: x <> '')) > 0 then {{'s': 'boxed', 'g': {strip("list_filter(boxes, lambda x: x <> '')[-1]")}}} when zh <> '' then {{'s': 'answer_tail_zh', 'g': zh}} when en <> '' then {{'s': 'answer_tail_en', 'g': en}}
+  when length(bold) < 80 and not regexp_matches(bold, '^(?:Question|Answer|Code)') then {{'s': 'answer_bold', 'g': bold}} else {{'s': 'none', 'g': null}} end as x from a)
+select x.s as gt_source, count(*) as n, count(x.g) as found from g group by 1"""
+
 # --- learning progress ---------------------------------------------------------------------------------------
 
 RATES = "select sample_id, coalesce(is_pg, false) as is_pg, step, avg(case when reward > 0 then 1.0 else 0.0 end) as rate from lp_observations where sample_id is not null and step is not null group by all"
@@ -282,6 +410,19 @@ def said(*parts: tuple[str, str], keys: tuple[str, str] = ("role", "content")) -
     return "json_array(" + ", ".join(obj(**{keys[0]: q(who), keys[1]: text}) for who, text in parts) + ")::varchar"
 
 
+def sparse(**fields: str) -> str:
+    """A JSON object without its null fields."""
+    return f"json_merge_patch('{{}}', {obj(**fields)})::varchar"
+
+
+_CYCLE_SHARES = {"sweet_spot": 90, "learning": 50, "struggling": 20, "mastered": 10, "exploration": 10}
+CYCLE = f"""
+with ids as (select distinct {SAMPLE_ID} as sample_id from dpo_questions_24k_v2 where question is not null and ground_truth is not null), s as ({STATES}), c as (select sample_id, unnest({LABELS}) as category from s),
+pool as (select sample_id, category from ids join c using (sample_id) union all select sample_id, 'exploration' from ids where sample_id not in (select sample_id from s)),
+o as (select *, row_number() over (partition by category order by sha1('0|' || sample_id || '|' || category)) as k from pool),
+picked as (select sample_id, category from o where k <= {cases(_CYCLE_SHARES, 'category', 0)}),
+more as (select sample_id, category, row_number() over (order by sha1('0+|' || sample_id || '|' || category)) as k from pool where category in ('sweet_spot', 'learning'))
+select * from picked union all select sample_id, category from more where k <= 200 - (select count(*) from picked)"""
 _TURN = ("from", "value")
 STATED_ANSWER = STATED.replace("full_response", "answer")
 WITH_BOX = f"case when contains(answer, '\\boxed{{') or {STATED_ANSWER} is null then answer else answer || chr(10) || chr(10) || '答案为 $\\boxed{{' || {STATED_ANSWER} || '}}$' end"
@@ -331,6 +472,13 @@ ORACLES: dict[str, str] = {
     "answers_nested": nested(_GEN, "gen_id", True),
     "answers_nested_whole_first": nested(_GEN, "gen_id", False),
     "answers_few_shot": FEW_SHOT,
+    "answers_few_shot_word": FEW_SHOT_WORD,
+    "reference_sources": REFERENCE_SOURCES,
+    "training_rows": f"select 'math' as data_source, 'math' as ability, {said(('system', q(preference.SYSTEM)), ('user', 'question'))} as prompt, {sparse(style=q('rule'), ground_truth='ground_truth')} as reward_model, {sparse(sample_id=SAMPLE_ID, category='category', student_accuracy='acc', is_pg_sample='false', index='row_idx')} as extra_info from {QUESTIONS}",
+    "lp_cycle": CYCLE,
+    "answers_exam": EXAM,
+    "answers_word_problem": WORD_PROBLEM,
+    "answers_final": FINAL,
     "rescored": RESCORED,
     "batch_numbers": "select row_idx, (row_number() over (order by row_idx) - 1) // 64 as batch from dpo_questions_24k_v2",
     "parquet_row_ids": "select 'eval_items_' || (row_number() over () - 1) as id, item_id from eval_items",
