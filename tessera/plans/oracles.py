@@ -491,6 +491,10 @@ ORACLES: dict[str, str] = {
     "preference_format": f"select {said(('human', strip('question')), keys=_TURN)} as conversations, {obj(**{'from': q('gpt'), 'value': 'chosen'})}::varchar as chosen, {obj(**{'from': q('gpt'), 'value': 'rejected'})}::varchar as rejected, {q(preference.SYSTEM)} as system from ({GREEDY})",
     "mixed_pairs": MIXED,
     "lp_guided_early": EARLY,
+    "lp_guided_students": f"""
+with e as (select {SAMPLE_ID} as sample_id, unnest(responses) as r, unnest(range(len(responses))) as i from {STUDENTS}),
+r as (select sample_id, avg(case when coalesce(r.is_correct, false) then 1.0 else 0.0 end) filter (i < 4) as a, avg(case when coalesce(r.is_correct, false) then 1.0 else 0.0 end) filter (i >= 4) as b from e group by 1)
+select sample_id, 2 as n_updates from r where b is not null and 0.8 * a + 0.2 * b <= 0.05 and 0.2 * (b - a) <= 0.01""",
     "lp_continued": CONTINUED,
     "lp_snapshot": f"select 0.8::double as beta, 8.0::double as kappa, 0.5::double as b, round(avg(p), 6) as avg_p, round(avg({WEIGHT}), 6) as avg_weight, count(*) as n, count(*) as loaded from ({STATES})",
     "padded_sequences": "select item_id, " + ", ".join(f"{v} as {k}" for k, v in sequence("p", "r", "1.0::double", 16384, "0.0::double").items()) + f" from (select item_id, {_LETTERS.format(x='problem')} as p, {_LETTERS.format(x='solution')} as r from eval_items)",

@@ -699,11 +699,24 @@ def lp_guided_early(s: SparkSession, d: str) -> DataFrame:
     return progress.guided_candidates(_early(s, d)).select("sample_id", "n_updates")
 
 
+def _rollouts(s: SparkSession, d: str) -> DataFrame:
+    """States after two rollouts of the students: their first four responses, and the next ones."""
+    each = students(s, d).select(selection.sample_id("question", "ground_truth").alias("sample_id"), F.posexplode("responses").alias("at", "r"))
+    seen = each.select("sample_id", F.when(F.col("at") < 4, 0).otherwise(1).cast("long").alias("step"), F.coalesce("r.is_correct", F.lit(False)).cast("double").alias("reward"), F.lit(False).alias("is_pg"))
+    return progress.updated(progress.step_rates(seen))
+
+
+@query
+def lp_guided_students(s: SparkSession, d: str) -> DataFrame:
+    """Samples that are stuck after two rollouts of the students."""
+    return progress.guided_candidates(_rollouts(s, d)).select("sample_id", "n_updates")
+
+
 @query
 def lp_guided_rows(s: SparkSession, d: str) -> DataFrame:
-    """Guided prompts for the samples that are stuck after their second step."""
+    """Guided prompts for the samples that are stuck after two rollouts of the students."""
     q = questions(s, d).withColumn("sample_id", selection.sample_id("question", "ground_truth"))
-    return progress.guided_rows(progress.guided_candidates(_early(s, d)), q, 100).withColumn("prompt", F.to_json("prompt"))
+    return progress.guided_rows(progress.guided_candidates(_rollouts(s, d)), q, 100).withColumn("prompt", F.to_json("prompt"))
 
 
 @query
