@@ -9,7 +9,9 @@ other runs of positive sum (titles, paragraphs cut off); what scores negative wi
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -21,7 +23,7 @@ from tessera.functions.words import HAN
 from tessera.sources.tables import spread
 
 #: The sample the weights are fitted on: pages (by hash of the id), lines of a page, features of a line.
-FIT_PAGES, FIT_LINES, FIT_FEATURES = 6_000, 300, 300
+FIT_PAGES, FIT_LINES, FIT_FEATURES = 4_000, 300, 300
 #: Dimensions of the hashed features of a line, and of its surroundings.
 DIMENSIONS, AROUND = 1 << 17, 1 << 16
 #: A line's score is at most this far from 0; the least sum of a run beside the best one.
@@ -199,6 +201,7 @@ class Around(dict):
         return w
 
 
+@lru_cache(maxsize=1 << 18)
 def spot(feature: tuple) -> int:
     return crc32(repr(feature).encode("utf-8", "surrogatepass")) % AROUND
 
@@ -255,16 +258,16 @@ def lined(text: str) -> tuple[list[int], list[str], list[bool]]:
     return at, kept, gaps
 
 
-def train(flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, dimensions: int, ridge: float = 1e-6, rounds: int = 80, rate: float = 0.3) -> np.ndarray:
+def train(flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, dimensions: int, ridge: float = 1e-6, rounds: int = 50, rate: float = 0.3) -> np.ndarray:
     """Weights and bias (last) of a logistic regression with an L2 penalty by Adagrad; features weigh 1 / sqrt of their number."""
     w = np.zeros(dimensions + 1)
     if not len(sizes) or labels.min() == labels.max():
         return w
-    row, scale = np.repeat(np.arange(len(sizes)), sizes), 1 / np.sqrt(sizes)
+    row, scale, starts = np.repeat(np.arange(len(sizes)), sizes), 1 / np.sqrt(sizes), np.cumsum(sizes) - sizes
     weight = np.where(labels > 0, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())) / len(labels)
     past = np.full(dimensions + 1, 1e-12)
     for _ in range(rounds):
-        z = np.bincount(row, weights=w[flat], minlength=len(sizes)) * scale + w[-1]
+        z = np.add.reduceat(w[flat], starts) * scale + w[-1]
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * weight
         grad = np.append(np.bincount(flat, weights=(g * scale)[row], minlength=dimensions), g.sum()) + ridge * np.append(w[:-1], 0)
         past += grad * grad
@@ -290,18 +293,22 @@ def fitted(rows: list[tuple[list, list, list, list]]) -> tuple[np.ndarray, np.nd
     Fewer than 100 pages train both.
     """
     first, second = (rows[::2], rows[1::2]) if len(rows) >= 100 else (rows, rows)
-    one = [(y, f) for ys, fs, _, _ in first for y, f in zip(ys, fs) if y]
-    sizes = np.array([len(f) for _, f in one], np.int64)
-    own = train(np.array([j for _, f in one for j in f], np.int64), sizes, np.array([y > 0 for y, _ in one], float), DIMENSIONS)
-    flat, count, target = [], [], []
+
+    def flat(lists: Iterable[list]) -> tuple[np.ndarray, np.ndarray]:
+        lists = list(lists)
+        return np.fromiter(chain.from_iterable(lists), np.int64), np.fromiter(map(len, lists), np.int64, len(lists))
+
+    def signs(labelled: Iterable[int]) -> np.ndarray:
+        return np.fromiter((y > 0 for y in labelled), float)
+
+    own = train(*flat(f for ys, fs, _, _ in first for y, f in zip(ys, fs) if y), signs(y for ys, *_ in first for y in ys if y), DIMENSIONS)
+    idx, sizes = flat(f for _, fs, _, _ in second for f in fs)
+    scores = (np.add.reduceat(own[idx], np.cumsum(sizes) - sizes) / np.sqrt(sizes) + own[-1]).tolist() if len(sizes) else []
+    near, at = [], 0
     for ys, fs, looks, gaps in second:
-        scores = [float(own[f].sum()) / len(f) ** 0.5 + float(own[-1]) for f in fs]
-        for y, features in zip(ys, surroundings(scores, looks, gaps)):
-            if y:
-                flat += [spot(x) for x in features]
-                count.append(len(features))
-                target.append(y > 0)
-    around = train(np.array(flat, np.int64), np.array(count, np.int64), np.array(target, float), AROUND)
+        near += [list(map(spot, f)) for y, f in zip(ys, surroundings(scores[at : at + len(fs)], looks, gaps)) if y]
+        at += len(fs)
+    around = train(*flat(near), signs(y for ys, *_ in second for y in ys if y), AROUND)
     return own.astype(np.float32), around.astype(np.float32)
 
 
