@@ -104,16 +104,25 @@ def cut_tails(c: Column) -> Column:
     return c
 
 
-def drop_lines(c: Column, pattern: str) -> Column:
-    """Without the lines whose stripped form matches; blank lines become empty."""
-    kept = F.filter(lines(c), lambda x: (strip(x) == "") | ~strip(x).rlike(pattern))
-    return F.array_join(F.transform(kept, lambda x: F.when(strip(x) == "", F.lit("")).otherwise(x)), "\n")
+def drop_lines(c: Column, *patterns: str) -> Column:
+    """Without the lines whose stripped form matches a pattern; blank lines become empty."""
+    told = F.transform(lines(c), lambda x: F.struct(x.alias("line"), strip(x).alias("bare")))
+
+    def bad(x: Column) -> Column:
+        out = x["bare"].rlike(patterns[0])
+        for p in patterns[1:]:
+            out = out | x["bare"].rlike(p)
+        return out
+
+    kept = F.filter(told, lambda x: (x["bare"] == "") | ~bad(x))
+    return F.array_join(F.transform(kept, lambda x: F.when(x["bare"] == "", F.lit("")).otherwise(x["line"])), "\n")
 
 
 def drop_repeats(c: Column) -> Column:
     """Without lines equal to the line before them; blank lines stay."""
-    kept = lambda ls: F.filter(ls, lambda x, i: (i == 0) | (strip(x) == "") | (strip(x) != strip(F.element_at(ls, F.greatest(i, F.lit(1))))))
-    return F.array_join(let(lines(c), kept), "\n")
+    told = F.transform(lines(c), lambda x: F.struct(x.alias("line"), strip(x).alias("bare")))
+    kept = lambda ls: F.filter(ls, lambda x, i: (i == 0) | (x["bare"] == "") | (x["bare"] != F.element_at(ls, F.greatest(i, F.lit(1)))["bare"]))
+    return F.array_join(F.transform(let(told, kept), lambda x: x["line"]), "\n")
 
 
 def squeeze(c: Column) -> Column:
@@ -144,7 +153,7 @@ def page_remains(c: Column) -> Column:
 def clean_marked(c: Column | str) -> Column:
     """All steps but the decoding of entities, which needs Python."""
     c = cut_tails(plain_marks(col(c)))
-    return page_remains(squeeze(drop_repeats(drop_links(drop_lines(drop_lines(c, BOILERPLATE_LINE), NOISE_LINE)))))
+    return page_remains(squeeze(drop_repeats(drop_links(drop_lines(c, BOILERPLATE_LINE, NOISE_LINE)))))
 
 
 def with_clean_text(df: DataFrame, text: str, name: str) -> DataFrame:

@@ -7,6 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.words import SPACES
+
+#: All characters of white space.
+WHITE = "".join(chr(x) for a, b in SPACES for x in range(a, b + 1))
+
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -14,7 +19,7 @@ def col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$(?!\n)", "")
+    return F.btrim(col(c), F.lit(WHITE))
 
 
 def lines(c: Column | str) -> Column:
