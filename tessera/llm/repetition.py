@@ -10,14 +10,13 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from tessera.functions.arrow import map_columns, map_stream
 from tessera.functions.words import HAN, mostly_han, visible, words
@@ -171,32 +170,69 @@ def key(*parts: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-MET = "shard int, model boolean, rec_table string, rec_key string, lang string, body bigint, hashes array<bigint>, counts array<int>, hash bigint, logp double"
+MET = "shard int, model boolean, rec_table string, rec_key string, lang string, body bigint, hashes array<bigint>, logp array<double>"
+_ARROW = pa.schema([("shard", pa.int32()), ("model", pa.bool_()), ("rec_table", pa.string()), ("rec_key", pa.string()), ("lang", pa.string()), ("body", pa.int64()), ("hashes", pa.list_(pa.int64())), ("logp", pa.list_(pa.float64()))])
+
+
+def runs(*columns: np.ndarray) -> list[tuple[int, int]]:
+    """(from, to) of the runs of equal rows of several sorted columns."""
+    n = len(columns[0])
+    turn = np.zeros(max(n - 1, 0), bool)
+    for c in columns:
+        turn |= c[1:] != c[:-1]
+    edges = [0, *(np.flatnonzero(turn) + 1).tolist(), n]
+    return list(zip(edges, edges[1:])) if n else []
+
+
+def lists(values: np.ndarray, parts: list[tuple[int, int]]) -> pa.Array:
+    return pa.LargeListArray.from_arrays(pa.array([0, *(b for _, b in parts)], pa.int64()), pa.array(values))
+
+
+def packed(shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Model rows (hash, logp) as one row of arrays for each shard and batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, p = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            at = np.mod(h, shards)
+            order = np.argsort(at, kind="stable")
+            parts = runs(at[order])
+            none = lambda t: pa.nulls(len(parts), t)
+            columns = [pa.array([int(at[order[a]]) for a, _ in parts], pa.int32()), pa.array([True] * len(parts)), none(pa.string()), none(pa.string()), none(pa.string()), none(pa.int64()), lists(h[order], parts), lists(p[order], parts)]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
+
+    return run
 
 
 def grams_by_shard(records: DataFrame, shards: int) -> DataFrame:
-    """The trigrams of each record as hashes and counts, one row for each shard that it has any in."""
+    """The trigrams of each record as hashes, one row of them for each shard that it has any in."""
 
-    def scan(batches: Iterator[list[list]]) -> Iterator[list]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()
-        for tables, keys, texts in batches:
-            out = []
-            for r, k, t in zip(tables, keys, texts):
-                if not (met := trigrams(t, codes)):
+        for batch in batches:
+            ids, doc, about = [], [], []
+            for r, k, t in zip(*(c.to_pylist() for c in batch.columns)):
+                han, ws = pieces(t)
+                if not ws:
                     continue
-                told, votes_cast = votes(t)
-                best, sure = leading(told, votes_cast)
-                lang = best if sure >= 0.5 else "und"
-                h = key(*np.array(list(met), np.int64).T)
-                n = np.fromiter(met.values(), np.int32, len(met))
-                at = np.mod(h, shards)
-                body = xxhash.xxh64_intdigest(visible(t)) >> 1
-                for s in np.unique(at).tolist():
-                    mine = at == s
-                    out.append((s, False, r, k, lang, body, h[mine].tolist(), n[mine].tolist(), None, None))
-            yield out
+                best, sure = leading(*votes(t))
+                ids += [START, START, *(codes[han, w] for w in ws)]
+                doc.append(len(ws) + 2)
+                about.append((r, k, best if sure >= 0.5 else "und", xxhash.xxh64_intdigest(visible(t)) >> 1))
+            if not about:
+                continue
+            flat, of = np.array(ids, np.int64), np.repeat(np.arange(len(doc)), doc)
+            inside = of[2:] == of[:-2]  # all three words of one record
+            h, of = key(flat[:-2], flat[1:-1], flat[2:])[inside], of[2:][inside]
+            at = np.mod(h, shards)
+            order = np.lexsort((at, of))
+            h, of, at = h[order], of[order], at[order]
+            parts = runs(of, at)
+            owner = [about[of[a]] for a, _ in parts]
+            columns = [pa.array([int(at[a]) for a, _ in parts], pa.int32()), pa.array([False] * len(parts)), *(pa.array([o[i] for o in owner], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))), lists(h, parts), pa.nulls(len(parts), pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
 
-    return map_stream(spread(records), scan, MET)
+    return spread(records).mapInArrow(run, MET)
 
 
 def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,27 +240,25 @@ def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shard, model, arrays = None, [], None
     schema = pa.schema([("rec_table", pa.string()), ("rec_key", pa.string()), ("lang", pa.string()), ("body", pa.int64()), ("total", pa.float64()), ("n", pa.int64())])
     for batch in batches:
-        if not batch.num_rows:
-            continue
         at, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-        edges = [0, *(np.flatnonzero((at[1:] != at[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist(), len(at)]
-        for a, b in zip(edges, edges[1:]):
+        for a, b in runs(at, kind):
             part = batch.slice(a, b - a)
             if at[a] != shard:
                 shard, model, arrays = at[a], [], None
+            asked = part.column(6)
             if kind[a]:
-                model.append((part.column(8).to_numpy(), part.column(9).to_numpy()))
+                model.append((asked.flatten().to_numpy(), part.column(7).flatten().to_numpy()))
                 continue
             if arrays is None:
                 hashes = np.concatenate([h for h, _ in model]) if model else np.zeros(0, np.int64)
                 order = np.argsort(hashes, kind="stable")
-                arrays, model = (hashes[order], np.concatenate([p for _, p in model])[order] if len(order) else np.zeros(0)), []
-            lists = part.column(6)
-            asked, n = lists.flatten().to_numpy(), part.column(7).flatten().to_numpy()
-            spot = np.minimum(np.searchsorted(arrays[0], asked), max(len(arrays[0]) - 1, 0))
-            logp = np.where(arrays[0][spot] == asked, arrays[1][spot], math.log(1e-9)) if len(arrays[0]) else np.full(len(asked), math.log(1e-9))
-            starts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())[:-1]])
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in (2, 3, 4, 5)), pa.array(np.add.reduceat(logp * n, starts)), pa.array(np.add.reduceat(n.astype(np.int64), starts))], schema=schema)
+                arrays, model = (hashes[order], np.concatenate([p for _, p in model])[order] if model else np.zeros(0)), []
+            h, n = asked.flatten().to_numpy(), asked.value_lengths().to_numpy().astype(np.int64)
+            logp = np.full(len(h), math.log(1e-9))
+            if len(arrays[0]):
+                spot = np.minimum(np.searchsorted(arrays[0], h), len(arrays[0]) - 1)
+                logp = np.where(arrays[0][spot] == h, arrays[1][spot], logp)
+            yield pa.RecordBatch.from_arrays([*(part.column(i).cast(schema.field(j).type) for j, i in enumerate((2, 3, 4, 5))), pa.array(np.add.reduceat(logp, np.cumsum(n) - n)), pa.array(n)], schema=schema)
 
 
 def perplexity(records: DataFrame, low: float = 0.01, high: float = 0.99, shard_ngrams: int = SHARD_NGRAMS, own: int = OWN) -> DataFrame:
@@ -237,11 +271,8 @@ def perplexity(records: DataFrame, low: float = 0.01, high: float = 0.99, shard_
     whole = records.select("rec_table", "rec_key", "text").where("rec_key is not null and text is not null")
     model = fit(whole)
     shards = max(records.sparkSession.sparkContext.defaultParallelism, -(-model["_held"][0].count() // shard_ngrams))
-    hashed = model["model"].select(F.xxhash64("u", "v", "w").alias("hash"), F.log("p").alias("logp"))
-    names = [f.name for f in StructType.fromDDL(MET).fields]
-    none = {f.name: F.lit(None).cast(f.dataType) for f in StructType.fromDDL(MET).fields}
-    rows = hashed.select(*(c.alias(n) for n, c in (none | {"shard": F.pmod("hash", F.lit(shards)).cast("int"), "model": F.lit(True), "hash": F.col("hash"), "logp": F.col("logp")}).items()))
-    both = rows.select(names).unionByName(grams_by_shard(whole, shards)).repartition(shards, "shard").sortWithinPartitions("shard", F.col("model").desc())
+    hashed = model["model"].select(F.xxhash64("u", "v", "w").alias("hash"), F.log("p").alias("logp")).mapInArrow(packed(shards), MET)
+    both = hashed.unionByName(grams_by_shard(whole, shards)).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("model").desc())
     scored = both.mapInArrow(met, "rec_table string, rec_key string, lang string, body bigint, total double, n bigint")
     scored = scored.groupBy("rec_table", "rec_key", "lang", "body").agg((F.sum("total") / F.sum("n")).alias("mean"), F.sum("n").alias("n"))
     scored = scored.groupBy("rec_table", "rec_key").agg(F.min_by(F.struct("lang", "mean", "n"), F.col("body")).alias("x"))
