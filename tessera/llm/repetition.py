@@ -9,7 +9,6 @@ shards by hash, where the model's are sorted hash arrays and the documents' stre
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.arrow import map_columns, map_stream
+from tessera.functions.arrow import map_columns
 from tessera.functions.words import HAN, mostly_han, visible, words
 from tessera.llm.pairs import leading, votes
 from tessera.sources.tables import spread, written
@@ -97,28 +96,39 @@ class Codes(dict):
         return c
 
 
-def trigrams(text: str, codes: Codes) -> Counter:
-    """Counts of a text's word trigrams as codes; two START marks open a text."""
-    han, ws = pieces(text)
-    ids = [START, START, *(codes[han, w] for w in ws)]
-    return Counter(zip(ids, ids[1:], ids[2:]))
+def batch_trigrams(texts: list[str], codes: Codes) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which texts have words, and all their trigrams (u, v, w) as codes, each with its text's place among those.
 
-
-def ngram_counts(records: DataFrame, flush: int = 400_000) -> DataFrame:
-    """(u, v, w, n): counts of word trigrams over all records, added up in each task before they are shuffled."""
-
-    def count(batches: Iterator[list[list]]) -> Iterator[list]:
-        held, codes = Counter(), Codes()
-        for (texts,) in batches:
-            for t in texts:
-                held.update(trigrams(t, codes))
-                if len(held) > flush:
-                    yield [(*k, n) for k, n in held.items()]
-                    held.clear()
-        yield [(*k, n) for k, n in held.items()]
+    Two START marks open a text.
+    """
+    ids: list[int] = []
+    kept, sizes = [], []
+    for i, t in enumerate(texts):
+        han, ws = pieces(t)
+        if ws:
+            ids += [START, START, *(codes[han, w] for w in ws)]
+            kept.append(i)
+            sizes.append(len(ws) + 2)
+    flat, of = np.array(ids, np.int64), np.repeat(np.arange(len(kept)), sizes)
+    inside = of[2:] == of[:-2]  # all three words of one text
+    return kept, flat[:-2][inside], flat[1:-1][inside], flat[2:][inside], of[2:][inside]
+
+
+def ngram_counts(records: DataFrame) -> DataFrame:
+    """(u, v, w, n): counts of word trigrams over all records, added up in each batch before they are shuffled."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes()
+        for batch in batches:
+            kept, *columns, _ = batch_trigrams(batch.column(0).to_pylist(), codes)
+            if kept:
+                order = np.argsort(key(*columns), kind="stable")
+                columns = [c[order] for c in columns]
+                first, end = np.array(runs(*columns), np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*(c[first] for c in columns), end - first)], names=["u", "v", "w", "n"])
 
     texts = spread(records.select("text").where("text is not null"))
-    return map_stream(texts, count, "u bigint, v bigint, w bigint, n bigint").groupBy("u", "v", "w").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(count, "u bigint, v bigint, w bigint, n bigint").groupBy("u", "v", "w").agg(F.sum("n").alias("n"))
 
 
 def discounts(df: DataFrame, n: str) -> list[float]:
@@ -210,20 +220,15 @@ def grams_by_shard(records: DataFrame, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()
         for batch in batches:
-            ids, doc, about = [], [], []
-            for r, k, t in zip(*(c.to_pylist() for c in batch.columns)):
-                han, ws = pieces(t)
-                if not ws:
-                    continue
-                best, sure = leading(*votes(t))
-                ids += [START, START, *(codes[han, w] for w in ws)]
-                doc.append(len(ws) + 2)
-                about.append((r, k, best if sure >= 0.5 else "und", xxhash.xxh64_intdigest(visible(t)) >> 1))
-            if not about:
+            tables, keys, texts = (c.to_pylist() for c in batch.columns)
+            kept, u, v, w, of = batch_trigrams(texts, codes)
+            if not kept:
                 continue
-            flat, of = np.array(ids, np.int64), np.repeat(np.arange(len(doc)), doc)
-            inside = of[2:] == of[:-2]  # all three words of one record
-            h, of = key(flat[:-2], flat[1:-1], flat[2:])[inside], of[2:][inside]
+            about = []
+            for i in kept:
+                best, sure = leading(*votes(texts[i]))
+                about.append((tables[i], keys[i], best if sure >= 0.5 else "und", xxhash.xxh64_intdigest(visible(texts[i])) >> 1))
+            h = key(u, v, w)
             at = np.mod(h, shards)
             order = np.lexsort((at, of))
             h, of, at = h[order], of[order], at[order]
